@@ -80,19 +80,19 @@ def within_slots(df: DataFrame, column: Column, wanted: DataFrame, wanted_column
     return df.withColumn("_slot", slot(column, slots)).join(F.broadcast(taken), "_slot", "left_semi").drop("_slot")
 
 
-def ordered_buckets(df: DataFrame, key: str, per_bucket: int = 2048) -> tuple[DataFrame, Column]:
-    """Bounds for cutting the order of an integer ``key`` into buckets of about ``per_bucket`` rows.
+def ordered_buckets(df: DataFrame, key: str, per_bucket: int = 2048, most: int = 1 << 16) -> tuple[DataFrame, Column]:
+    """Cuts the order of an integer ``key`` into ranges of about ``per_bucket`` rows, at most ``most`` + 1 of them.
 
-    Returns a one-row frame with the lowest key and the width of a bucket, and the
-    expression of the bucket. With distinct keys no bucket holds over ``_width`` rows.
+    Returns a one-row frame (_low, _width) and the expression of a row's bucket. As the
+    number of buckets is bounded whatever the input, a row for each may be broadcast or
+    meet in one task.
     """
     k = F.col(key).cast("decimal(20,0)")
-    bounds = df.agg(F.min(k).alias("_low"), F.max(k).alias("_high"), F.count(key).alias("_count")).select(
-        F.coalesce("_low", F.lit(0).cast("decimal(20,0)")).alias("_low"),
-        F.greatest(F.lit(1).cast("decimal(20,0)"), F.ceil((F.col("_high") - F.col("_low") + 1) / F.greatest("_count", F.lit(1))).cast("decimal(20,0)")).alias("_step"),
-    )
-    bucket = F.floor((k - F.col("_low")) / (F.coalesce("_step", F.lit(1).cast("decimal(20,0)")) * per_bucket)).cast("long")
-    return bounds, bucket
+    span = F.coalesce(F.max(k) - F.min(k) + 1, F.lit(1)).cast("double")
+    rows = F.greatest(F.count(key), F.lit(1)).cast("double")
+    width = F.greatest(F.lit(1.0), F.ceil(span * F.greatest(F.lit(float(per_bucket)) / rows, F.lit(1.0 / most))))
+    bounds = df.agg(F.coalesce(F.min(k), F.lit(0).cast("decimal(20,0)")).alias("_low"), width.cast("decimal(20,0)").alias("_width"))
+    return bounds, F.floor((k - F.col("_low")) / F.col("_width")).cast("long")
 
 
 def components(links: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:

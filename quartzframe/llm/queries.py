@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import fingerprint, pii, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_pii": pii.op2_pii,
+    "op3_fingerprint": fingerprint.op3_fingerprint,
 }
 
 ORACLE_SQL = {
