@@ -45,20 +45,26 @@ class Kind:
 KINDS = tuple(Kind(*x) for x in (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("date", DATE), ("ipv4", IPV4), ("ssn", SSN), ("phone", PHONE), ("card", CARD)))
 
 
-def _word(key: str, tag: str, step: int, *parts: Column) -> Column:
-    """A keyed round value, from 0 to 2**60 - 1."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(f"{key}|{tag}|{step}"), *[p.cast("string") for p in parts]), 256), 1, 15), 16, 10).cast("long")
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def permute_pair(a: Column, b: Column, size_a: Column, size_b: Column, key: str, tag: str, undo: bool = False) -> tuple[Column, Column]:
-    """Keyed permutation of the pairs of 0..size_a-1 and 0..size_b-1: alternating Feistel rounds, each adding to one half."""
-    for step in reversed(range(ROUNDS)) if undo else range(ROUNDS):
-        sign = -1 if undo else 1
-        if step % 2:
-            b = F.pmod(b + sign * F.pmod(_word(key, tag, step, a), size_b), size_b)
-        else:
-            a = F.pmod(a + sign * F.pmod(_word(key, tag, step, b), size_a), size_a)
-    return a, b
+def permute_pair(a: Column, b: Column, size_a: int, size_b: int, key: str, tag: str, undo: bool = False) -> Column:
+    """Keyed permutation of the pairs of 0..size_a-1 and 0..size_b-1, as a struct (a, b).
+
+    Alternating Feistel rounds: each adds a keyed hash of one half to the other, modulo its size.
+    """
+    sign = -1 if undo else 1
+
+    def turn(s: Column, step: Column) -> Column:
+        odd = step % 2 == 1
+        other, own, size = F.when(odd, s["a"]).otherwise(s["b"]), F.when(odd, s["b"]).otherwise(s["a"]), F.when(odd, F.lit(size_b)).otherwise(F.lit(size_a)).cast("long")
+        word = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(f"{key}|{tag}"), step.cast("string"), other.cast("string")), 256), 1, 15), 16, 10).cast("long")
+        return let(F.pmod(own + sign * F.pmod(word, size), size), lambda new: F.struct(F.when(odd, s["a"]).otherwise(new).alias("a"), F.when(odd, new).otherwise(s["b"]).alias("b")))
+
+    steps = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if undo else range(ROUNDS))])
+    return F.aggregate(steps, F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), turn)
 
 
 #: Characters that a pseudonym may change, by class; others stay where they are.
@@ -77,16 +83,19 @@ def permute_text(value: Column, key: str, tag: str, classes: tuple[str, ...] = C
     def shift(c: Column, by: Column) -> Column:
         out = c
         for alphabet in classes:
-            at = F.when(F.length(c) > 0, F.call_function("locate", c, F.lit(alphabet))).otherwise(0)
-            out = F.when(at > 0, F.substr(F.lit(alphabet), F.pmod(at - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))).otherwise(out)
+            at = F.call_function("locate", c, F.lit(alphabet))
+            out = F.when(F.lit(alphabet).contains(c), F.substr(F.lit(alphabet), F.pmod(at - 1 + by, F.lit(len(alphabet))) + 1, F.lit(1))).otherwise(out)
         return out
 
     def turn(chars: Column, step: Column) -> Column:
         fixed = F.array_join(F.transform(chars, lambda c, i: F.when(i % 2 != step % 2, c).otherwise("")), "")
-        stream = F.sha2(F.concat_ws("|", F.lit(f"{key}|{tag}"), step.cast("string"), F.size(chars).cast("string"), fixed), 256)
         sign = -1 if undo else 1
-        by = lambda i: sign * F.conv(stream.substr(F.pmod(F.floor(i / 2).cast("int"), F.lit(20)) * 3 + 1, F.lit(3)), 16, 10).cast("int")
-        return F.transform(chars, lambda c, i: F.when(i % 2 == step % 2, shift(c, by(i))).otherwise(c))
+
+        def shifted(stream: Column) -> Column:
+            by = lambda i: sign * F.conv(stream.substr(F.pmod(F.floor(i / 2).cast("int"), F.lit(20)) * 3 + 1, F.lit(3)), 16, 10).cast("int")
+            return F.transform(chars, lambda c, i: F.when(i % 2 == step % 2, shift(c, by(i))).otherwise(c))
+
+        return let(F.sha2(F.concat_ws("|", F.lit(f"{key}|{tag}"), step.cast("string"), F.size(chars).cast("string"), fixed), 256), shifted)
 
     steps = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if undo else range(ROUNDS))])
     return F.array_join(F.aggregate(steps, start, turn), "")
@@ -112,12 +121,14 @@ def luhn_sum(digits: Column) -> Column:
 
 def card(value: Column, key: str, undo: bool = False) -> Column:
     """All digits but the first and the check digit permuted, the check digit renewed; null unless Luhn-valid with 13 to 19 digits."""
-    d = _digits(value)
-    n = F.length(d)
-    body = F.concat(d.substr(F.lit(1), F.lit(1)), permute_text(d.substr(F.lit(2), n - 2), key, "card", CLASSES[:1], undo))
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
-    good = n.between(13, 19) & (F.pmod(luhn_sum(d), F.lit(10)) == 0)
-    return F.when(good, _refill(value, F.concat(body, check.cast("string"))))
+
+    def renewed(d: Column) -> Column:
+        n = F.length(d)
+        body = F.concat(d.substr(F.lit(1), F.lit(1)), permute_text(d.substr(F.lit(2), n - 2), key, "card", CLASSES[:1], undo))
+        whole = let(body, lambda x: F.concat(x, F.pmod(10 - F.pmod(luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
+        return F.when(n.between(13, 19) & (F.pmod(luhn_sum(d), F.lit(10)) == 0), _refill(value, whole))
+
+    return let(_digits(value), renewed)
 
 
 def _mod97(text: Column) -> Column:
@@ -131,41 +142,46 @@ def iban(value: Column, key: str, undo: bool = False) -> Column:
     flat = F.regexp_replace(value, " ", "")
     land, rest = flat.substr(1, 2), flat.substr(F.lit(5), F.length(flat))
     good = F.length(flat).between(15, 34) & (_mod97(F.concat(rest, land, flat.substr(3, 2))) == 1)
-    own = permute_text(value.substr(F.lit(5), F.length(value)), key, "iban", undo=undo)
-    check = F.lpad((98 - _mod97(F.concat(F.regexp_replace(own, " ", ""), land, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(good, F.concat(land, check, own))
+    check = lambda own: F.lpad((98 - _mod97(F.concat(F.regexp_replace(own, " ", ""), land, F.lit("00")))).cast("string"), 2, "0")
+    return F.when(good, let(permute_text(value.substr(F.lit(5), F.length(value)), key, "iban", undo=undo), lambda own: F.concat(land, check(own), own)))
 
 
 def date(value: Column, key: str, undo: bool = False) -> Column:
-    """A day of 1800 to 2199 mapped to another; yyyy-mm-dd, dd.mm.yyyy and mm/dd/yyyy (dd/mm/yyyy where only that exists) keep their form."""
-    day, slash = F.lit(FIRST_DAY).cast("date"), value.substr(3, 1)
-    us = F.try_to_timestamp(value, F.lit("MM/dd/yyyy")).cast("date")
-    form = F.when(value.substr(5, 1) == "-", "yyyy-MM-dd").when(slash == ".", "dd.MM.yyyy").when(us.isNotNull(), "MM/dd/yyyy").otherwise("dd/MM/yyyy")
-    read = F.coalesce(*[F.when(form == f, F.try_to_timestamp(value, F.lit(f)).cast("date")) for f in ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")])
-    at = F.datediff(read, day)
-    a, b = permute_pair(F.floor(at / DAYS_B).cast("long"), F.pmod(at, F.lit(DAYS_B)).cast("long"), F.lit(DAYS_A), F.lit(DAYS_B), key, "date", undo)
-    out = F.date_add(day, (a * DAYS_B + b).cast("int"))
-    text = F.when(form == "yyyy-MM-dd", F.date_format(out, "yyyy-MM-dd")).when(form == "dd.MM.yyyy", F.date_format(out, "dd.MM.yyyy")).when(form == "MM/dd/yyyy", F.date_format(out, "MM/dd/yyyy")).otherwise(F.date_format(out, "dd/MM/yyyy"))
-    return F.when(read.isNotNull() & at.between(0, DAYS_A * DAYS_B - 1), text)
+    """A day of 1800 to 2199 mapped to another; yyyy-mm-dd and dd.mm.yyyy keep their form, slashes give mm/dd/yyyy."""
+    first, number = F.lit(FIRST_DAY).cast("date"), lambda at, n: value.substr(at, n).cast("int")
+    iso, dots = value.substr(5, 1) == "-", value.substr(3, 1) == "."
+    year = F.when(iso, number(1, 4)).otherwise(number(7, 4))
+    month = F.when(iso, number(6, 2)).when(dots, number(4, 2)).otherwise(number(1, 2))
+    day = F.when(iso, number(9, 2)).when(dots, number(1, 2)).otherwise(number(4, 2))
+    read = F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd")
+
+    def write(out: Column) -> Column:
+        return F.when(iso, F.date_format(out, "yyyy-MM-dd")).when(dots, F.date_format(out, "dd.MM.yyyy")).otherwise(F.date_format(out, "MM/dd/yyyy"))
+
+    def moved(at: Column) -> Column:
+        pair = permute_pair(F.floor(at / DAYS_B), F.pmod(at, F.lit(DAYS_B)), DAYS_A, DAYS_B, key, "date", undo)
+        return F.when(at.between(0, DAYS_A * DAYS_B - 1), let(pair, lambda p: let(F.date_add(first, (p["a"] * DAYS_B + p["b"]).cast("int")), write)))
+
+    return let(F.datediff(read, first), moved)
 
 
 def ipv4(value: Column, key: str, undo: bool = False) -> Column:
     """Four octets as two halves of 16 bits; null if an octet exceeds 255."""
-    o = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
-    a, b = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ipv4", undo)
-    text = F.concat_ws(".", *[x.cast("string") for x in (F.floor(a / 256), F.pmod(a, F.lit(256)), F.floor(b / 256), F.pmod(b, F.lit(256)))])
-    return F.when(F.forall(o, lambda x: x <= 255), text)
+
+    def moved(o: Column) -> Column:
+        octets = lambda p: F.concat_ws(".", *[x.cast("string") for x in (F.floor(p["a"] / 256), F.pmod(p["a"], F.lit(256)), F.floor(p["b"] / 256), F.pmod(p["b"], F.lit(256)))])
+        return F.when(F.forall(o, lambda x: x <= 255), let(permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, key, "ipv4", undo), octets))
+
+    return let(F.transform(F.split(value, r"\."), lambda x: x.cast("long")), moved)
 
 
 def ssn(value: Column, key: str, undo: bool = False) -> Column:
     """Area (not 000, 666 or 9xx), group and serial number (not zero), permuted among the valid ones."""
-    d = _digits(value).cast("long")
-    area, low = F.floor(d / 1000000).cast("long"), F.pmod(d, F.lit(1000000))
-    group, serial = F.floor(low / 10000).cast("long"), F.pmod(low, F.lit(10000))
+    area, group, serial = (value.substr(at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
     good = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    a, b = permute_pair(F.when(area > 666, area - 2).otherwise(area - 1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn", undo)
-    a2 = F.when(a >= 665, a + 2).otherwise(a + 1)
-    return F.when(good, F.concat(F.lpad(a2.cast("string"), 3, "0"), F.lit("-"), F.lpad((F.floor(b / 9999) + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.pmod(b, F.lit(9999)) + 1).cast("string"), 4, "0")))
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    text = lambda p: F.concat_ws("-", pad(F.when(p["a"] >= 665, p["a"] + 2).otherwise(p["a"] + 1), 3), pad(F.floor(p["b"] / 9999) + 1, 2), pad(F.pmod(p["b"], F.lit(9999)) + 1, 4))
+    return F.when(good, let(permute_pair(F.when(area > 666, area - 2).otherwise(area - 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn", undo), text))
 
 
 def phone(value: Column, key: str, undo: bool = False) -> Column:
@@ -199,10 +215,8 @@ def pattern(kinds: tuple[Kind, ...] = KINDS) -> str:
 
 def replacement(found: Column, key: str, kinds: tuple[Kind, ...] = KINDS, undo: bool = False) -> Column:
     """The pseudonym of one found value, or the value where no kind accepts it."""
-    out = found
-    for k in reversed(kinds):
-        out = F.when(found.rlike(f"^(?:{k.pattern})$"), F.coalesce(MAKERS[k.name](found, key, undo), out)).otherwise(out)
-    return out
+    tries = [F.when(found.rlike(f"^(?:{k.pattern})$"), MAKERS[k.name](found, key, undo)) for k in kinds]
+    return F.coalesce(*tries, found)
 
 
 def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: tuple[Kind, ...] = KINDS, count: str | None = None, undo: bool = False) -> DataFrame:
