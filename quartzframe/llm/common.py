@@ -69,15 +69,15 @@ def slot(column: Column, slots: int = FILTER_SLOTS) -> Column:
     return F.pmod(column, F.lit(slots)).cast("int")
 
 
-def within_slots(df: DataFrame, column: Column, wanted: DataFrame, wanted_column: Column, slots: int = FILTER_SLOTS) -> DataFrame:
-    """Rows of ``df`` whose hash shares a slot with one of ``wanted``.
+def within_slots(df: DataFrame, column: Column, wanted: DataFrame, wanted_column: Column, slots: int = FILTER_SLOTS, keep: bool = True) -> DataFrame:
+    """Rows of ``df`` whose hash shares a slot with one of ``wanted``, or without ``keep`` the others.
 
     The broadcast side has at most ``slots`` distinct integers whatever the input. Rows that
     pass by chance are for the exact join that follows to drop; at sizes where every slot
     is taken the filter lets all rows through and only its gain is lost.
     """
     taken = wanted.select(slot(wanted_column, slots).alias("_slot")).distinct()
-    return df.withColumn("_slot", slot(column, slots)).join(F.broadcast(taken), "_slot", "left_semi").drop("_slot")
+    return df.withColumn("_slot", slot(column, slots)).join(F.broadcast(taken), "_slot", "left_semi" if keep else "left_anti").drop("_slot")
 
 
 def ordered_buckets(df: DataFrame, key: str, per_bucket: int = 2048, most: int = 1 << 16) -> tuple[DataFrame, Column]:
