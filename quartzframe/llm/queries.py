@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, pii, token_store, url_filter
+from . import fingerprint, packing, pii, token_store, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_pii": pii.op2_pii,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op6_token_store": token_store.op6_token_store,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
