@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, packing, pii, token_store, url_filter, weak_rules
+from . import fingerprint, neighbours, packing, pii, token_store, url_filter, weak_rules
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_pii": pii.op2_pii,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op6_token_store": token_store.op6_token_store,
+    "op7_quality_classifier": neighbours.op7_quality_classifier,
     "op8_quality_rules": weak_rules.op8_quality_rules,
     "op10_packing": packing.op10_packing,
 }
