@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, neighbours, packing, pii, token_store, url_filter, weak_rules
+from . import fingerprint, near_dedup, neighbours, packing, pii, token_store, url_filter, weak_rules
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,9 +11,11 @@ QUERIES = {
     "op6_token_store": token_store.op6_token_store,
     "op7_quality_classifier": neighbours.op7_quality_classifier,
     "op8_quality_rules": weak_rules.op8_quality_rules,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": url_filter.ORACLE_SQL,
+    "op9_near_dedup": near_dedup.ORACLE_SQL,
 }
