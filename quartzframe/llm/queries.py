@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, near_dedup, neighbours, packing, pii, sp_dropout, token_store, url_filter, weak_rules
+from . import fingerprint, line_dedup, near_dedup, neighbours, packing, pii, sp_dropout, token_store, url_filter, weak_rules
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_pii": pii.op2_pii,
     "op3_fingerprint": fingerprint.op3_fingerprint,
     "op4_sp_dropout": sp_dropout.op4_sp_dropout,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_token_store": token_store.op6_token_store,
     "op7_quality_classifier": neighbours.op7_quality_classifier,
     "op8_quality_rules": weak_rules.op8_quality_rules,
