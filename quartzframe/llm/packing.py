@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize
 
-TEXTS_PER_CALL = 512
 
 
 @dataclass(frozen=True)
@@ -48,13 +47,14 @@ def encode(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .wordbpe import word_bpe
 
-        bpe, tail = word_bpe(tokenizer), np.array([end], "<u4").tobytes()
-        kind = "<u2" if bpe.size <= 65536 else "<u4"
+        bpe = word_bpe(tokenizer)
+        kind = "<u2" if max(bpe.size, end + 1) <= 65536 else "<u4"
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_PER_CALL):
-                part = batch.slice(at, TEXTS_PER_CALL)
-                raws = [np.frombuffer(r + tail, "<u4") for r in bpe.encode_many(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array([r.astype(kind).tobytes() for r in raws], pa.binary())], names=["doc_id", "n", "ids"])
+            for at, plain, borders in bpe.parts(batch.column(1)):
+                raw = np.insert(plain, borders[1:], end).astype(kind)
+                bounds = borders + np.arange(len(borders))
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds * raw.itemsize), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(bounds) - 1), pa.array(np.diff(bounds)), ids.cast(pa.binary())], names=["doc_id", "n", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, ids binary")

@@ -33,26 +33,29 @@ from .common import documents, keyed_join, materialize, ordered_buckets, scratch
 #: Ids that a rolling hash covers, bits that must be zero at a cut, least and most ids of a chunk.
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 4096
 MIX = np.uint32(0x9E3779B1)
-TEXTS_PER_CALL = 512
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream: where the rolling hash of the last ids has its high bits zero."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def cut_places(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last ids has its high bits zero: ends of possible chunks.
+
+    Streams may stand one after another, as a cut lies more ids from its stream's begin than the hash covers.
+    """
     gear = ids.astype(np.uint32) * MIX
     gear ^= gear >> np.uint32(15)
     rolled = gear.copy()
     for k in range(1, WINDOW):
         rolled[k:] += gear[:-k] << np.uint32(k)
-    places = (np.flatnonzero((rolled * MIX) >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist()
-    ends, last = [], 0
-    for p in [*places, n]:
+    return np.flatnonzero((rolled * MIX) >> np.uint32(32 - CUT_BITS) == 0) + 1
+
+
+def cut(places: list[int], start: int, end: int) -> list[int]:
+    """Ends of the chunks of the stream from ``start`` to ``end``, given the possible ones inside it."""
+    ends, last = [], start
+    for p in [*places, end]:
         while p - last > MOST:
             last += MOST
             ends.append(last)
-        if p - last >= LEAST or p == n and p > last:
+        if p - last >= LEAST or p == end and p > last:
             last = p
             ends.append(p)
     return ends
@@ -110,24 +113,29 @@ def encode(docs: DataFrame, tokenizer: str, end: int, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .wordbpe import word_bpe
 
-        bpe, tail, met = word_bpe(tokenizer), np.array([end], "<u4").tobytes(), set()
+        bpe, met = word_bpe(tokenizer), set()
+        kinds = {"n_tokens": pa.int64(), "hashes": pa.list_(pa.binary()), "root": pa.binary(), "chunks": pa.list_(pa.binary())}
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_PER_CALL):
-                part = batch.slice(at, TEXTS_PER_CALL)
-                out: dict[str, list] = {c: [] for c in ("n_tokens", "hashes", "root", "chunks")}
-                for raw in bpe.encode_many(part.column(1).to_pylist()):
-                    raw += tail
-                    hashes, chunks, start = [], [], 0
-                    for stop in cut(np.frombuffer(raw, "<u4")):
-                        payload = pack(raw[4 * start : 4 * stop])
+            for at, plain, borders in bpe.parts(batch.column(1)):
+                ids = np.insert(plain, borders[1:], end)
+                bounds = (borders + np.arange(len(borders))).tolist()
+                places = cut_places(ids)
+                inside = np.searchsorted(places, bounds, side="right").tolist()
+                places = places.tolist()
+                narrow = ids.astype("<u2") if not len(ids) or ids.max() < 65536 else None
+                out: dict[str, list] = {c: [] for c in kinds}
+                for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    hashes, chunks = [], []
+                    for stop in cut(places[inside[i] : inside[i + 1]], a, b) if b - a > LEAST else [b]:
+                        payload = b"\2" + narrow[a:stop].tobytes() if narrow is not None else pack(ids[a:stop].tobytes())
                         hashes.append(h := chunk_hash(payload))
                         chunks.append(None if h in met else payload)
                         met.add(h)
-                        start = stop
-                    for c, v in (("n_tokens", len(raw) // 4), ("hashes", hashes), ("root", merkle(hashes)), ("chunks", chunks)):
+                        a = stop
+                    for c, v in zip(kinds, (bounds[i + 1] - bounds[i], hashes, merkle(hashes), chunks)):
                         out[c].append(v)
-                kinds = {"n_tokens": pa.int64(), "hashes": pa.list_(pa.binary()), "root": pa.binary(), "chunks": pa.list_(pa.binary())}
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(out[c], kinds[c]) for c in kinds)], names=["doc_id", *kinds])
+                keys = batch.column(0).slice(at, len(bounds) - 1)
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(out[c], kinds[c]) for c in kinds)], names=["doc_id", *kinds])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, hashes array<binary>, root binary, chunks array<binary>")

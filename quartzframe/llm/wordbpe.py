@@ -1,73 +1,150 @@
 """Token ids of whole texts by a word-level BPE of the tokenizers library, with a cache of pieces.
 
 White space always separates tokens of such a vocabulary, so a text's ids are those of its pieces
-between spaces and line ends, and a piece's ids don't depend on its neighbours. The library
-encodes every piece that the cache doesn't hold, in one call for a batch of texts, with a
-special token between the pieces. The cache is emptied when full: its size is bounded.
+between spaces and line ends, and a piece's ids don't depend on its neighbours. A batch of
+texts is cut into pieces in Arrow; only its different pieces are looked up, and the library
+encodes those that the cache doesn't hold in one call, with a special token between them. The
+cache is emptied when full: its size is bounded.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-from tokenizers import Tokenizer  # noqa: E402
+from tokenizers import Tokenizer, normalizers  # noqa: E402
 
-#: Where a comma or full stop is part of a longer run of marks, it stays with its piece.
-RUN = re.compile(r"[^\w\s][.,]\s")
-MOST = 500_000
+#: Composed letters whose lower case is one letter each, and marks that are tokens apart from letters.
+LATIN, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-į]+"), ".,!?;:#$%&*"
+MOST = 800_000
+#: Words for one call of the library; bytes of text that are gathered at once.
+WORDS, TEXT_BYTES = 10_000, 8 << 20
 
 
 class WordBpe:
     def __init__(self, path: str, most: int = MOST):
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.known: dict[str, bytes] = {"": b""}
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark = max(self.special)
+        self.plain = Tokenizer.from_file(path)  # for lower-case composed words, which the normalizer leaves as they are
+        self.plain.normalizer = normalizers.Sequence([])
+        if hasattr(self.plain.model, "_resize_cache"):
+            self.plain.model._resize_cache(0)  # each word is asked for once
+        self.last = np.zeros(self.size, dtype=bool)
+        for token, i in self.plain.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+        self._empty()
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        """Pieces between white space; in Latin-1 texts also without case and without the comma or full stop at their end."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            pass
-        else:
-            text = text.lower()
-            if not RUN.search(text):
-                text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
-        return text.replace("\n", " ").split(" ")
+    def _empty(self) -> None:
+        self.known: dict[str, int] = {"": 0}  # place of a piece in starts and lengths
+        self.starts, self.lengths, self.tokens = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _add(self, pieces: list[str], lengths: np.ndarray, tokens: np.ndarray) -> None:
+        """Takes pieces into the cache whose tokens stand one after another."""
+        first = len(self.starts)
+        self.known.update(zip(pieces, range(first, first + len(pieces))))
+        self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.tokens = np.concatenate([self.tokens, tokens])
+
+    def _library(self, pieces: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        between = ids == self.special[self.mark]
+        ends = np.append(np.flatnonzero(between), len(ids))
+        assert len(ends) == len(pieces)
+        self._add(pieces, np.diff(ends, prepend=-1) - 1, ids[~between])
+
+    def _words(self, words: list[str]) -> None:
+        """Lower-case composed words: the library gets them with spaces between, and each ends with a token that ends words."""
+        for at in range(0, len(words), WORDS):
+            part = words[at : at + WORDS]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids])
+            if len(ends) == len(part):
+                self._add(part, np.diff(ends, prepend=-1), ids)
+            else:
+                self._library(part)
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of pieces one after another, and their number for each piece."""
+        lengths = self.lengths[places]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat((self.starts[places] - ends + lengths).astype(np.int32), lengths)
+        at += np.arange(total, dtype=np.int32)
+        return self.tokens[at], lengths
 
     def _learn(self, missing: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(missing)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = (np.flatnonzero(ids == self.special[self.mark]) * 4).tolist()
-        raw, start = ids.tobytes(), 0
-        for piece, end in zip(missing, [*ends, len(raw)], strict=True):
-            self.known[piece] = raw[start:end]
-            start = end + 4
-
-    def encode_many(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text (null: none) as little-endian unsigned 32-bit integers."""
-        texts = [t or "" for t in texts]
-        odd = [any(s in t for s in self.special) or "<|" in t for t in texts]  # these strings are tokens in a text
-        split = [[] if o else self._pieces(t) for t, o in zip(texts, odd)]
+        """Encodes new pieces; words that differ in case or in the marks after them are encoded once."""
+        known, words, other, joined, parts = self.known, {}, {}, [], []
+        for p in missing:
+            word = p.rstrip(MARKS)
+            if not word.isalpha() or not (word.isascii() or LATIN.fullmatch(word)):
+                other[p] = None
+                continue
+            core = word.lower()
+            if core not in known:
+                words[core] = None
+            if core is not p and core != p:
+                joined.append(p)
+                parts.append(core)
+                parts.append(mark := p[len(word) :])
+                if mark not in known:
+                    other[mark] = None
+        self._words(list(words))
+        if other:
+            self._library(list(other))
+        if joined:
+            tokens, lengths = self._gather(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)))
+            self._add(joined, lengths[::2] + lengths[1::2], tokens)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Runs of ``texts`` of bounded size: where one begins, its ids and their bounds (see encode)."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        groups = (np.cumsum(sizes) - sizes) // TEXT_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield a, *self.encode(texts.slice(a, b - a))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none) one after another, and where each text's begin and the last's end."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.indices_nonzero(pc.match_substring(texts, "<|")).to_pylist()  # special tokens may stand in a text
+        if odd:
+            plain = texts.to_pylist()
+            whole = {i: self._whole(plain[i]) for i in odd}
+            for i in odd:
+                plain[i] = ""
+            ids, bounds = self.encode(pa.array(plain, pa.string()))
+            parts = [whole.get(i, ids[bounds[i] : bounds[i + 1]]) for i in range(len(plain))]
+            return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        flat, offsets = lists.flatten(), np.asarray(lists.offsets, np.int64)
+        coded = flat.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
         if len(self.known) > self.most:
-            self.known = {"": b""}
-        if missing := set(itertools.chain.from_iterable(split)).difference(self.known):
-            self._learn(list(missing))
-        get = self.known.__getitem__
-        return [self._whole(t) if o else b"".join(map(get, parts)) for t, o, parts in zip(texts, odd, split)]
+            self._empty()
+        get = self.known.get
+        places = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        if len(new := np.flatnonzero(places < 0)):
+            missing = [pieces[i] for i in new.tolist()]
+            self._learn(missing)
+            places[new] = list(map(self.known.__getitem__, missing))
+        ids, lengths = self._gather(places[np.asarray(coded.indices)])
+        return ids, np.append(0, np.cumsum(lengths))[offsets - offsets[0]]
 
 
 @functools.lru_cache(maxsize=2)
