@@ -36,7 +36,7 @@ SPACE = "▁"
 #: Of the keyed hash of a candidate's span.
 M1, M2, M3, M4, LOW = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, (1 << 32) - 1
 #: Characters of a unit up to which a list serves as agenda; a rank that no piece has.
-SHORT, NONE = 40, float("inf")
+SHORT, NONE, NO_RANK = 40, float("inf"), np.iinfo(np.int32).max
 #: Units as the agenda sees them: spaces with what follows, or what follows a line end.
 UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 MOST, TEXT_BYTES = 400_000, 8 << 20
@@ -72,10 +72,37 @@ class Pieces:
             elif not special[i]:
                 self.ids[piece], self.rank[piece] = i, -model.get_score(i)
                 self.raw[i] = piece.replace(SPACE, " ").encode()
+        self._pairs()
         lengths = np.array([len(r) for r in self.raw], np.int64)
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
+    def _pairs(self) -> None:
+        """All pairs of symbols that form a piece, sorted by key, with the piece and its rank."""
+        size = len(self.raw)
+        symbol = lambda s: self.ids.get(s, size + ord(s) if len(s) == 1 else None)
+        self.chars = np.arange(size, size + 0x10000, dtype=np.int64)  # characters without a piece lie beyond all pieces
+        for s, i in self.ids.items():
+            if len(s) == 1 and ord(s) < 0x10000:
+                self.chars[ord(s)] = i
+        self.width = np.int64(size + 0x110000)
+        found = {}
+        for s, i in self.ids.items():
+            for k in range(1, len(s)):
+                a, b = symbol(s[:k]), symbol(s[k:])
+                if a is not None and b is not None:
+                    found[a * int(self.width) + b] = (i, int(self.rank[s]))
+        keys = sorted(found)
+        self.pair_keys = np.array([*keys, np.iinfo(np.int64).max], np.int64)
+        self.pair_piece = np.array([*(found[k][0] for k in keys), -1], np.int64)
+        self.pair_rank = np.array([*(found[k][1] for k in keys), NO_RANK], np.int32)
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place of each pair in the tables, the last place where it forms no piece; symbols under 0 form none."""
+        keys = left * self.width + right
+        at = np.searchsorted(self.pair_keys, keys)
+        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), at, len(self.pair_keys) - 1).astype(np.int32)
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for, with the space that begins every text."""
         lengths = self.lengths[ids]
@@ -157,16 +184,79 @@ class Segmenter:
             at = end
         return out
 
+    def units(self, units: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many units one after another, and their number for each: the agendas of all advance together."""
+        out: list = [None] * len(units)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        for low, high in ((1, 8), (8, 14), (14, SHORT)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            for at in range(0, len(rows), 1 << 15):
+                self._together([units[i] for i in rows[at : at + (1 << 15)]], variants[rows[at : at + (1 << 15)]], rows[at : at + (1 << 15)], high, out)
+        for i in np.flatnonzero((sizes <= 1) | (sizes > SHORT)).tolist():
+            out[i] = self.unit(units[i], int(variants[i])) if units[i] else []
+        lengths = np.fromiter(map(len, out), np.int64, len(out))
+        return np.concatenate([np.zeros(0, np.int64), *out]).astype(np.uint32), lengths
+
+    def _together(self, units: list[str], variants: np.ndarray, rows: np.ndarray, width: int, out: list) -> None:
+        """Fills ``out`` at ``rows`` with the ids of units of 2 to ``width`` characters."""
+        t, n = self.pieces, len(units)
+        points = np.array(units, f"<U{width}").view(np.uint32).reshape(n, width)
+        sizes = np.fromiter(map(len, units), np.int64, n)
+        inside = np.arange(width) < sizes[:, None]
+        symbols = np.where(inside, np.where(points < 0x10000, t.chars[points & 0xFFFF], len(t.raw) + points.astype(np.int64)), -1)
+        seeds = [self.p.seed * 1_000_003 + v for v in range(self.p.variants)]
+        base = np.fromiter((xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass"), seeds[v]) for u, v in zip(units, variants.tolist())), np.uint64, n)
+        starts = np.minimum(np.arange(width + 2), sizes[:, None])
+        pairs = t.pair(symbols[:, :-1], symbols[:, 1:])
+        ranks = t.pair_rank[pairs]
+        m1, m2, m3, m4, limit = (np.uint64(x) for x in (M1, M2, M3, M4, self.limit))
+        places = np.arange(width)
+        while True:
+            best = ranks.argmin(axis=1)
+            each = np.arange(len(rows))
+            busy = ranks[each, best] != NO_RANK
+            if not busy.all():
+                for i in np.flatnonzero(~busy).tolist():
+                    ids = symbols[i][symbols[i] >= 0]
+                    out[rows[i]] = ids if ids.max() < len(t.raw) else np.array([x for s in ids.tolist() for x in ([s] if s < len(t.raw) else self._ids(chr(s - len(t.raw))))], np.int64)
+                rows, symbols, starts, pairs, ranks, base, best = (x[busy] for x in (rows, symbols, starts, pairs, ranks, base, best))
+                each = np.arange(len(rows))
+            if not len(rows):
+                return
+            span = [starts[each, best + k].astype(np.uint64) for k in range(3)]
+            drawn = (base ^ (span[0] * m1 + span[1] * m2 + span[2] * m3)) * m4 >> np.uint64(27) & np.uint64(LOW)
+            skip = drawn < limit
+            ranks[each[skip], best[skip]] = NO_RANK
+            go, at = each[~skip], best[~skip]
+            if not len(go):
+                continue
+            piece = t.pair_piece[pairs[go, at]]
+            shift = places + (places > at[:, None])  # drops the right symbol
+            padded = np.concatenate([symbols[go], np.full((len(go), 1), -1)], axis=1)
+            new = np.take_along_axis(padded, shift, axis=1)
+            new[np.arange(len(go)), at] = piece
+            symbols[go] = new
+            long = np.arange(width + 2)
+            old = starts[go]
+            starts[go] = np.take_along_axis(old, np.minimum(long + (long > at[:, None]), width + 1), axis=1)
+            last = len(t.pair_keys) - 1
+            gap = places[:-1] + (places[:-1] > at[:, None])
+            wide = np.concatenate([pairs[go], np.full((len(go), 1), last, np.int32)], axis=1)
+            kept = np.take_along_axis(np.concatenate([ranks[go], np.full((len(go), 1), NO_RANK, np.int32)], axis=1), gap, axis=1)
+            moved = np.take_along_axis(wide, gap, axis=1)
+            here = np.arange(len(go))
+            follow = at < width - 1
+            right = t.pair(piece[follow], new[here[follow], at[follow] + 1])
+            moved[here[follow], at[follow]], kept[here[follow], at[follow]] = right, t.pair_rank[right]
+            lead = at > 0
+            left = t.pair(new[here[lead], at[lead] - 1], piece[lead])
+            moved[here[lead], at[lead] - 1], kept[here[lead], at[lead] - 1] = left, t.pair_rank[left]
+            pairs[go], ranks[go] = moved, kept
+
     def _ids(self, symbol: str) -> list[int]:
         i = self.pieces.ids.get(symbol)
         return [self.pieces.byte_ids[b] for b in symbol.replace("\0", SPACE).encode("utf-8", "surrogatepass")] if i is None else [i]
 
-    def _piece(self, piece: str, variant: int) -> list[int]:
-        """A word with the space before it, or a line end with the word right after it."""
-        if piece.startswith("\n"):
-            return [self.pieces.byte_ids[10], *(self.unit(piece[1:], variant) if len(piece) > 1 else [])]
-        return self.unit(SPACE + piece, variant)
-
     def text(self, text: str, variants: np.ndarray | None = None, key: int = 0) -> list[int]:
         """Ids of one text of any kind. Literal marks and NULs take the way over bytes."""
         out: list[int] = []
@@ -208,11 +298,14 @@ class Segmenter:
         wanted = np.flatnonzero(need & (self.starts < 0)).tolist()
         if wanted:
             by_place = dict(zip((self.known[n] for n in names), names))
-            cuts = [self._piece(by_place[w // v], w % v) for w in wanted]
-            lengths = np.array([len(c) for c in cuts], np.int64)
+            cuts = [by_place[w // v] for w in wanted]
+            line = np.array([c.startswith("\n") for c in cuts])
+            tokens, lengths = self.units([c[1:] if e else SPACE + c for c, e in zip(cuts, line.tolist())], np.array(wanted) % v)
+            tokens = np.insert(tokens, (np.cumsum(lengths) - lengths)[line], self.pieces.byte_ids[10])
+            lengths = lengths + line
             self.starts[wanted] = len(self.tokens) + np.cumsum(lengths) - lengths
             self.lengths[wanted] = lengths
-            self.tokens = np.concatenate([self.tokens, np.array([i for c in cuts for i in c], np.uint32)])
+            self.tokens = np.concatenate([self.tokens, tokens])
         places = places[keep]
         lengths = self.lengths[places].astype(np.int64)
         ends = np.cumsum(lengths)
