@@ -100,18 +100,19 @@ def components(links: DataFrame, name: str = "components", max_rounds: int = 60)
 
     Alternates large-star and small-star rounds over frames in the shared folder until no
     link changes; the driver sees two figures a round and never a link. Each round takes
-    minima (aggregated before the shuffle) and joins them back through salted keys, so a
-    hub is no single task.
+    minima (aggregated before the shuffle), writes them and joins them back by a plain join of two
+    tables, which adaptive execution splits where a hub is large.
     """
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = mark(edges)
     for _ in range(max_rounds):
-        least = edges.groupBy(F.col("b").alias("_k")).agg(F.lit(None).cast("long").alias("_m")).union(edges.groupBy("a").agg(F.min("b"))).groupBy("_k").agg(F.min(F.coalesce("_m", "_k")).alias("_m"))
-        large = keyed_join(edges.withColumnRenamed("b", "_k"), least, ["_k"]).select("a", F.col("_m").alias("b")).where("a <> b").distinct()
-        large = materialize(large, name)
-        low = large.groupBy("a").agg(F.min("b").alias("_m"))
-        small = keyed_join(large, low, ["a"]).select(F.explode(F.array(F.struct("a", F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("e"))
+        near = edges.select(F.col("b").alias("_k"), F.col("b").alias("_n")).union(edges)
+        least = materialize(near.groupBy("_k").agg(F.min("_n").alias("_m")), name)
+        large = edges.withColumnRenamed("b", "_k").join(least, "_k").select("a", F.col("_m").alias("b")).where("a <> b")
+        large = materialize(large.distinct(), name)
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("_m")), name)
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("e"))
         edges = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), name)
         last, seen = seen, mark(edges)
         if last == seen:

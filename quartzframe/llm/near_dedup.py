@@ -3,10 +3,13 @@
 A document's set is that of its 5-word shingles. Documents with one and the same set are
 collapsed; the rest are signed by MinHash, banded, and folded into an odd sketch: a bitmap in
 which each sample flips one bit, so that the population count of two sketches' XOR tells how
-many samples differ. Inside a band's bucket every member is compared with one centre, first by
-sketch, then on the full sets; members of buckets that still hold several components
-after these rounds are compared across components, until no candidate is left. Links are never
-listed for all pairs of a group, only between different sets that need a comparison.
+many samples differ. Inside a band's bucket every member is compared on the full sets with one
+centre, the member whose bands meet the most others. Where a bucket still holds several
+components, members outside that of its centre are compared across components: candidates are
+those that the distances to the centre (Jaccard distance is a metric), the set sizes and two odd
+sketches allow: that of the samples, and one of the whole sets, whose XOR never has more bits than the
+sets have different members. Each candidate is confirmed on the full sets. So links are never listed for
+all pairs of a group, and none between different sets is lost that the bands offer.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with
 nothing. With fewer than five words the whole sequence is the one shingle. Repeated rows and rows of
@@ -16,6 +19,7 @@ table gives an empty result. Only the named columns are read, so further columns
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -33,16 +37,17 @@ from .common import components, documents, keyed_join, materialize, within_slots
 @dataclass(frozen=True)
 class NearDedup:
     """words: of a shingle; percent: least similarity; bands, rows: of the signature (a pair at 0.75 is missed with a chance of
-    5e-6); bits: of the odd sketch; floor: estimate below which a pair isn't confirmed, six standard deviations
-    under the threshold; rounds: comparisons with a centre before those across components; seed: of the hashes."""
+    5e-6); samples: MinHash values folded into the odd sketch, of so many bits; floor: estimate below which a pair isn't
+    confirmed, six standard deviations under the threshold; whole: bits of the whole sets' sketch; seed: of the hashes."""
 
     words: int = 5
     percent: int = 75
     bands: int = 32
     rows: int = 4
-    bits: int = 512
-    floor: float = 0.5
-    rounds: int = 2
+    samples: int = 256
+    bits: int = 1024
+    floor: float = 0.57
+    whole: int = 2048
     seed: int = 11
 
 
@@ -54,6 +59,8 @@ class WordHashes(dict):
         return h
 
 
+#: Words whose hashes a worker keeps.
+MOST_WORDS = 500_000
 _HASHES = WordHashes()
 _WEIGHTS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -72,7 +79,7 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     tokens = text.encode("utf-8", "surrogatepass").lower().split()  # bytes fold A-Z only and split at space and \x09 to \x0D
     if not tokens:
         return np.zeros(0, np.uint64)
-    if len(_HASHES) > 500_000:
+    if len(_HASHES) > MOST_WORDS:
         _HASHES.clear()
     h = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
     if len(h) < words:
@@ -83,45 +90,58 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(mix(total + np.uint64(words)))
 
 
+@functools.lru_cache(maxsize=4)
+def _family(p: NearDedup) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and offsets of the hash functions on 32 bits, a column each."""
+    rng = np.random.default_rng(p.seed)
+    size = max(p.samples, p.bands * p.rows)
+    return rng.integers(0, 2**31, (size, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, (size, 1), dtype=np.uint32)
+
+
 def signature(found: np.ndarray, p: NearDedup) -> np.ndarray:
     """MinHash values of a non-empty set."""
-    rng = np.random.default_rng(p.seed)
-    k = p.bands * p.rows
-    shift = rng.integers(0, 2**63, k, dtype=np.uint64)[:, None]
-    factor = rng.integers(0, 2**62, k, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-    out = np.full(k, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 2048):
-        part = (found[None, at : at + 2048] ^ shift) * factor
-        np.minimum(out, (part ^ (part >> np.uint64(29))).min(axis=1), out=out)
+    factor, offset = _family(p)
+    out = np.full(len(factor), np.iinfo(np.uint32).max, np.uint32)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 1024):
+        part = short[None, at : at + 1024] * factor
+        part += offset
+        np.minimum(out, part.min(axis=1), out=out)
     return out
 
 
 def band_keys(sig: np.ndarray, p: NearDedup) -> np.ndarray:
-    rows = sig.reshape(p.bands, p.rows)
-    return mix((rows * _WEIGHTS[: p.rows]).sum(axis=1) + np.arange(p.bands, dtype=np.uint64)).view(np.int64)
+    rows = sig[: p.bands * p.rows].astype(np.uint64).reshape(p.bands, p.rows)
+    return mix((mix(rows) * _WEIGHTS[: p.rows]).sum(axis=1) + np.arange(p.bands, dtype=np.uint64)).view(np.int64)
 
 
 def odd_sketch(sig: np.ndarray, p: NearDedup) -> np.ndarray:
     """Parity bitmap of the samples, as signed 64-bit words."""
+    sig = sig[: p.samples].astype(np.uint64)
     places = mix(sig + np.arange(1, len(sig) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(p.bits)
     odd = np.bincount(places.astype(np.int64), minlength=p.bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def whole_sketch(found: np.ndarray, p: NearDedup) -> np.ndarray:
+    """Parity bitmap of all members of a set."""
+    odd = np.bincount((found % np.uint64(p.whole)).astype(np.int64), minlength=p.whole) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def most_differing(p: NearDedup) -> int:
     """The largest population count of an XOR whose estimate reaches the floor."""
-    samples = p.bands * p.rows
-    return int(p.bits / 2 * (1 - (1 - 2 / p.bits) ** (2 * samples * (1 - p.floor))))
+    return int(p.bits / 2 * (1 - (1 - 2 / p.bits) ** (2 * p.samples * (1 - p.floor))))
 
 
 def sketch_estimate(differing: int, p: NearDedup) -> float:
     """Similarity that a population count speaks for."""
     rest = 1 - 2 * differing / p.bits
-    return 1 + math.log(rest) / (2 * p.bands * p.rows * -math.log(1 - 2 / p.bits)) if rest > 0 else 0.0
+    return 1 + math.log(rest) / (2 * p.samples * -math.log(1 - 2 / p.bits)) if rest > 0 else 0.0
 
 
 def sketches(docs: DataFrame, p: NearDedup, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, set_key, bands, odd)."""
+    """Rows (doc_id, n_shingles, set_key, bands, odd, whole)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,14 +152,14 @@ def sketches(docs: DataFrame, p: NearDedup, key: str = "doc_id", text: str = "te
                     found = shingles(t, p.words)
                     if len(found):
                         sig = signature(found, p)
-                        out.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), band_keys(sig, p).tolist(), odd_sketch(sig, p).tolist()))
+                        out.append((len(found), hashlib.blake2b(found.tobytes(), digest_size=16).digest(), band_keys(sig, p).tolist(), odd_sketch(sig, p).tolist(), whole_sketch(found, p).tolist()))
                     else:
-                        out.append((0, hashlib.blake2b(b"empty %r" % doc, digest_size=16).digest(), [], []))
+                        out.append((0, hashlib.blake2b(b"empty %r" % doc, digest_size=16).digest(), [], [], []))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), longs, longs)))], names=["doc_id", "n_shingles", "set_key", "bands", "odd"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), longs, longs, longs)))], names=["doc_id", "n_shingles", "set_key", "bands", "odd", "whole"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, odd array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, odd array<long>, whole array<long>")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -147,11 +167,12 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, p: NearDedup, key: str = "doc_id", text: str = "text", group: int = 200) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+def similarities(pairs: DataFrame, docs: DataFrame, p: NearDedup, key: str = "doc_id", text: str = "text", group: int = 200) -> DataFrame:
+    """The pairs (a, b) with ``same`` and ``all``: sizes of the intersection and union of their full sets.
 
     Texts of ids in no pair stay where they are. A centre ``b`` with many partners is dealt over
-    groups of about ``group`` of them, each with its own copy of the centre's text.
+    groups of about ``group`` of them, each with its own copy of the centre's text. Where an id has
+    several texts, the likest counts.
     """
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / group).alias("_groups"))
     dealt = keyed_join(pairs, many, ["b"]).select("a", "b", F.pmod(F.xxhash64("a"), F.col("_groups")).alias("_g"))
@@ -164,15 +185,18 @@ def confirm(pairs: DataFrame, docs: DataFrame, p: NearDedup, key: str = "doc_id"
         centres, others = [], []
         for i, t, c in zip(table.column("_id").to_pylist(), table.column("_text").to_pylist(), table.column("_centre").to_pylist()):
             (centres if c else others).append((i, shingles(t, p.words)))
-        good = set()
+        best: dict[int, tuple[int, int]] = {}
         for _, have in centres:
             for i, found in others:
-                both = len(np.intersect1d(have, found, assume_unique=True))
-                if both and 100 * both >= p.percent * (len(have) + len(found) - both):
-                    good.add(i)
-        return pa.table({"a": pa.array(sorted(good), pa.int64()), "b": pa.array([table.column("b")[0].as_py()] * len(good), pa.int64())})
+                same = len(np.intersect1d(have, found, assume_unique=True))
+                both = max(len(have) + len(found) - same, 1)
+                if i not in best or same * best[i][1] > best[i][0] * both:
+                    best[i] = same, both
+        ids = sorted(best)
+        centre = [table.column("b")[0].as_py()] * len(ids)
+        return pa.table([pa.array(c, pa.int64()) for c in (ids, centre, [best[i][0] for i in ids], [best[i][1] for i in ids])], names=["a", "b", "same", "all"])
 
-    return rows.groupBy("b", "_g").applyInArrow(run, "a long, b long")
+    return rows.groupBy("b", "_g").applyInArrow(run, "a long, b long, same long, all long")
 
 
 def dedup(docs: DataFrame, p: NearDedup | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,46 +205,43 @@ def dedup(docs: DataFrame, p: NearDedup | None = None, key: str = "doc_id", text
     signed = materialize(sketches(docs, p, key, text), "sketches")
     members = signed.where("n_shingles > 0 and doc_id is not null")
     sets = materialize(members.groupBy("set_key").agg(F.min("doc_id").alias("id")), "sets")
-    nodes = members.withColumnRenamed("doc_id", "id").join(sets, ["id", "set_key"]).groupBy("id").agg(F.first("bands").alias("bands"), F.first("odd").alias("odd"))
-    nodes = materialize(nodes, "nodes")
-    places = nodes.select("id", "odd", F.explode("bands").alias("bucket"))
-    buckets = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "n")
-    inside = materialize(keyed_join(places, buckets, ["bucket"]).select("bucket", "id", "odd"), "buckets")
-    total = inside.count()
-    hot = inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 1024 >= total).select("bucket")  # 1024 at most
-    close = differing(F.col("odd"), F.col("odd_b")) <= most_differing(p)
-
-    links = seen = None
-    for turn in range(p.rounds + 1):
-        if links is None:
-            state = inside.withColumn("c", F.col("id"))
-        else:
-            state = keyed_join(inside, components(links, "near").withColumnRenamed("component", "c"), ["id"], "left").withColumn("c", F.coalesce("c", "id"))
-            mixed = state.groupBy("bucket").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low <> _high").select("bucket")
-            state = materialize(keyed_join(state, mixed, ["bucket"], hot=hot), "mixed")
-            if state.isEmpty():
-                break
-        if turn < p.rounds:
-            rank = F.xxhash64(F.lit(turn), F.col("id")) if turn else F.col("id")
-            centre = state.groupBy("bucket").agg(F.min_by(F.struct("id", "c"), rank).alias("m")).select("bucket", F.col("m.id").alias("b"), F.col("m.c").alias("c_b"))
-            pairs = keyed_join(state, centre, ["bucket"], hot=hot).where("c <> c_b").select("b", F.col("id").alias("a"), "odd").distinct()
-            pairs = keyed_join(pairs, nodes.select(F.col("id").alias("b"), F.col("odd").alias("odd_b")), ["b"]).where(close).select("a", "b")
-        else:
-            other = state.select("bucket", F.col("id").alias("b"), F.col("c").alias("c_b"), F.col("odd").alias("odd_b"))
-            classes = state.select("bucket", "c").distinct()
-            across = classes.join(classes.withColumnRenamed("c", "c_b"), "bucket").where("c < c_b")
-            left = state.join(across, ["bucket", "c"])
-            pairs = left.join(other, ["bucket", "c_b"]).where(close).select(F.col("id").alias("a"), "b").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti").join(seen.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        found = materialize(confirm(pairs, docs, p, key, text).distinct(), "links")
-        links = found if links is None else links.unionByName(found)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-    classes = components(links, "near") if links is not None else sets.select("id", F.col("id").alias("component")).limit(0)
+    chosen = members.withColumnRenamed("doc_id", "id").join(sets, ["id", "set_key"])
+    places = materialize(chosen.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct(), "places")
+    buckets = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    hot = buckets.where(F.col("size") * 2048 >= places.count()).select("bucket")  # 2048 at most
+    inside = materialize(keyed_join(places, buckets, ["bucket"], hot=hot), "buckets")
+    linked = F.expr(f"100 * same >= {p.percent} * all")
+
+    # each member against its bucket's centre
+    met = inside.groupBy("id").agg(F.sum("size").alias("met"))
+    ranked = inside.select("bucket", "id").join(met, "id")
+    centre = materialize(ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("m"))).alias("_c")).select("bucket", (-F.col("_c.m")).alias("b")), "centres")
+    placed = materialize(keyed_join(inside, centre, ["bucket"], hot=hot).select("bucket", "id", "n", "b"), "placed")
+    known = materialize(similarities(placed.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), docs, p, key, text), "likeness")
+    links = known.where(linked).select("a", "b")
+
+    # across the components of a bucket
+    distance = known.select(F.col("a").alias("id"), "b", (1 - F.col("same") / F.col("all")).alias("d"))
+    state = keyed_join(placed, distance, ["id", "b"], "left").join(components(links, "near").withColumnRenamed("component", "c"), "id", "left")
+    state = state.select("bucket", "id", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("c", "id").alias("c"), (F.col("id") == F.col("b")).alias("centre"))
+    state = materialize(state, "state")
+    main = state.where("centre").groupBy("bucket").agg(F.min("c").alias("main"))
+    mixed = state.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket").join(main, "bucket")
+    marks = chosen.select("id", "odd", "whole").dropDuplicates(["id"])
+    state = materialize(keyed_join(state, mixed, ["bucket"], hot=hot).join(marks, "id"), "state")
+    other = state.where("c <> main").select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "odd", "whole", "d", "c")))
+    apart = (F.col("c") != F.col("c_a")) & ((F.col("c") == F.col("main")) | (F.col("id") < F.col("id_a"))) & ~F.col("centre")
+    fits = (F.col("n") * 100 >= F.col("n_a") * p.percent) & (F.col("n_a") * 100 >= F.col("n") * p.percent) & (F.abs(F.col("d") - F.col("d_a")) <= 1 - p.percent / 100 + 1e-9)
+    # the sets' difference is at most this share of their sizes; the bitmaps' is never larger
+    few = differing(F.col("whole"), F.col("whole_a")) * (100 + p.percent) <= (F.col("n") + F.col("n_a")) * (100 - p.percent)
+    pairs = other.join(state, "bucket").where(apart & fits & few & (differing(F.col("odd"), F.col("odd_a")) <= most_differing(p))).withColumnRenamed("id_a", "a")
+    pairs = materialize(pairs.select("a", F.col("id").alias("b")).distinct(), "pairs")
+    more = materialize(similarities(pairs, docs, p, key, text).where(linked).select("a", "b"), "links")
+    links = links.unionByName(more)
+    classes = components(links, "near")
     named = sets.join(classes, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     out = keyed_join(signed.select("doc_id", "n_shingles", "set_key"), named, ["set_key"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def filter_documents(docs: DataFrame, p: NearDedup | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
