@@ -62,15 +62,17 @@ def choose_detector(status: Column, legal: Column, confidence: Column, hard_risk
     )
 
 
-def gate_action(status: Column, better: Column, harmful: Column, safe: Column, agreement_ratio: Column, better_min: float, harmful_max: float, safe_min: float, agreement_min: float) -> Column:
-    """Replace, keep or review by three probabilities and the agreement of views."""
-    usable = agreement_ratio >= agreement_min
+def gate_action(status: Column, better: Column, harmful: Column, safe: Column, agreement_ratio: Column, thresholds: dict[str, float]) -> Column:
+    """What to do with a proposal by three probabilities and the agreement of views: automatic results may be replaced,
+    manual ones rescued; otherwise either is kept."""
+    automatic, manual = status.isin("automatic", "v7_fallback"), status == "manual_review"
+    usable = agreement_ratio >= thresholds["agreement"]
     return decide(
         [
-            Case((status == "automatic") & usable & (better >= better_min) & (harmful <= harmful_max), "replace_automatic", "better"),
-            Case((status == "automatic") & (safe >= safe_min), "keep_automatic", "safe"),
-            Case(usable & (better >= better_min), "suggest", "better_for_review"),
+            Case(automatic & usable & (better >= thresholds["better"]) & (harmful <= thresholds["harmful"]), "replace_automatic", "better"),
+            Case(manual & usable & (safe >= thresholds["safe"]) & (harmful <= thresholds["harmful_rescue"]), "rescue_manual", "safe"),
+            Case(manual, "keep_manual", "kept"),
         ],
-        "manual_review",
-        "uncertain",
+        "keep_current",
+        "kept",
     )

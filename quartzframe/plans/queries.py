@@ -13,10 +13,11 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions import identity as ident
+from ..functions import lines as ln
 from ..functions import stats as st
 from ..operators import decisions as dec
 from ..operators import evaluation as ev
-from ..operators import logs, ranking, sequences, splits
+from ..operators import logs, ranking, sequences, splits, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -417,6 +418,42 @@ def join_orders_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("o_orderpriority", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
 
 
+LINE_SQL = "(SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS id, l_linenumber * 10.0::DOUBLE AS x1, l_quantity::DOUBLE AS y1, l_linenumber * 10 + l_quantity AS x2, l_quantity + (l_orderkey % 9)::DOUBLE AS y2 FROM lineitem)"
+
+
+@register(
+    "best_lines",
+    f"""WITH a AS (SELECT *, CASE WHEN x1 = x2 THEN 90.0::DOUBLE ELSE degrees(atan2(y2 - y1, x2 - x1)) END AS g FROM {LINE_SQL}), k AS (SELECT *, CASE WHEN least(g, abs(g - 180)) < 15 THEN 'horizontal' WHEN abs(g - 90) < 15 THEN 'vertical' ELSE 'unknown' END AS kind FROM a),
+    s AS (SELECT *, CASE WHEN kind = 'horizontal' THEN 0.4::DOUBLE * (1 - least((y1 + y2) / 2, 100.0::DOUBLE - (y1 + y2) / 2) / 100.0::DOUBLE) + 0.4::DOUBLE * (sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) / sqrt(50000.0::DOUBLE)) + 0.2::DOUBLE * (1 - least(g, abs(g - 180)) / 90) END AS score FROM k)
+    SELECT l_suppkey, kind, round(max(score), 6) AS score, count(*) AS lines FROM s WHERE kind = 'horizontal' GROUP BY 1, 2""",
+)
+def best_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    line = F.struct((c("l_linenumber") * 10.0).alias("x1"), c("l_quantity").alias("y1"), (c("l_linenumber") * 10 + c("l_quantity")).alias("x2"), (c("l_quantity") + c("l_orderkey") % 9).alias("y2"))
+    rows = table(spark, d, "lineitem").select("l_suppkey", ln.classified(line, F.lit(200.0), F.lit(100.0)).alias("m")).where("m.kind = 'horizontal'")
+    return rows.groupBy("l_suppkey", c("m.kind").alias("kind")).agg(F.round(F.max("m.score"), 6).alias("score"), F.count(F.lit(1)).alias("lines"))
+
+
+@register("output_size", f"SELECT vec_id, floor(greatest(sqrt((px0-px1)*(px0-px1)+(py0-py1)*(py0-py1)), sqrt((px2-px3)*(px2-px3)+(py2-py3)*(py2-py3))))::BIGINT AS width, floor(greatest(sqrt((px1-px2)*(px1-px2)+(py1-py2)*(py1-py2)), sqrt((px3-px0)*(px3-px0)+(py3-py0)*(py3-py0))))::BIGINT AS height FROM {QUAD_SQL}")
+def output_size(spark: SparkSession, d: str) -> DataFrame:
+    rows = _quads(spark, d).select("vec_id", g.output_size(F.col("q")).alias("s"))
+    return rows.select("vec_id", F.floor("s.width").cast("long").alias("width"), F.floor("s.height").cast("long").alias("height"))
+
+
+@register("annotation_validation", "SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'schema_version' WHEN c_custkey % 7 = 0 THEN 'ids' WHEN c_custkey % 3 = 0 THEN 'confirmation' WHEN c_custkey % 11 = 0 THEN 'confirmed_at' END AS reason FROM customer")
+def annotation_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Annotation events made from customers, some of them broken in a known way."""
+    k = F.col("c_custkey")
+    corners = lambda shift: F.array(*[F.array((F.lit(x) + (shift if i == 2 else 0)).cast("int"), F.lit(y)) for i, (x, y) in enumerate([(10, 10), (110, 10), (110, 70), (10, 70)])])
+    rows = table(spark, d, "customer").select(
+        k.alias("k"), F.when(k % 5 == 0, 9).otherwise(2).alias("schema_version"), F.concat(F.lit("a"), k.cast("string")).alias("annotation_id"), F.when(k % 7 == 0, " ").otherwise("i").alias("image_id"), F.lit("r").alias("run_id"),
+        corners(F.lit(0)).alias("algorithm_boundary_corners"), corners(k % 4).alias("boundary_corners"), F.lit(5).cast("long").alias("confirmation_duration_ms"),
+        F.when(k % 11 == 0, "2024-01-01T00:00:00").otherwise("2024-01-01T00:00:00+00:00").alias("confirmed_at"), F.lit(None).cast("string").alias("supersedes_annotation_id"), F.lit("2.0").alias("gui_version"),
+    )
+    made = validation.build_annotations(rows).withColumn("confirmation", F.when(F.col("k") % 3 == 0, "unsure").otherwise(F.col("confirmation")))
+    return made.select("k", validation.first_broken(validation.annotation_rules()).alias("reason"))
+
+
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of one picture a label value and block of ids: providers by id, corners and scores from the vector."""
     rows = table(spark, d, "embeddings")
