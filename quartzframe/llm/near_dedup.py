@@ -59,8 +59,8 @@ class WordHashes(dict):
         return h
 
 
-#: Words whose hashes a worker keeps.
-MOST_WORDS = 500_000
+#: Words whose hashes a worker keeps, and rows that it signs at once.
+MOST_WORDS, ROWS = 50_000, 256
 _HASHES = WordHashes()
 _WEIGHTS = np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -145,8 +145,8 @@ def sketches(docs: DataFrame, p: NearDedup, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 out: list[tuple] = []
                 for doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found = shingles(t, p.words)
@@ -157,6 +157,7 @@ def sketches(docs: DataFrame, p: NearDedup, key: str = "doc_id", text: str = "te
                         out.append((0, hashlib.blake2b(b"empty %r" % doc, digest_size=16).digest(), [], [], []))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.binary(), longs, longs, longs)))], names=["doc_id", "n_shingles", "set_key", "bands", "odd", "whole"])
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, odd array<long>, whole array<long>")
