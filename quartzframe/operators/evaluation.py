@@ -13,9 +13,6 @@ from pyspark.sql.window import Window
 from ..functions import geometry as g
 from ..functions.stats import discordant_lower_bound, higher_quantile, nearest_rank, needed
 
-STATES = ("automatic", "cancelled", "error", "manual_review", "v7_fallback")
-
-
 def flag(column: str | Column) -> Column:
     """A strict boolean: null counts as false."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(False))
