@@ -3,8 +3,8 @@
 White space always separates tokens of such a vocabulary, so a text's ids are those of its pieces
 between spaces and line ends, and a piece's ids don't depend on its neighbours. A batch of
 texts is cut into pieces in Arrow; only its different pieces are looked up, and the library
-encodes those that the cache doesn't hold in one call, with a special token between them. The
-cache is emptied when full: its size is bounded.
+encodes those that the cache doesn't hold in one call, with a special token between them. When the
+cache is full, pieces met in one batch only are forgotten, or all if that frees less than half: its size is bounded.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from tokenizers import Tokenizer, normalizers  # noqa: E402
 
 #: Composed letters whose lower case is one letter each, and marks that are tokens apart from letters.
 LATIN, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-į]+"), ".,!?;:#$%&*"
-MOST = 800_000
+MOST = 500_000
 #: Words for one call of the library; bytes of text that are gathered at once.
 WORDS, TEXT_BYTES = 10_000, 8 << 20
 
@@ -47,6 +47,21 @@ class WordBpe:
     def _empty(self) -> None:
         self.known: dict[str, int] = {"": 0}  # place of a piece in starts and lengths
         self.starts, self.lengths, self.tokens = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.hits = np.zeros(1, np.int32)  # batches that a piece was met in
+
+    def _forget(self) -> None:
+        """Keeps the pieces met in several batches if they are at most half of those allowed, else none."""
+        keep = np.flatnonzero(self.hits > 1)
+        keep = keep[keep > 0]
+        if len(keep) > self.most // 2:
+            self._empty()
+            return
+        names = list(self.known)  # in the order of their places
+        tokens, lengths = self._gather(keep)
+        pieces, hits = [names[i] for i in keep.tolist()], self.hits[keep]
+        self._empty()
+        self._add(pieces, lengths, tokens)
+        self.hits[1:] = hits
 
     def _add(self, pieces: list[str], lengths: np.ndarray, tokens: np.ndarray) -> None:
         """Takes pieces into the cache whose tokens stand one after another."""
@@ -55,6 +70,7 @@ class WordBpe:
         self.starts = np.concatenate([self.starts, len(self.tokens) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.tokens = np.concatenate([self.tokens, tokens])
+        self.hits = np.concatenate([self.hits, np.zeros(len(pieces), np.int32)])
 
     def _library(self, pieces: list[str]) -> None:
         ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
@@ -136,13 +152,14 @@ class WordBpe:
         coded = flat.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         if len(self.known) > self.most:
-            self._empty()
+            self._forget()
         get = self.known.get
         places = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
         if len(new := np.flatnonzero(places < 0)):
             missing = [pieces[i] for i in new.tolist()]
             self._learn(missing)
             places[new] = list(map(self.known.__getitem__, missing))
+        self.hits[places] += 1
         ids, lengths = self._gather(places[np.asarray(coded.indices)])
         return ids, np.append(0, np.cumsum(lengths))[offsets - offsets[0]]
 
