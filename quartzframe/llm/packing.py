@@ -1,6 +1,8 @@
 """Retrieval packing: lexically near documents share a window.
 
-Documents are dealt to shards of even size by a hash of their id. In a shard an inverted
+Documents are dealt to shards by content: they are ordered by the token ids that weigh most in them, and the order is
+cut at even numbers of ids, so that documents about the same things meet at any size of the corpus; a group that
+is larger than a shard is divided by the next id of weight and at last by a hash. In a shard an inverted
 index over token ids answers BM25 queries (document frequencies and mean length are those of the
 whole corpus): starting from a seed, the window is filled with the unused documents that score
 best against it; a document that doesn't fit is cut and its rest begins the next window, so every
@@ -14,13 +16,13 @@ An empty table gives an empty result. Only the named columns are read, so furthe
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,109 @@ def frequencies(rows: DataFrame) -> DataFrame:
     return rows.select("n", "ids").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
+#: Token ids that place a document, and bins for each shard that a group fills.
+KEYS, BINS = 3, 64
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
+
+
+def leading(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The KEYS ids of most weight in a document, -1 where it has fewer."""
+    terms, counts = np.unique(ids, return_counts=True)
+    gain = counts * idf[terms]
+    top = np.argpartition(-gain, KEYS - 1) if len(gain) > KEYS else np.arange(len(gain))
+    top = np.flatnonzero(gain >= gain[top[:KEYS]].min())
+    top = top[np.lexsort((terms[top], -gain[top]))][:KEYS]
+    return np.concatenate([terms[top].astype(np.int64), np.full(KEYS - len(top), -1)])
+
+
+class Dealing:
+    """A tree of bins over the order by content; those of more ids than a shard are divided by their documents' next key.
+    There are at most KEYS * BINS bins for each shard."""
+
+    def __init__(self, total: int, size: int):
+        self.size, self.edge = size, [0]
+        self.base, self.total, self.child, self.bins = (np.array([x], np.int64) for x in (0, total, 0, 0))
+
+    def divide(self) -> bool:
+        """Gives bins to the large nodes of the last level; whether there were any."""
+        large = np.flatnonzero(self.total > self.size)
+        large = large[large >= self.edge[-1]]
+        if len(large):
+            self.bins[large] = np.minimum(BINS * -(-self.total[large] // self.size), 1 << 16)
+            self.child[large] = len(self.base) + np.cumsum(self.bins[large]) - self.bins[large]
+            self.edge.append(len(self.base))
+        return len(large) > 0
+
+    def fill(self, tokens: np.ndarray) -> None:
+        """``tokens``: ids in each of the new bins."""
+        before = np.cumsum(tokens) - tokens
+        parents = np.flatnonzero(self.child >= self.edge[-1])
+        count = self.bins[parents]
+        start = np.repeat(self.base[parents] - before[self.child[parents] - self.edge[-1]], count)
+        none = np.zeros(len(tokens), np.int64)
+        self.base, self.total = np.concatenate([self.base, start + before]), np.concatenate([self.total, tokens])
+        self.child, self.bins = np.concatenate([self.child, none]), np.concatenate([self.bins, none])
+
+    def node(self, keys: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(keys), np.int64)
+        for level in range(KEYS):
+            bins = np.where(at < len(self.bins), self.bins[np.minimum(at, len(self.bins) - 1)], 0)  # new bins aren't divided yet
+            at = np.where(bins > 0, self.child[np.minimum(at, len(self.bins) - 1)] + mixed(keys[:, level]).astype(np.int64) % np.maximum(bins, 1), at)
+        return at
+
+    def shard(self, keys: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """``spread``: a hash of the document, for what no key divides."""
+        at = self.node(keys)
+        part = (spread.view(np.uint64) >> np.uint64(11)) / 2.0**53
+        return (self.base[at] + np.where(self.total[at] > self.size, part * self.total[at], 0).astype(np.int64)) // self.size
+
+
+def _keys(batch: pa.RecordBatch, idf: np.ndarray) -> np.ndarray:
+    found = [leading(np.frombuffer(raw, _kind(n, raw)), idf) for n, raw in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist())]
+    return np.array(found, np.int64).reshape(-1, KEYS)
+
+
+def deal(rows: DataFrame, idf: Broadcast, total: int, p: Packing) -> DataFrame:
+    """``rows`` with their shard."""
+    tree = Dealing(total, p.shard_tokens)
+    if total <= p.shard_tokens:
+        return rows.withColumn("shard", F.lit(0).cast("long"))
+    names = [f"k{i}" for i in range(KEYS)]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("n"), *map(pa.array, np.ascontiguousarray(_keys(batch, idf.value).T))], names=["n", *names])
+
+    keys = materialize(rows.select("n", "ids").mapInArrow(place, "n long, " + ", ".join(f"{k} long" for k in names)), "packing-keys")
+    for _ in range(KEYS):
+        if not tree.divide():
+            break
+        known = rows.sparkSession.sparkContext.broadcast(tree)
+
+        def count(batches: Iterator[pa.RecordBatch], known: Broadcast = known) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                nodes, where = np.unique(known.value.node(np.stack([batch.column(k).to_numpy() for k in names], 1)), return_inverse=True)
+                tokens = np.bincount(where, batch.column("n").to_numpy(), len(nodes)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(tokens)], names=["node", "tokens"])
+
+        met = keys.mapInArrow(count, "node long, tokens long").where(F.col("node") >= tree.edge[-1]).groupBy("node").agg(F.sum("tokens").alias("tokens")).toPandas()
+        tokens = np.zeros(int(tree.bins[tree.child >= tree.edge[-1]].sum()), np.int64)
+        tokens[met["node"].to_numpy(np.int64) - tree.edge[-1]] = met["tokens"].to_numpy(np.int64)
+        tree.fill(tokens)
+    whole = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = whole.value.shard(_keys(batch, idf.value), batch.column("spread").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n", "ids")), pa.array(shard)], names=["doc_id", "n", "ids", "shard"])
+
+    return rows.withColumn("spread", F.xxhash64("doc_id", F.crc32("ids"))).mapInArrow(run, "doc_id long, n long, ids binary, shard long")
+
+
 class Shard:
     """Inverted index of a shard's documents."""
 
@@ -168,7 +273,6 @@ def pack(docs: DataFrame, tokenizer: str, end: int, p: Packing | None = None, ke
     df[known["term"].to_numpy(np.int64)] = known["df"].to_numpy()
     idf = spark.sparkContext.broadcast(np.log1p((count - df + 0.5) / (df + 0.5)))
     mean = total / max(count, 1)
-    shards = max(1, math.ceil(total / p.shard_tokens))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pa.array(sorted(range(table.num_rows), key=lambda i, a=table.column("doc_id").to_pylist(), b=table.column("ids").to_pylist(): (a[i] is not None, a[i] or 0, b[i]))))
@@ -188,7 +292,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, p: Packing | None = None, ke
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
         return pa.table([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*out))], names=names)
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)))
+    dealt = deal(rows, idf, total, p)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return dealt.groupBy("shard").applyInArrow(run, schema)
 

@@ -74,3 +74,21 @@ def test_last_sequence_has_little_padding():
         sizes = pk.lengths(total, p)
         assert sum(sizes) == total and max(sizes) <= 2048
         assert all(s & (s - 1) == 0 for s in sizes[:-1])
+
+
+def test_shards_are_dealt_by_content(spark, table):
+    pairs = [(i, " ".join(f"{chr(97 + t % 26)}{chr(97 + t // 26)}q{k}" * 3 for k in range(5)) + f" the of and to {i}") for i in range(200) for t in (i % 100,)]
+    p = pk.Packing(window=64, shard_tokens=600)
+    rows = pk.pack(table(*pairs), PATH, 1, p).collect()
+    shards = {r["doc_id"]: r["sequence_id"] >> 32 for r in rows}
+    assert len(set(shards.values())) >= 10
+    assert sum(shards[i] == shards[i + 100] for i in range(100)) >= 80
+
+
+def test_a_group_larger_than_a_shard_is_spread(spark, table):
+    texts = [(i, "one and the same text of some length") for i in range(2000)] + [(9000 + i, f"other {i} things {i * 7}") for i in range(50)]
+    rows = pk.pack(table(*texts), PATH, 1, pk.Packing(window=64, shard_tokens=1000)).collect()
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r["sequence_id"] >> 32] += r["length"]
+    assert len(sizes) >= 10 and max(sizes.values()) <= 2000
