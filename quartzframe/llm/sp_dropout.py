@@ -44,11 +44,10 @@ MOST, TEXT_BYTES = 400_000, 8 << 20
 
 @dataclass(frozen=True)
 class Dropout:
-    """rate: share of candidate merges that are skipped; seed: the key; variants: ways to cut a word that are kept apart."""
+    """rate: share of candidate merges that are skipped; seed: the key."""
 
     rate: float = 0.1
     seed: int = 1
-    variants: int = 4
 
 
 class Pieces:
@@ -113,7 +112,10 @@ class Pieces:
 
 
 class Segmenter:
-    """Cuts texts; keeps the cut of a piece of text for each variant that was asked for, and forgets all when full."""
+    """Cuts texts; every occurrence of a unit has draws of its own.
+
+    A node is a unit with the spans skipped so far; it keeps the spans merged if nothing else is skipped, and the ids that
+    this leaves. An occurrence goes from node to node by its draws. All nodes are forgotten when there are too many."""
 
     def __init__(self, path: str, p: Dropout, most: int = MOST):
         self.pieces, self.p, self.most = Pieces(path), p, most
@@ -122,14 +124,83 @@ class Segmenter:
 
     def _empty(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts, self.lengths, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.children: dict[int, int] = {}
+        self.names: dict[int, str] = {}
+        self.tokens, self.chain = np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+        # of a node: its ids, its merges (size -1: too long to keep), the unit's node, the node it comes from and the span skipped there
+        self.starts, self.first, self.root, self.parent = (np.zeros(0, np.int64) for _ in range(4))
+        self.lengths, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.span, self.hash = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def _hash(self, unit: str) -> int:
+        return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.p.seed)
+
+    def _grow(self, names: list[str], parents: np.ndarray, spans: np.ndarray) -> np.ndarray:
+        """New nodes of pieces of text, each with the span that is skipped beyond those of its parent (-1: none)."""
+        new = len(self.starts) + np.arange(len(names))
+        line = np.array([n.startswith("\n") for n in names], bool)
+        units = [n[1:] if e else SPACE + n for n, e in zip(names, line.tolist())]
+        skipped, up = [spans], parents
+        while (up >= 0).any():
+            skipped.append(np.where(up >= 0, self.span[up], 0).astype(np.uint64))
+            up = np.where(up >= 0, self.parent[up], -1)
+        skips, sizes = np.stack(skipped, 1), np.fromiter(map(len, units), np.int64, len(units))
+        out: list = [np.zeros(0, np.int64)] * len(units)
+        merged: list = []
+        for low, high in ((1, 8), (8, 14), (14, SHORT)):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            for at in range(0, len(rows), 1 << 15):
+                some = rows[at : at + (1 << 15)]
+                self._together([units[i] for i in some], None, some, high, out, skips, merged)
+        for i in np.flatnonzero(sizes == 1).tolist():
+            out[i] = self._ids(units[i])
+        lengths = np.fromiter(map(len, out), np.int64, len(out))
+        tokens = np.concatenate([np.zeros(0, np.int64), *out]).astype(np.uint32)
+        tokens = np.insert(tokens, (np.cumsum(lengths) - lengths)[line], self.pieces.byte_ids[10])
+        lengths = lengths + line
+        rows = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in merged)])
+        chain = np.concatenate([np.zeros(0, np.uint64), *(c for _, c in merged)])[np.argsort(rows, kind="stable")]
+        size = np.bincount(rows, minlength=len(units))
+        join = lambda a, b: np.concatenate([a, b.astype(a.dtype)])
+        self.starts = join(self.starts, len(self.tokens) + np.cumsum(lengths) - lengths)
+        self.first = join(self.first, len(self.chain) + np.cumsum(size) - size)
+        self.root = join(self.root, np.where(parents >= 0, self.root[parents] if len(self.root) else 0, new))
+        self.parent, self.span = join(self.parent, parents), join(self.span, spans)
+        self.lengths, self.size = join(self.lengths, lengths), join(self.size, np.where(sizes > SHORT, -1, size))
+        self.hash = join(self.hash, np.fromiter(map(self._hash, units), np.uint64, len(units)))
+        self.tokens, self.chain = join(self.tokens, tokens), join(self.chain, chain)
+        return new
+
+    def _walk(self, nodes: np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """The nodes at which occurrences that begin at ``nodes`` end."""
+        base, at = self.hash[nodes] + draws, np.zeros(len(nodes), np.int64)
+        m4, shift, low, limit = np.uint64(M4), np.uint64(27), np.uint64(LOW), np.uint64(self.limit)
+        live = np.arange(len(nodes))
+        while len(live) and self.limit:
+            hits = []
+            while len(live := live[at[live] < self.size[nodes[live]]]):
+                span = self.chain[self.first[nodes[live]] + at[live]]
+                skip = ((base[live] ^ span) * m4 >> shift & low) < limit
+                hits.append(live[skip])
+                live = live[~skip]
+                at[live] += 1
+            live = np.concatenate([np.zeros(0, np.int64), *hits])
+            keys, where = np.unique(nodes[live] << 6 | at[live], return_inverse=True)
+            next_ = np.fromiter((self.children.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+            missing = np.flatnonzero(next_ < 0)
+            if len(missing):
+                parents, place = keys[missing] >> 6, keys[missing] & 63
+                next_[missing] = self._grow([self.names[r] for r in self.root[parents].tolist()], parents, self.chain[self.first[parents] + place])
+                self.children.update(zip(keys[missing].tolist(), next_[missing].tolist()))
+            nodes[live] = next_[where]
+        return nodes
 
     def unit(self, unit: str, variant: int) -> list[int]:
-        """Ids of one unit; the marks for spaces are in it."""
+        """Ids of one unit, drawn by the number of its occurrence; the marks for spaces are in it."""
         n = len(unit)
         if n == 1:
             return self._ids(unit)
-        base = xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"), self.p.seed * 1_000_003 + variant)
+        base = self._hash(unit) + variant & (1 << 64) - 1
         return self._short(unit, n, base) if n <= SHORT else self._long(unit, n, base)
 
     def _short(self, unit: str, n: int, base: int) -> list[int]:
@@ -191,21 +262,22 @@ class Segmenter:
         for low, high in ((1, 8), (8, 14), (14, SHORT)):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
             for at in range(0, len(rows), 1 << 15):
-                self._together([units[i] for i in rows[at : at + (1 << 15)]], variants[rows[at : at + (1 << 15)]], rows[at : at + (1 << 15)], high, out)
+                some = [units[i] for i in rows[at : at + (1 << 15)]]
+                base = np.fromiter(map(self._hash, some), np.uint64, len(some)) + variants[rows[at : at + (1 << 15)]].astype(np.uint64)
+                self._together(some, base, rows[at : at + (1 << 15)], high, out)
         for i in np.flatnonzero((sizes <= 1) | (sizes > SHORT)).tolist():
             out[i] = self.unit(units[i], int(variants[i])) if units[i] else []
         lengths = np.fromiter(map(len, out), np.int64, len(out))
         return np.concatenate([np.zeros(0, np.int64), *out]).astype(np.uint32), lengths
 
-    def _together(self, units: list[str], variants: np.ndarray, rows: np.ndarray, width: int, out: list) -> None:
-        """Fills ``out`` at ``rows`` with the ids of units of 2 to ``width`` characters."""
+    def _together(self, units: list[str], base: np.ndarray | None, rows: np.ndarray, width: int, out: list, skips: np.ndarray | None = None, merged: list | None = None) -> None:
+        """Fills ``out`` at ``rows`` with the ids of units of 2 to ``width`` characters. Without ``base`` the spans in ``skips`` at
+        ``rows`` are skipped, and rows and spans of all merges are added to ``merged`` in their order."""
         t, n = self.pieces, len(units)
         points = np.array(units, f"<U{width}").view(np.uint32).reshape(n, width)
         sizes = np.fromiter(map(len, units), np.int64, n)
         inside = np.arange(width) < sizes[:, None]
         symbols = np.where(inside, np.where(points < 0x10000, t.chars[points & 0xFFFF], len(t.raw) + points.astype(np.int64)), -1)
-        seeds = [self.p.seed * 1_000_003 + v for v in range(self.p.variants)]
-        base = np.fromiter((xxhash.xxh3_64_intdigest(u.encode("utf-8", "surrogatepass"), seeds[v]) for u, v in zip(units, variants.tolist())), np.uint64, n)
         starts = np.minimum(np.arange(width + 2), sizes[:, None])
         pairs = t.pair(symbols[:, :-1], symbols[:, 1:])
         ranks = t.pair_rank[pairs]
@@ -219,13 +291,18 @@ class Segmenter:
                 for i in np.flatnonzero(~busy).tolist():
                     ids = symbols[i][symbols[i] >= 0]
                     out[rows[i]] = ids if ids.max() < len(t.raw) else np.array([x for s in ids.tolist() for x in ([s] if s < len(t.raw) else self._ids(chr(s - len(t.raw))))], np.int64)
-                rows, symbols, starts, pairs, ranks, base, best = (x[busy] for x in (rows, symbols, starts, pairs, ranks, base, best))
+                rows, symbols, starts, pairs, ranks, best = (x[busy] for x in (rows, symbols, starts, pairs, ranks, best))
+                base = base if base is None else base[busy]
                 each = np.arange(len(rows))
             if not len(rows):
                 return
             span = [starts[each, best + k].astype(np.uint64) for k in range(3)]
-            drawn = (base ^ (span[0] * m1 + span[1] * m2 + span[2] * m3)) * m4 >> np.uint64(27) & np.uint64(LOW)
-            skip = drawn < limit
+            place = span[0] * m1 + span[1] * m2 + span[2] * m3
+            if base is None:
+                skip = (place[:, None] == skips[rows]).any(axis=1)
+                merged.append((rows[~skip], place[~skip]))
+            else:
+                skip = ((base ^ place) * m4 >> np.uint64(27) & np.uint64(LOW)) < limit
             ranks[each[skip], best[skip]] = NO_RANK
             go, at = each[~skip], best[~skip]
             if not len(go):
@@ -265,7 +342,7 @@ class Segmenter:
                 out.extend(self.pieces.byte_ids[b] for b in part.encode())
                 continue
             units = UNITS.findall(part.replace(" ", SPACE))
-            for unit, v in zip(units, occurrence_variants(key, len(out), len(units), self.p).tolist()):
+            for unit, v in zip(units, occurrence_draws(key, len(out), len(units), self.p).tolist()):
                 out.extend(self.unit(unit, v))
         return out
 
@@ -283,35 +360,33 @@ class Segmenter:
         keep = np.repeat(~odd, counts)
         coded = flat.dictionary_encode()
         names, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64)
-        if len(self.known) > self.most:
+        if len(self.starts) > self.most:
             self._empty()
-        v = self.p.variants
-        new = [n for n in names if n not in self.known]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        self.starts = np.concatenate([self.starts, np.full(len(new) * v, -1, np.int64)])
-        self.lengths = np.concatenate([self.lengths, np.zeros(len(new) * v, np.int32)])
-        places = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[codes] * v
+        used = np.zeros(len(names), bool)
+        used[codes[keep]] = True
+        met = [names[i] for i in np.flatnonzero(used).tolist()]
+        if new := [n for n in met if n not in self.known]:
+            made = self._grow(new, np.full(len(new), -1), np.zeros(len(new), np.uint64)).tolist()
+            self.known.update(zip(new, made))
+            self.names.update(zip(made, new))
+        words = np.zeros(len(names), np.int64)
+        words[used] = np.fromiter(map(self.known.__getitem__, met), np.int64, len(met))
         at = np.arange(len(codes)) - np.repeat(offsets[:-1], counts)
-        places += _variants(np.repeat(keys, counts), at, self.p)
-        need = np.zeros(len(self.starts), bool)
-        need[places[keep]] = True
-        wanted = np.flatnonzero(need & (self.starts < 0)).tolist()
-        if wanted:
-            by_place = dict(zip((self.known[n] for n in names), names))
-            cuts = [by_place[w // v] for w in wanted]
-            line = np.array([c.startswith("\n") for c in cuts])
-            tokens, lengths = self.units([c[1:] if e else SPACE + c for c, e in zip(cuts, line.tolist())], np.array(wanted) % v)
-            tokens = np.insert(tokens, (np.cumsum(lengths) - lengths)[line], self.pieces.byte_ids[10])
-            lengths = lengths + line
-            self.starts[wanted] = len(self.tokens) + np.cumsum(lengths) - lengths
-            self.lengths[wanted] = lengths
-            self.tokens = np.concatenate([self.tokens, tokens])
-        places = places[keep]
-        lengths = self.lengths[places].astype(np.int64)
+        draws = _draws(np.repeat(keys, counts), at, self.p)[keep]
+        places = self._walk(words[codes[keep]], draws)
+        cuts, longer = [], 0
+        starts, lengths, tokens = self.starts[places], self.lengths[places].astype(np.int64), self.tokens
+        for i in np.flatnonzero(self.size[places] < 0).tolist():
+            name = self.names[int(places[i])]
+            cuts.append(([self.pieces.byte_ids[10]] + self.unit(name[1:], int(draws[i]))) if name.startswith("\n") else self.unit(SPACE + name, int(draws[i])))
+            starts[i], lengths[i] = len(tokens) + longer, len(cuts[-1])
+            longer += len(cuts[-1])
+        if cuts:
+            tokens = np.concatenate([tokens, np.array([x for c in cuts for x in c], np.uint32)])
         ends = np.cumsum(lengths)
-        take = np.repeat(self.starts[places] - ends + lengths, lengths)
+        take = np.repeat(starts - ends + lengths, lengths)
         take += np.arange(len(take))
-        ids = self.tokens[take]
+        ids = tokens[take]
         per_text = np.zeros(len(texts) + 1, np.int64)
         spread = np.zeros(len(codes) + 1, np.int64)
         spread[1:][keep] = lengths
@@ -331,15 +406,16 @@ class Segmenter:
         return np.concatenate(parts) if parts else ids, np.cumsum([0, *map(len, parts)])
 
 
-def _variants(keys: np.ndarray, at: np.ndarray, p: Dropout) -> np.ndarray:
-    """Keyed hash of document and place, modulo the number of variants."""
+def _draws(keys: np.ndarray, at: np.ndarray, p: Dropout) -> np.ndarray:
+    """Keyed hash of document and place: the number of an occurrence."""
     x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(p.seed)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((x ^ (x >> np.uint64(32))) % np.uint64(p.variants)).astype(np.int64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
-def occurrence_variants(key: int, first: int, count: int, p: Dropout) -> np.ndarray:
-    return _variants(np.full(count, key, np.int64), np.arange(first, first + count), p)
+def occurrence_draws(key: int, first: int, count: int, p: Dropout) -> np.ndarray:
+    return _draws(np.full(count, key, np.int64), np.arange(first, first + count), p)
 
 
 @functools.lru_cache(maxsize=2)

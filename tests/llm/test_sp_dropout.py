@@ -51,3 +51,22 @@ def test_a_small_cache_changes_nothing():
     for k in range(3):
         texts, keys = pa.array([f"some words {k} here", "and there"]), np.array([k, k + 9])
         assert a.batch(texts, keys)[0].tolist() == b.batch(texts, keys)[0].tolist()
+
+
+def test_each_occurrence_is_drawn_on_its_own():
+    p = s.Dropout(rate=0.3)
+    cutter = s.Segmenter(PATH, p)
+    words = ["international", "\nreadings", "antidisestablishment" * 3, "x", "日本"]
+    texts = [" ".join(words) for _ in range(400)]
+    ids, bounds = cutter.batch(pa.array(texts), np.arange(400))
+    for k in range(400):
+        got = ids[bounds[k] : bounds[k + 1]].tolist()
+        assert cutter.pieces.decode(np.array(got)).tobytes().decode() == " " + texts[k]
+    one, ends = cutter.batch(pa.array(["international"] * 400), np.arange(400))
+    alone = [tuple(one[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+    assert alone == [tuple(cutter.unit("▁international", s.occurrence_draws(k, 0, 1, p).tolist()[0])) for k in range(400)]
+    assert len(set(alone)) > 20
+    plain, ends = cutter.batch(pa.array(["a reading of\nmany " + "antidisestablishment" * 3]), np.array([7]))
+    units = ["▁a", "▁reading", "▁of", "many", "▁" + "antidisestablishment" * 3]
+    parts = [cutter.unit(u, d) for u, d in zip(units, s.occurrence_draws(7, 0, 5, p).tolist())]
+    assert plain.tolist() == parts[0] + parts[1] + parts[2] + [cutter.pieces.byte_ids[10]] + parts[3] + parts[4]
