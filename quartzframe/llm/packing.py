@@ -220,19 +220,22 @@ class Shard:
 
 
 def order(shard: Shard, window: int) -> list[int]:
-    """All documents: each seed is followed by its best unused neighbours until a window is full."""
+    """All documents: each seed is followed by its best unused neighbours until a window is full; a window that begins with
+    the rest of a document goes on with that document's neighbours."""
     n = len(shard.ids)
     left = np.ones(n, bool)
     out: list[int] = []
-    seed, room = 0, window
+    seed, room, last = 0, window, None
     while len(out) < n:
-        while not left[seed]:
-            seed += 1
-        left[seed] = False
-        out.append(seed)
-        room -= len(shard.ids[seed])
+        if last is None:
+            while not left[seed]:
+                seed += 1
+            last = seed
+            left[seed] = False
+            out.append(seed)
+            room -= len(shard.ids[seed])
         if room > 0:
-            scores = shard.scores(seed)
+            scores = shard.scores(last)
             scores[~left] = -1.0
             near = np.argsort(-scores, kind="stable") if n <= 64 else None
             if near is None:
@@ -244,8 +247,12 @@ def order(shard: Shard, window: int) -> list[int]:
                 left[d] = False
                 out.append(d)
                 room -= len(shard.ids[d])
+                last = d
         if room <= 0:
-            room = window - (-room) % window
+            over = -room % window
+            room, last = window - over, last if over else None
+        else:
+            last = None
     return out
 
 

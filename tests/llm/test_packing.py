@@ -92,3 +92,9 @@ def test_a_group_larger_than_a_shard_is_spread(spark, table):
     for r in rows:
         sizes[r["sequence_id"] >> 32] += r["length"]
     assert len(sizes) >= 10 and max(sizes.values()) <= 2000
+
+
+def test_the_rest_of_a_long_document_is_followed_by_its_neighbours():
+    docs = [np.repeat(np.arange(t * 10, t * 10 + 10), k).astype(np.uint32) for t, k in ((0, 15), (1, 5), (2, 5), (1, 5), (0, 5))]
+    shard = pk.Shard(docs, np.ones(30), 70.0, pk.Packing(window=100))
+    assert pk.order(shard, 100) == [0, 4, 1, 3, 2]
