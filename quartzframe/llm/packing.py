@@ -32,12 +32,10 @@ from .common import documents, materialize
 
 @dataclass(frozen=True)
 class Packing:
-    """window: ids of a sequence; shard_tokens: ids of a shard, about; query_terms: a seed's terms of most weight that
-    form its query; k1, b: BM25's; least_piece: least length that the last sequence is cut to."""
+    """window: ids of a sequence; shard_tokens: ids of a shard, about; k1, b: BM25's; least_piece: least length that the last sequence is cut to."""
 
     window: int = 2048
     shard_tokens: int = 1 << 20
-    query_terms: int = 24
     k1: float = 1.2
     b: float = 0.75
     least_piece: int = 64
@@ -202,14 +200,11 @@ class Shard:
         self.owner, self.weight = owner[order], weight[order]
         self.heads = np.searchsorted(terms[order], np.arange(len(idf) + 1))
         self.ends = np.cumsum(sizes)
-        self.terms, self.gain = terms, counts * idf[terms]
+        self.terms = terms
 
     def query(self, d: int) -> np.ndarray:
-        """The terms of document ``d`` of most weight."""
-        start, end = self.ends[d - 1] if d else 0, self.ends[d]
-        gain = self.gain[start:end]
-        top = np.argpartition(-gain, self.p.query_terms)[: self.p.query_terms] if len(gain) > self.p.query_terms else np.arange(len(gain))
-        return self.terms[start + np.sort(top)]
+        """The terms of document ``d``."""
+        return self.terms[self.ends[d - 1] if d else 0 : self.ends[d]]
 
     def scores(self, d: int) -> np.ndarray:
         """BM25 of every document against ``d``."""
@@ -219,6 +214,17 @@ class Shard:
         return np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.ids))
 
 
+def nearest(scores: np.ndarray, block: int = 64) -> Iterator[int]:
+    """All places of positive score, best first and ties by place, sorted block by block as they are asked for."""
+    rest = np.flatnonzero(scores > 0)
+    while len(rest):
+        values = scores[rest]
+        now = values >= (np.partition(values, len(rest) - block)[len(rest) - block] if len(rest) > block else 0)
+        some, rest = rest[now], rest[~now]
+        yield from some[np.lexsort((some, -scores[some]))].tolist()
+        block *= 4
+
+
 def order(shard: Shard, window: int) -> list[int]:
     """All documents: each seed is followed by its best unused neighbours until a window is full; a window that begins with
     the rest of a document goes on with that document's neighbours."""
@@ -237,17 +243,13 @@ def order(shard: Shard, window: int) -> list[int]:
         if room > 0:
             scores = shard.scores(last)
             scores[~left] = -1.0
-            near = np.argsort(-scores, kind="stable") if n <= 64 else None
-            if near is None:
-                top = np.argpartition(-scores, 63)[:64]
-                near = top[np.lexsort((top, -scores[top]))]
-            for d in near.tolist():
-                if room <= 0 or scores[d] <= 0:
-                    break
+            for d in nearest(scores):
                 left[d] = False
                 out.append(d)
                 room -= len(shard.ids[d])
                 last = d
+                if room <= 0:
+                    break
         if room <= 0:
             over = -room % window
             room, last = window - over, last if over else None

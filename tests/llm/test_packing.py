@@ -98,3 +98,16 @@ def test_the_rest_of_a_long_document_is_followed_by_its_neighbours():
     docs = [np.repeat(np.arange(t * 10, t * 10 + 10), k).astype(np.uint32) for t, k in ((0, 15), (1, 5), (2, 5), (1, 5), (0, 5))]
     shard = pk.Shard(docs, np.ones(30), 70.0, pk.Packing(window=100))
     assert pk.order(shard, 100) == [0, 4, 1, 3, 2]
+
+
+def test_more_than_64_neighbours_fill_a_window():
+    docs = [np.array([1, 3 + i] if i % 2 == 0 else [2, 3 + i], np.uint32) for i in range(400)]
+    out = pk.order(pk.Shard(docs, np.ones(500), 2.0, pk.Packing(window=300)), 300)
+    assert out[:150] == list(range(0, 300, 2))
+    scores = np.random.default_rng(2).integers(-3, 20, 1000) / 4
+    assert list(pk.nearest(scores)) == [i for i in np.argsort(-scores, kind="stable").tolist() if scores[i] > 0]
+
+
+def test_all_terms_of_a_long_text_count():
+    docs = [np.arange(100, dtype=np.uint32), *(np.array([i], np.uint32) for i in range(100))]
+    assert (pk.Shard(docs, np.linspace(1, 2, 100), 2.0, pk.Packing()).scores(0) > 0).all()
