@@ -8,19 +8,24 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least 1/HOT_SHARE of the rows; by pigeonhole at most HOT_SHARE keys are.
 HOT_SHARE = 256
+#: Keys of fewer rows are no burden to a task, whatever their share.
+HOT_ROWS = 1000
 #: Slots of the bounded filters that keep rows which cannot match out of a shuffle.
 FILTER_SLOTS = 1 << 17
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a local master gets a temporary
+    one; a cluster is refused, as its executors would each write to a disk of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quartzframe-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         folder = f"file://{folder}"
@@ -30,7 +35,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path := f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+#: Scratch paths that this process has handed out and not freed.
+_MADE: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,30 +48,59 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def free(*frames: DataFrame) -> None:
+    """Deletes the scratch tables of frames that ``materialize`` gave; nothing that reads them may run afterwards."""
+    for df in frames:
+        if path := getattr(df, "scratch_path", None):
+            _delete(df.sparkSession, [path])
+
+
+def scratch_mark() -> int:
+    """To be handed to ``release``."""
+    return len(_MADE)
+
 
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the scratch tables made since ``since`` but that of ``keep``. For callers whose result is written elsewhere."""
+    _delete(spark, [p for p in _MADE[since:] if p != getattr(keep, "scratch_path", None)])
 
-def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None, salts: int = 64) -> DataFrame:
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+def keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hot: list[int] | None = None, salts: int = 64) -> DataFrame:
     """Joins on ``keys`` where a key of ``left`` may hold a third of all rows; ``right`` has few rows a key.
 
-    ``hot`` lists the hot keys (at most HOT_SHARE of them, so it is broadcast). Rows of a
-    hot key are dealt over ``salts`` tasks, and the matching rows of ``right`` are repeated
-    for each of them; all other keys are joined as usual.
+    ``hot`` are the hashes of hot keys as ``hot_keys`` gives them (then ``left`` should be a written table). Rows
+    of a hot key are dealt over ``salts`` tasks, and the matching rows of ``right`` are repeated for
+    each of them; all other keys are joined as usual.
     """
     hot = hot_keys(left, keys) if hot is None else hot
-    flag = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
+    if not hot:
+        return left.join(right, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    a = left.join(flag, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
-    many = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    b = right.join(flag, keys, "left").withColumn("_salt", F.explode(many)).drop("_hot")
+    a = left.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    b = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """The keys that hold at least 1/``share`` of the rows: at most ``share`` rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_total"))
-    return counts.join(F.broadcast(total), F.col("_n") * share >= F.col("_total")).select(*keys)
+def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE, least: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys that hold at least 1/``share`` of the rows and ``least`` rows: at most ``share`` of them."""
+    seen = Observation()
+    counts = df.groupBy(F.xxhash64(*keys).alias("_h")).agg(F.count(F.lit(1)).alias("_n")).observe(seen, F.sum("_n").alias("total"))
+    top = counts.where(F.col("_n") >= least).orderBy(F.col("_n").desc(), "_h").limit(share).collect()
+    return [r["_h"] for r in top if r["_n"] * share >= (seen.get["total"] or 0)] if top else []
 
 
 def slot(column: Column, slots: int = FILTER_SLOTS) -> Column:
@@ -98,24 +137,30 @@ def ordered_buckets(df: DataFrame, key: str, per_bucket: int = 2048, most: int =
 def components(links: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``links`` (a, b): rows (id, component), component the smallest id reachable.
 
-    Alternates large-star and small-star rounds over frames in the shared folder until no
-    link changes; the driver sees two figures a round and never a link. Each round takes
-    minima (aggregated before the shuffle), writes them and joins them back by a plain join of two
-    tables, which adaptive execution splits where a hub is large.
+    Alternates large-star and small-star steps over frames in the shared folder until no link
+    changes. The driver sees two figures a round, observed while the links are written, and never a
+    link. Each step takes minima (aggregated before the shuffle) and joins them back by a plain join,
+    which adaptive execution splits where a hub is large; the links of the step before are deleted.
     """
-    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    seen = mark(edges)
+
+    def written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        rows = pairs.where("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        return materialize(rows, name), tuple(seen.get.values())
+
+    edges, mark = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     for _ in range(max_rounds):
+        if not mark[0]:
+            break
         near = edges.select(F.col("b").alias("_k"), F.col("b").alias("_n")).union(edges)
-        least = materialize(near.groupBy("_k").agg(F.min("_n").alias("_m")), name)
-        large = edges.withColumnRenamed("b", "_k").join(least, "_k").select("a", F.col("_m").alias("b")).where("a <> b")
-        large = materialize(large.distinct(), name)
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("_m")), name)
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))).alias("e"))
-        edges = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), name)
-        last, seen = seen, mark(edges)
-        if last == seen:
+        least = near.groupBy("_k").agg(F.min("_n").alias("_m"))
+        large, _ = written(edges.withColumnRenamed("b", "_k").join(least, "_k").select("a", F.col("_m").alias("b")))
+        low = large.groupBy("a").agg(F.min("b").alias("_m"))
+        both = F.array(F.struct("a", F.col("_m").alias("b")), F.struct(F.col("b").alias("a"), F.col("_m").alias("b")))
+        (new, now) = written(large.join(low, "a").select(F.explode(both).alias("e")).select("e.a", "e.b"))
+        free(edges, large)
+        edges, last, mark = new, mark, now
+        if last == mark:
             break
     else:
         raise RuntimeError(f"{name}: no fixed point after {max_rounds} rounds")

@@ -13,7 +13,8 @@ all pairs of a group, and none between different sets is lost that the bands off
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with
 nothing. With fewer than five words the whole sequence is the one shingle. Repeated rows and rows of
-one id are one node. A row with a null id is kept and has a null component. An empty
+one id are one node; ``filter_documents`` keeps each different text of a node that stays once, and all rows without
+words. A row with a null id is kept and has a null component. An empty
 table gives an empty result. Only the named columns are read, so further columns never clash.
 """
 
@@ -28,10 +29,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, keyed_join, materialize, within_slots
+from .common import components, documents, free, hot_keys, keyed_join, materialize, within_slots
 
 
 @dataclass(frozen=True)
@@ -171,16 +172,19 @@ def differing(a: Column, b: Column) -> Column:
 def similarities(pairs: DataFrame, docs: DataFrame, p: NearDedup, key: str = "doc_id", text: str = "text", group: int = 200) -> DataFrame:
     """The pairs (a, b) with ``same`` and ``all``: sizes of the intersection and union of their full sets.
 
-    Texts of ids in no pair stay where they are. A centre ``b`` with many partners is dealt over
-    groups of about ``group`` of them, each with its own copy of the centre's text. Where an id has
+    ``pairs`` is a written table. Texts of ids in no pair stay where they are. A centre ``b`` with many partners is
+    dealt over groups of about ``group`` of them, each with its own copy of the centre's text. Where an id has
     several texts, the likest counts.
     """
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / group).alias("_groups"))
-    dealt = keyed_join(pairs, many, ["b"]).select("a", "b", F.pmod(F.xxhash64("a"), F.col("_groups")).alias("_g"))
-    ids = dealt.select(F.col("a").alias("_id"), "b", "_g", F.lit(False).alias("_centre")).union(dealt.select(F.col("b"), "b", "_g", F.lit(True)).distinct())
+    hot = hot_keys(pairs, ["b"])
+    dealt = keyed_join(pairs, many, ["b"], hot=hot).select("a", "b", F.pmod(F.xxhash64("a"), F.col("_groups")).alias("_g"))
+    heads = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1)).alias("_g"))
+    ids = dealt.select(F.col("a").alias("_id"), "b", "_g", F.lit(False).alias("_centre")).union(heads.select(F.col("b"), "b", "_g", F.lit(True)))
     texts = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text")).where("_id is not null")
-    texts = within_slots(texts, F.xxhash64("_id"), ids, F.xxhash64("_id"))
-    rows = keyed_join(ids, texts, ["_id"])
+    met = pairs.select(F.explode(F.array("a", "b")).alias("_id"))
+    texts = within_slots(texts, F.xxhash64("_id"), met, F.xxhash64("_id"))
+    rows = keyed_join(ids, texts, ["_id"], hot=hot)  # an id has at most a row a band and group, so only centres can be hot
 
     def run(table: pa.Table) -> pa.Table:
         centres, others = [], []
@@ -200,55 +204,97 @@ def similarities(pairs: DataFrame, docs: DataFrame, p: NearDedup, key: str = "do
     return rows.groupBy("b", "_g").applyInArrow(run, "a long, b long, same long, all long")
 
 
-def dedup(docs: DataFrame, p: NearDedup | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one a row of ``docs``."""
-    p = p or NearDedup()
-    signed = materialize(sketches(docs, p, key, text), "sketches")
+def _observed(df: DataFrame, name: str, value: Column) -> tuple[DataFrame, int]:
+    """``df`` written, and one figure about it that is taken on the way."""
+    seen = Observation()
+    out = materialize(df.observe(seen, value.alias("v")), name)
+    return out, seen.get["v"] or 0
+
+
+def _classes(signed: DataFrame, docs: DataFrame, p: NearDedup, key: str, text: str) -> DataFrame:
+    """Rows (set_key, component) of the different sets in ``signed``."""
     members = signed.where("n_shingles > 0 and doc_id is not null")
-    sets = materialize(members.groupBy("set_key").agg(F.min("doc_id").alias("id")), "sets")
-    chosen = members.withColumnRenamed("doc_id", "id").join(sets, ["id", "set_key"])
-    places = materialize(chosen.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct(), "places")
-    buckets = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    hot = buckets.where(F.col("size") * 2048 >= places.count()).select("bucket")  # 2048 at most
-    inside = materialize(keyed_join(places, buckets, ["bucket"], hot=hot), "buckets")
+    first = F.min_by(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands"), "doc_id")
+    sets = materialize(members.groupBy("set_key").agg(first.alias("s")).select("set_key", "s.*"), "sets")
+    places = sets.select("id", "n", F.explode("bands").alias("bucket"))
+    sizes = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    seen = Observation()
+    buckets = materialize(sizes.observe(seen, F.sum("size").alias("total")).where("size > 1"), "buckets")
+    large = max((seen.get["total"] or 0) // 2048, 1000)  # 2048 buckets at most are hot
+    hot = [r["h"] for r in buckets.where(F.col("size") > large).select(F.xxhash64("bucket").alias("h")).collect()]
+    inside = materialize(keyed_join(places, buckets, ["bucket"], hot=hot), "inside")
     linked = F.expr(f"100 * same >= {p.percent} * all")
 
     # each member against its bucket's centre
     met = inside.groupBy("id").agg(F.sum("size").alias("met"))
-    ranked = inside.select("bucket", "id").join(met, "id")
-    centre = materialize(ranked.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("m"))).alias("_c")).select("bucket", (-F.col("_c.m")).alias("b")), "centres")
-    placed = materialize(keyed_join(inside, centre, ["bucket"], hot=hot).select("bucket", "id", "n", "b"), "placed")
-    known = materialize(similarities(placed.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), docs, p, key, text), "likeness")
-    links = known.where(linked).select("a", "b")
+    centre = inside.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("m"))).alias("_c"))
+    centre = centre.select("bucket", (-F.col("_c.m")).alias("b"))
+    placed = materialize(keyed_join(inside, centre, ["bucket"], hot=hot).select("bucket", "id", "b"), "placed")
+    free(inside, buckets)
+    pairs = materialize(placed.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
+    known = materialize(similarities(pairs, docs, p, key, text), "likeness")
+    near = materialize(components(known.where(linked).select("a", "b"), "near"), "near")
 
     # across the components of a bucket
     distance = known.select(F.col("a").alias("id"), "b", (1 - F.col("same") / F.col("all")).alias("d"))
-    state = keyed_join(placed, distance, ["id", "b"], "left").join(components(links, "near").withColumnRenamed("component", "c"), "id", "left")
-    state = state.select("bucket", "id", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("c", "id").alias("c"), (F.col("id") == F.col("b")).alias("centre"))
+    state = placed.join(distance, ["id", "b"], "left").join(near.withColumnRenamed("component", "c"), "id", "left")
+    state = state.select("bucket", "id", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("c", "id").alias("c"), (F.col("id") == F.col("b")).alias("centre"))
     state = materialize(state, "state")
-    main = state.where("centre").groupBy("bucket").agg(F.min("c").alias("main"))
-    mixed = state.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket").join(main, "bucket")
-    marks = chosen.select("id", "odd", "whole").dropDuplicates(["id"])
-    state = materialize(keyed_join(state, mixed, ["bucket"], hot=hot).join(marks, "id"), "state")
-    other = state.where("c <> main").select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "odd", "whole", "d", "c")))
-    apart = (F.col("c") != F.col("c_a")) & ((F.col("c") == F.col("main")) | (F.col("id") < F.col("id_a"))) & ~F.col("centre")
+    free(placed, pairs, known)
+    main = F.min(F.when(F.col("centre"), F.col("c")))
+    mixed = state.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), main.alias("main")).where("low <> high").select("bucket", "main")
+    marks = members.select(F.col("doc_id").alias("id"), "set_key", F.col("n_shingles").alias("n"), "odd", "whole")
+    marks = marks.join(sets.select("id", "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"]).drop("set_key")
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / p.percent)).alias("bin")
+    apart, rows = _observed(keyed_join(state, mixed, ["bucket"], hot=hot).join(marks, "id").select("*", step), "apart", F.count(F.lit(1)))
+    free(state)
+    classes = near
+    if rows:
+        more = similarities(materialize(_across(apart, p), "pairs"), docs, p, key, text).where(linked).select("a", "b")
+        found, new = _observed(more, "links", F.count(F.lit(1)))
+        if new:  # a component's members, linked with its smallest, stand for the links between them
+            classes = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found), "near")
+    return sets.select("set_key", "id").join(classes, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+
+
+def _across(apart: DataFrame, p: NearDedup) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that distances, sizes and sketches allow to be linked.
+
+    Sets of similar size lie in the same or the next of bins that are as wide as the threshold allows, so members meet by
+    bucket and bin; hot ones are dealt over tasks.
+    """
+    names = ("id", "n", "odd", "whole", "d", "c")
+    other = apart.where("c <> main").select("bucket", F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)])).alias("bin"), *(F.col(c).alias(f"{c}_a") for c in names))
+    differ = (F.col("c") != F.col("c_a")) & ((F.col("c") == F.col("main")) | (F.col("id") < F.col("id_a"))) & ~F.col("centre")
     fits = (F.col("n") * 100 >= F.col("n_a") * p.percent) & (F.col("n_a") * 100 >= F.col("n") * p.percent) & (F.abs(F.col("d") - F.col("d_a")) <= 1 - p.percent / 100 + 1e-9)
     # the sets' difference is at most this share of their sizes; the bitmaps' is never larger
     few = differing(F.col("whole"), F.col("whole_a")) * (100 + p.percent) <= (F.col("n") + F.col("n_a")) * (100 - p.percent)
-    pairs = other.join(state, "bucket").where(apart & fits & few & (differing(F.col("odd"), F.col("odd_a")) <= most_differing(p))).withColumnRenamed("id_a", "a")
-    pairs = materialize(pairs.select("a", F.col("id").alias("b")).distinct(), "pairs")
-    more = materialize(similarities(pairs, docs, p, key, text).where(linked).select("a", "b"), "links")
-    links = links.unionByName(more)
-    classes = components(links, "near")
-    named = sets.join(classes, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    pairs = keyed_join(other, apart, ["bucket", "bin"]).where(differ & fits & few & (differing(F.col("odd"), F.col("odd_a")) <= most_differing(p)))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _labelled(signed: DataFrame, named: DataFrame) -> DataFrame:
     out = keyed_join(signed.select("doc_id", "n_shingles", "set_key"), named, ["set_key"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def dedup(docs: DataFrame, p: NearDedup | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one a row of ``docs``."""
+    p = p or NearDedup()
+    signed = materialize(sketches(docs, p, key, text), "sketches")
+    return _labelled(signed, _classes(signed, docs, p, key, text))
+
+
 def filter_documents(docs: DataFrame, p: NearDedup | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component."""
-    gone = dedup(docs, p, key, text).where("not kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti")
+    """``docs`` with one document of each component, each of its different texts once."""
+    p = p or NearDedup()
+    signed = materialize(sketches(docs, p, key, text), "sketches")
+    gone = _labelled(signed, _classes(signed, docs, p, key, text)).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    left = docs.join(gone, key, "left_anti")
+    repeats = signed.where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
+    if repeats.isEmpty():
+        return left
+    return left.join(repeats, key, "left_anti").unionByName(left.join(repeats, key, "left_semi").dropDuplicates([key, text]))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ host decides: labelled page outcomes are shrunk through beta-binomial priors fro
 to registered domain to host, and a host is blocked when the posterior bound of its rate
 of good pages lies below a threshold.
 
+A host's registered domain is its public suffix and one label more. Public suffixes of two labels are a parameter; by
+default they are the labels of SECOND before a two-letter country code, which is how most registries sell names below a
+country. Pass the expression of a public suffix list for others.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path and is judged
 by the prior of all hosts. Repeated pages are judged alike and each is returned. An empty
 table gives an empty result; without any labelled outcome the prior mean is 1/2 with the
@@ -18,7 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_join, lower_ascii
+from .common import keyed_join, lower_ascii, materialize
+
+
+#: Second labels below country codes: short ones that registries use, and longer ones that schools, offices and companies have.
+SECOND = "ac|co|com|edu|gob|gouv|gov|go|govt|gv|id|ltd|ne|net|nhs|nom|or|org|plc|sch|school"
+SUFFIXES = rf"^(?:{SECOND})\.[a-z]{{2}}$"
 
 
 @dataclass(frozen=True)
@@ -40,12 +49,12 @@ class Rule:
 @dataclass(frozen=True)
 class Reputation:
     """bound: standard deviations below the posterior mean; least_rate: rate of good pages that the bound must reach;
-    concentrations: limits of the prior's weight in pages; suffixes: public suffixes of two labels."""
+    concentrations: limits of the prior's weight in pages; suffixes: public suffixes of two labels as a regular expression."""
 
     bound: float = 2.0
     least_rate: float = 0.5
     concentrations: tuple[float, float] = (1.0, 1000.0)
-    suffixes: tuple[str, ...] = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
+    suffixes: str = SUFFIXES
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -66,10 +75,10 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return text, verdict
 
 
-def registered_domain(host: Column, suffixes: tuple[str, ...]) -> tuple[Column, Column]:
+def registered_domain(host: Column, suffixes: str) -> tuple[Column, Column]:
     """Registered domain (suffix and one label more, or the host) and suffix."""
     two = F.substring_index(host, ".", -2)
-    long = two.isin(*suffixes)
+    long = two.rlike(suffixes)
     return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
 
 
@@ -92,19 +101,22 @@ def _concentration(groups: DataFrame, p: Reputation, name: str) -> DataFrame:
 def host_reputation(outcomes: DataFrame, hosts: DataFrame, p: Reputation) -> DataFrame:
     """Posterior of each host of ``hosts`` (host); ``outcomes`` (host, good 0 or 1) are the labelled pages.
 
-    A level's own pages are left out of the level above before that serves as its prior,
-    so that no page counts twice.
+    Hosts with outcomes count for their domain and suffix whether or not they are in ``hosts``. A level's
+    own pages are left out of the level above before that serves as its prior, so that no page counts twice.
+    Counts by host are written once; all that follows reads that table.
     """
-    counts = outcomes.groupBy("host").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("good").alias("seen"))
+    asked = hosts.select("host", F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("seen"), F.lit(1).alias("asked"))
+    known = outcomes.select("host", F.col("good").cast("long"), F.when(F.col("good").isNotNull(), 1).otherwise(0).cast("long").alias("seen"), F.lit(0).alias("asked"))
     domain, suffix = registered_domain(F.col("host"), p.suffixes)
-    at_host = hosts.join(counts, "host", "left").select("host", domain.alias("domain"), suffix.alias("suffix"), F.coalesce("good", F.lit(0)).cast("long").alias("good"), F.coalesce("seen", F.lit(0)).cast("long").alias("seen"))
-    at_domain = at_host.groupBy("domain", "suffix").agg(F.sum("good").alias("good"), F.sum("seen").alias("seen"))
+    at_host = asked.unionByName(known).groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.sum("seen").alias("seen"), F.max("asked").alias("asked"))
+    at_host = materialize(at_host.select("host", domain.alias("domain"), suffix.alias("suffix"), "good", "seen", "asked"), "hosts")
+    at_domain = materialize(at_host.groupBy("domain", "suffix").agg(F.sum("good").alias("good"), F.sum("seen").alias("seen")), "domains")
     at_suffix = at_domain.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("seen").alias("seen"))
     # three frames of one row each
     weights = _concentration(at_host, p, "k_host").crossJoin(F.broadcast(_concentration(at_domain, p, "k_domain"))).crossJoin(F.broadcast(_concentration(at_suffix, p, "k_suffix")))
     s = at_suffix.select("suffix", F.col("good").alias("s_good"), F.col("seen").alias("s_seen"))
-    d = at_domain.select("domain", F.col("good").alias("d_good"), F.col("seen").alias("d_seen"))
-    x = keyed_join(keyed_join(at_host, s, ["suffix"]), d, ["domain"]).join(F.broadcast(weights))
+    d = keyed_join(at_domain.select("domain", "suffix", F.col("good").alias("d_good"), F.col("seen").alias("d_seen")), s, ["suffix"]).drop("suffix")
+    x = keyed_join(at_host.where("asked = 1"), d, ["domain"]).join(F.broadcast(weights))
     top = (F.expr("s_good - d_good") + F.expr("k_suffix * k_suffix_mean")) / (F.expr("s_seen - d_seen") + F.col("k_suffix"))
     x = x.withColumn("_top", top).withColumn("_mid", (F.expr("d_good - good") + F.expr("k_domain * _top")) / (F.expr("d_seen - seen") + F.col("k_domain")))
     x = x.withColumn("_a", F.expr("good + k_host * _mid")).withColumn("_n", F.expr("seen + k_host"))
@@ -116,7 +128,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], p: Reputatio
     """Rows (key, host, path, rule, verdict, rate, lower) for every row of ``pages``."""
     p = p or Reputation()
     host, path = url_parts(F.col(url))
-    parts = pages.select(F.col(key), host.alias("host"), path.alias("path"))
+    parts = materialize(pages.select(F.col(key), host.alias("host"), path.alias("path")), "urls")
     scores = host_reputation(outcomes, parts.select("host").distinct(), p).select("host", "rate", "lower")
     text, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     judged = keyed_join(parts, scores, ["host"], "left")
@@ -150,11 +162,11 @@ WITH cut AS (
 ), marks AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 shown AS (SELECT host, TRY_CAST(NULLIF(regexp_extract(path, '/([0-9]{1,18})(?:\.html|/)?$', 1), '') AS BIGINT) AS doc_id FROM parts),
 counts AS (SELECT host, sum(good) AS good, count(*) AS seen FROM shown JOIN marks USING (doc_id) GROUP BY 1),
-hosts AS (SELECT DISTINCT host, list_reverse(string_split(host, '.')) AS l FROM parts),
+hosts AS (SELECT host, list_reverse(string_split(host, '.')) AS l FROM (SELECT host FROM parts UNION SELECT host FROM counts)),
 named AS (SELECT host, CASE WHEN len(l) >= 2 THEN l[2] || '.' || l[1] ELSE l[1] END AS two, l FROM hosts),
 split AS (
-  SELECT host, CASE WHEN two IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'org.uk') AND len(l) >= 3 THEN l[3] || '.' || two ELSE two END AS domain,
-         CASE WHEN two IN ('ac.uk', 'co.jp', 'co.uk', 'com.au', 'com.br', 'org.uk') THEN two ELSE l[1] END AS suffix FROM named
+  SELECT host, CASE WHEN regexp_matches(two, '^(ac|co|com|edu|gob|gouv|gov|go|govt|gv|id|ltd|ne|net|nhs|nom|or|org|plc|sch|school)\.[a-z]{2}$') AND len(l) >= 3 THEN l[3] || '.' || two ELSE two END AS domain,
+         CASE WHEN regexp_matches(two, '^(ac|co|com|edu|gob|gouv|gov|go|govt|gv|id|ltd|ne|net|nhs|nom|or|org|plc|sch|school)\.[a-z]{2}$') THEN two ELSE l[1] END AS suffix FROM named
 ), h AS (SELECT host, domain, suffix, coalesce(good, 0)::BIGINT AS good, coalesce(seen, 0)::BIGINT AS seen FROM split LEFT JOIN counts USING (host)),
 d AS (SELECT domain, suffix, sum(good)::BIGINT AS good, sum(seen)::BIGINT AS seen FROM h GROUP BY 1, 2),
 s AS (SELECT suffix, sum(good)::BIGINT AS good, sum(seen)::BIGINT AS seen FROM d GROUP BY 1),

@@ -31,7 +31,7 @@ def test_empty_tables(spark):
 
 
 def test_registered_domain(spark):
-    df = spark.createDataFrame([("a.b.co.uk",), ("b.org",), ("",), ("x",)], "h string").select(*u.registered_domain(F.col("h"), ("co.uk",)))
+    df = spark.createDataFrame([("a.b.co.uk",), ("b.org",), ("",), ("x",)], "h string").select(*u.registered_domain(F.col("h"), r'^co\.uk$'))
     assert [tuple(r) for r in df.collect()] == [("b.co.uk", "co.uk"), ("b.org", "org"), ("", ""), ("x", "x")]
 
 
@@ -39,3 +39,10 @@ def test_registered_domain(spark):
 def test_concentration_follows_the_spread(spark, groups, low, high):
     df = spark.createDataFrame(groups, "good long, seen long")
     assert low <= u._concentration(df, u.Reputation(), "k").first()["k"] <= high
+
+
+def test_hosts_with_outcomes_but_no_page_count_for_their_domain(spark):
+    known = [("a.y.org", 1)] * 60 + [("a.z.gov.uk", 0)] * 60
+    got = judged(spark, ["h://new.y.org/", "h://new.z.gov.uk/", "h://new.y.org/" + "p" * 100_000, "h://new.y.org/"], known)
+    assert [got[i]["verdict"] for i in range(4)] == ["allow", "block", "allow", "allow"]
+    assert got[0]["rate"] == got[2]["rate"] == got[3]["rate"] > 0.9
