@@ -7,9 +7,9 @@ separators stay, and the pseudonym is valid again: cards pass the Luhn test, IBA
 check, dates exist. Each permutation can be undone with the key.
 
 Defined cases: a null text stays null and counts nothing; an empty text stays empty.
-Repeated rows are treated alike. An empty table gives an empty result. ``pseudonymize``
-keeps all columns, with the text and n_chars (if there) renewed; its helper columns do
-not outlive it.
+Repeated rows are treated alike. Where kinds overlap, the match that begins first counts, and of several there the first in
+the order of KINDS. An empty table gives an empty result. ``pseudonymize``
+keeps all columns, with the text and n_chars (if there) renewed; its helper columns take names that no column has.
 """
 
 from __future__ import annotations
@@ -26,13 +26,40 @@ ROUNDS = 6
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET = r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|password=[0-9a-f]{12,}|token = \"[0-9a-f]{32,}\""
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: What a key begins with, or what names a password or token, and its own characters.
+CLOUD_KEY, PREFIX = "(?:AKIA|ASIA)", "(?:gh[opsu]_|sk_live_|sk_test_|xox[abp]-)"
+NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:=[\"']?|\s?[:=]\s?[\"'])"
+SECRET_MARK = f"{CLOUD_KEY}|{PREFIX}|{NAMED}"
+SECRET = rf"(?<![A-Za-z0-9])(?:{CLOUD_KEY}[0-9A-Z]{{16}}(?![0-9A-Za-z])|{PREFIX}[A-Za-z0-9-]{{20,}}|{NAMED}[A-Za-z0-9+/_.~!@#$%^&*-]{{8,}})"
+
+#: Characters of an IBAN by country, from the public registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20,
+}
+
+
+def iban_pattern(lengths: dict[str, int] = IBAN_LENGTHS) -> str:
+    """IBANs of the known length of their country, in groups of four or without spaces; for other countries whatever fits."""
+    ways = []
+    for size in sorted(set(lengths.values())):
+        groups, rest = divmod(size - 4, 4)
+        tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        ways.append(f"(?:{'|'.join(c for c, n in lengths.items() if n == size)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    ways.append(f"(?!{'|'.join(lengths)})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?")
+    return f"(?<![A-Za-z0-9])(?:{'|'.join(ways)})(?![A-Za-z0-9])"
+
+
+IBAN = iban_pattern()
 DATE = r"(?<![0-9./-])(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./-])[0-9]{2}[./][0-9]{2}[./](?:1[89]|2[01])[0-9]{2}(?![0-9])"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])[3-6][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}(?:[0-9]{0,3})(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"
+CARD = r"(?<![0-9])[1-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}(?:[0-9]{0,3})(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"
 
 
 @dataclass(frozen=True)
@@ -92,10 +119,13 @@ def permute_text(value: Column, key: str, tag: str, classes: tuple[str, ...] = C
         sign = -1 if undo else 1
 
         def shifted(stream: Column) -> Column:
-            by = lambda i: sign * F.conv(stream.substr(F.pmod(F.floor(i / 2).cast("int"), F.lit(20)) * 3 + 1, F.lit(3)), 16, 10).cast("int")
+            by = lambda i: sign * F.conv(stream.substr(F.floor(i / 2).cast("int") * 3 + 1, F.lit(3)), 16, 10).cast("int")
             return F.transform(chars, lambda c, i: F.when(i % 2 == step % 2, shift(c, by(i))).otherwise(c))
 
-        return let(F.sha2(F.concat_ws("|", F.lit(f"{key}|{tag}"), step.cast("string"), F.size(chars).cast("string"), fixed), 256), shifted)
+        # a hash has digits for 21 places of a half, so longer texts take several
+        blocks = F.sequence(F.lit(0), F.floor(F.size(chars) / 42).cast("int"))
+        hashed = lambda b: F.substring(F.sha2(F.concat_ws("|", F.lit(f"{key}|{tag}"), step.cast("string"), F.size(chars).cast("string"), b.cast("string"), fixed), 256), 1, 63)
+        return let(F.array_join(F.transform(blocks, hashed), ""), shifted)
 
     steps = F.array(*[F.lit(i) for i in (reversed(range(ROUNDS)) if undo else range(ROUNDS))])
     return F.array_join(F.aggregate(steps, start, turn), "")
@@ -197,12 +227,14 @@ def email(value: Column, key: str, undo: bool = False) -> Column:
     return F.concat(permute_text(local, key, "email", undo=undo), F.lit("@"), domain)
 
 
+#: Hexadecimal letters are classes of their own, so that hexadecimal keys stay hexadecimal.
+SECRET_CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")
+
+
 def secret(value: Column, key: str, undo: bool = False) -> Column:
-    """A key's or password's own characters permuted, hexadecimal ones among themselves; what marks it stays."""
-    mark = F.regexp_extract(value, r'^(AKIA|password=|token = ")', 1)
-    rest = value.substr(F.length(mark) + 1, F.length(value))
-    hexes = permute_text(rest, key, "hex", ("0123456789abcdef",), undo)
-    return F.concat(mark, F.when(mark == "AKIA", permute_text(rest, key, "secret", undo=undo)).otherwise(hexes))
+    """A key's or password's own characters permuted; what marks it stays."""
+    mark = F.regexp_extract(value, f"^(?:{SECRET_MARK})", 0)
+    return F.concat(mark, permute_text(value.substr(F.length(mark) + 1, F.length(value)), key, "secret", SECRET_CLASSES, undo))
 
 
 MAKERS = {"email": email, "secret": secret, "iban": iban, "date": date, "ipv4": ipv4, "ssn": ssn, "phone": phone, "card": card}
@@ -226,17 +258,24 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: tuple[Kin
     joined again, in one projection without a shuffle.
     """
     whole = pattern(kinds)
-    found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(whole), F.lit(0)))
-    rows = docs.withColumn("_pii_found", found).withColumn("_pii_new", F.transform("_pii_found", lambda v: replacement(v, key, kinds, undo)))
+    found, new = _fresh("_pii_found", docs.columns), _fresh("_pii_new", docs.columns)
+    rows = docs.withColumn(found, F.regexp_extract_all(F.col(text), F.lit(whole), F.lit(0))).withColumn(new, F.transform(found, lambda v: replacement(v, key, kinds, undo)))
     between = F.split(F.col(text), whole, -1)
-    joined = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get("_pii_new", i), F.lit("")))), "")
-    rows = rows.withColumn(text, F.when(F.size("_pii_found") > 0, joined).otherwise(F.col(text)))
+    joined = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get(new, i), F.lit("")))), "")
+    rows = rows.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(F.col(text)))
     if count:
-        rows = rows.withColumn(count, F.coalesce(F.size(F.filter(F.arrays_zip("_pii_found", "_pii_new"), lambda z: z["_pii_found"] != z["_pii_new"])), F.lit(0)).cast("long"))
-    rows = rows.drop("_pii_found", "_pii_new")
+        rows = rows.withColumn(count, F.coalesce(F.size(F.filter(F.arrays_zip(F.col(found).alias("old"), F.col(new).alias("new")), lambda z: z["old"] != z["new"])), F.lit(0)).cast("long"))
+    rows = rows.drop(found, new)
     return rows.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast(rows.schema["n_chars"].dataType)) if "n_chars" in rows.columns else rows
 
 
+def _fresh(name: str, taken: list[str]) -> str:
+    """``name``, longer where a column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 #: The registered query's key; a production run passes its own.
 QUERY_KEY = "quartz"
 
