@@ -7,6 +7,7 @@ import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,18 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE, least: int
     return [r["_h"] for r in top if r["_n"] * share >= (seen.get["total"] or 0)] if top else []
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, longer where a column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def slot(column: Column, slots: int = FILTER_SLOTS) -> Column:
     """The place of a 64-bit hash in a bounded filter."""
     return F.pmod(column, F.lit(slots)).cast("int")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, fresh, let
 
 ROUNDS = 6
 #: Dates are permuted among the days of 1800 to 2199: 400 years, 146,097 = 189 * 773 days.
@@ -72,11 +72,6 @@ class Kind:
 KINDS = tuple(Kind(*x) for x in (("email", EMAIL), ("secret", SECRET), ("iban", IBAN), ("date", DATE), ("ipv4", IPV4), ("ssn", SSN), ("phone", PHONE), ("card", CARD)))
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def permute_pair(a: Column, b: Column, size_a: int, size_b: int, key: str, tag: str, undo: bool = False) -> Column:
     """Keyed permutation of the pairs of 0..size_a-1 and 0..size_b-1, as a struct (a, b).
 
@@ -258,7 +253,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: tuple[Kin
     joined again, in one projection without a shuffle.
     """
     whole = pattern(kinds)
-    found, new = _fresh("_pii_found", docs.columns), _fresh("_pii_new", docs.columns)
+    found, new = fresh("_pii_found", docs.columns), fresh("_pii_new", docs.columns)
     rows = docs.withColumn(found, F.regexp_extract_all(F.col(text), F.lit(whole), F.lit(0))).withColumn(new, F.transform(found, lambda v: replacement(v, key, kinds, undo)))
     between = F.split(F.col(text), whole, -1)
     joined = F.array_join(F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get(new, i), F.lit("")))), "")
@@ -269,13 +264,6 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: tuple[Kin
     return rows.withColumn("n_chars", F.coalesce(F.length(text), F.lit(0)).cast(rows.schema["n_chars"].dataType)) if "n_chars" in rows.columns else rows
 
 
-def _fresh(name: str, taken: list[str]) -> str:
-    """``name``, longer where a column has it."""
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 #: The registered query's key; a production run passes its own.
 QUERY_KEY = "quartz"
 

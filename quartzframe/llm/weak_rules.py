@@ -5,9 +5,9 @@ maximisation over how often each combination of votes occurs estimates, for good
 documents, how likely each rule's votes are; a document is kept when the posterior probability
 of good is at least one half and no base rule rejects it.
 
-Defined cases: a null or empty text has no words and fails the base rules. Repeated rows are
-judged alike. An empty table gives an empty result. Texts are read whole. Only the named
-columns are read by ``counts``; ``filter_documents`` keeps the columns of its input.
+Defined cases: a null or empty text has no words and fails the base rules. Repeated rows, and rows of one id, are
+each judged by their own text. An empty table gives an empty result. Texts are read whole. Only the named
+columns are read by ``counts``; ``filter_documents`` keeps the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -157,28 +157,48 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def _code(rules: tuple[VotingRule, ...]) -> Column:
+    """The combination of a row's votes as a number."""
+    return sum((r.vote() + 1) * 3**i for i, r in enumerate(rules)).cast("int")
+
+
+def beliefs(rows: DataFrame, rules: tuple[VotingRule, ...] = RULES, fit: Fit = Fit()) -> DataFrame:
+    """Rows (_code, posterior), fitted on all of ``rows`` (_code, base_failed) that pass the base rules. The driver
+    gets one row for each combination of votes, 3 ** rules at most, whatever the number of documents."""
+    known = rows.where("not base_failed").groupBy("_code").agg(F.count(F.lit(1)).alias("n")).orderBy("_code").collect()
+    patterns = np.array([[x["_code"] // 3**i % 3 - 1 for i in range(len(rules))] for x in known]).reshape(len(known), len(rules))
+    posterior = estimate(patterns, np.array([x["n"] for x in known], float), fit)
+    return rows.sparkSession.createDataFrame([(x["_code"], float(p)) for x, p in zip(known, posterior)], "_code int, posterior double")
+
+
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[VotingRule, ...] = RULES, fit: Fit = Fit()) -> DataFrame:
     """Rows (key, counts, base_failed, posterior, kept).
 
     The rules' accuracies are fitted on all documents that pass the base rules; the others have no
-    posterior of their own combination unless a passing document shares it. The driver gets one
-    row for each combination of votes, 3 ** rules at most.
+    posterior of their own combination unless a passing document shares it.
     """
-    rows = materialize(counts(docs, key, text), "counts")
-    code = sum((r.vote() + 1) * 3**i for i, r in enumerate(rules)).cast("int")
-    rows = rows.withColumn("_code", code).withColumn("base_failed", base_failed())
-    known = rows.where("not base_failed").groupBy("_code").agg(F.count(F.lit(1)).alias("n")).orderBy("_code").collect()
-    patterns = np.array([[x["_code"] // 3**i % 3 - 1 for i in range(len(rules))] for x in known]).reshape(len(known), len(rules))
-    posterior = estimate(patterns, np.array([x["n"] for x in known], float), fit)
-    belief = docs.sparkSession.createDataFrame([(x["_code"], float(p)) for x, p in zip(known, posterior)], "_code int, posterior double")
-    judged = rows.join(F.broadcast(belief), "_code", "left").drop("_code")
+    rows = materialize(counts(docs, key, text), "counts").withColumn("_code", _code(rules)).withColumn("base_failed", base_failed())
+    judged = rows.join(F.broadcast(beliefs(rows, rules, fit)), "_code", "left").drop("_code")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("posterior", F.lit(0.0)) >= 0.5))
 
 
-def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that are rejected; rows with a null id are kept, as no verdict can name them."""
-    bad = judge(docs, key, text).where("not kept").select(key).distinct()
-    return docs.join(bad, key, "left_anti")
+def filter_documents(docs: DataFrame, text: str = "text", rules: tuple[VotingRule, ...] = RULES, fit: Fit = Fit()) -> DataFrame:
+    """``docs`` without the rows that are rejected. Each row is judged by its own text, whatever its id, and stays where it
+    is: texts are counted once for the fit and once for the verdict rather than shuffled."""
+    kinds = [(c, pa.int64()) for c in COUNTS]
+
+    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
+    def counted(texts: pa.Array) -> pa.Array:
+        found = np.array([text_counts(t.as_py()) for t in texts], np.int64).reshape(len(texts), len(COUNTS)).T
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found], fields=[pa.field(*k) for k in kinds])
+
+    def coded(rows: DataFrame) -> DataFrame:
+        inner = rows.select("_row", counted(F.col("_row." + text).cast("string")).alias("_c")).select("_row", "_c.*")
+        return inner.select("_row", _code(rules).alias("_code"), base_failed().alias("base_failed"))
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # all columns in one, so that no name clashes
+    known = beliefs(coded(docs.select(F.struct(text).alias("_row"))), rules, fit).where("posterior >= 0.5").select("_code")
+    return coded(rows).where("not base_failed").join(F.broadcast(known), "_code").select("_row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
