@@ -47,6 +47,7 @@ _MADE: list[str] = []
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: later stages neither recompute it nor depend on its executors."""
     spark = df.sparkSession
+    text_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -192,5 +193,18 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, *ascii_lower())
 
 
+#: Rows of whole texts that a Python worker gets at once, at most.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches: rows here are whole texts, and a worker holds several copies of a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -25,12 +25,12 @@ ROUNDS = 6
 #: Dates are permuted among the days of 1800 to 2199: 400 years, 146,097 = 189 * 773 days.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 #: What a key begins with, or what names a password or token, and its own characters.
 CLOUD_KEY, PREFIX = "(?:AKIA|ASIA)", "(?:gh[opsu]_|sk_live_|sk_test_|xox[abp]-)"
 NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:=[\"']?|\s?[:=]\s?[\"'])"
 SECRET_MARK = f"{CLOUD_KEY}|{PREFIX}|{NAMED}"
-SECRET = rf"(?<![A-Za-z0-9])(?:{CLOUD_KEY}[0-9A-Z]{{16}}(?![0-9A-Za-z])|{PREFIX}[A-Za-z0-9-]{{20,}}|{NAMED}[A-Za-z0-9+/_.~!@#$%^&*-]{{8,}})"
+SECRET = rf"(?=[AGSXPTKagsxptk])(?<![A-Za-z0-9])(?:{CLOUD_KEY}[0-9A-Z]{{16}}(?![0-9A-Za-z])|{PREFIX}[A-Za-z0-9-]{{20,}}|{NAMED}[A-Za-z0-9+/_.~!@#$%^&*-]{{8,}})"
 
 #: Characters of an IBAN by country, from the public registry.
 IBAN_LENGTHS = {
@@ -51,14 +51,14 @@ def iban_pattern(lengths: dict[str, int] = IBAN_LENGTHS) -> str:
         tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
         ways.append(f"(?:{'|'.join(c for c, n in lengths.items() if n == size)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}")
     ways.append(f"(?!{'|'.join(lengths)})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?")
-    return f"(?<![A-Za-z0-9])(?:{'|'.join(ways)})(?![A-Za-z0-9])"
+    return f"(?=[A-Z]{{2}}[0-9]{{2}})(?<![A-Za-z0-9])(?:{'|'.join(ways)})(?![A-Za-z0-9])"
 
 
 IBAN = iban_pattern()
-DATE = r"(?<![0-9./-])(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./-])[0-9]{2}[./][0-9]{2}[./](?:1[89]|2[01])[0-9]{2}(?![0-9])"
+DATE = r"(?=[0-9])(?:(?<![0-9./-])(?:1[89]|2[01])[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./-])[0-9]{2}[./][0-9]{2}[./](?:1[89]|2[01])[0-9]{2}(?![0-9]))"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])"
+PHONE = r"(?=[+(0-9])(?:(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]))"
 CARD = r"(?<![0-9])[1-9][0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}(?:[0-9]{0,3})(?![0-9])|(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])"
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, text_batches
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -185,6 +185,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple
 def filter_documents(docs: DataFrame, text: str = "text", rules: tuple[VotingRule, ...] = RULES, fit: Fit = Fit()) -> DataFrame:
     """``docs`` without the rows that are rejected. Each row is judged by its own text, whatever its id, and stays where it
     is: texts are counted once for the fit and once for the verdict rather than shuffled."""
+    text_batches(docs.sparkSession)
     kinds = [(c, pa.int64()) for c in COUNTS]
 
     @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))

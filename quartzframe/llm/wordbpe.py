@@ -19,13 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-from tokenizers import Tokenizer, normalizers  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
 
 #: Composed letters whose lower case is one letter each, and marks that are tokens apart from letters.
 LATIN, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-į]+"), ".,!?;:#$%&*"
-MOST = 500_000
+MOST = 250_000
 #: Words for one call of the library; bytes of text that are gathered at once.
-WORDS, TEXT_BYTES = 10_000, 8 << 20
+WORDS, TEXT_BYTES = 10_000, 4 << 20
 
 
 class WordBpe:
@@ -35,8 +35,8 @@ class WordBpe:
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark = max(self.special)
-        self.plain = Tokenizer.from_file(path)  # for lower-case composed words, which the normalizer leaves as they are
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.tokenizer.model)  # for lower-case composed words, which the normalizer leaves as they are
+        self.plain.pre_tokenizer = self.tokenizer.pre_tokenizer
         if hasattr(self.plain.model, "_resize_cache"):
             self.plain.model._resize_cache(0)  # each word is asked for once
         self.last = np.zeros(self.size, dtype=bool)
