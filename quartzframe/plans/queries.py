@@ -494,3 +494,6 @@ def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", F.to_json(F.struct("user_id", "event_type", "props", "event_id")).alias("body"))
     return rows.select("event_id", F.concat(F.lit("event_"), ident.canonical_hash(F.col("body"), without=("event_id",))).alias("identity"))
 
+
+
+from . import evidence_queries  # noqa: E402, F401  registers its queries here
