@@ -20,7 +20,7 @@ def stretch(channel: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.clip((channel.astype(np.float64) - low) * 255.0 / (high - low), 0, 255).astype(np.uint8)
 
 
-def percentile_stretch(channel: np.ndarray, low: float = 1.0, high: float = 99.0) -> np.ndarray:
+def percentile_stretch(channel: np.ndarray, low: float = 5.0, high: float = 95.0) -> np.ndarray:
     return stretch(channel, float(np.percentile(channel, low)), float(np.percentile(channel, high)))
 
 
@@ -36,13 +36,30 @@ def resize_nearest(image: np.ndarray, width: int, height: int) -> np.ndarray:
     return image[rows[:, None], columns]
 
 
-def letterbox(image: np.ndarray, size: int, fill: int = 128) -> tuple[np.ndarray, float, int, int]:
-    """The image inside a square of ``size`` with its scale and offsets."""
-    scale = size / max(image.shape[:2])
+def resize_linear(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Bilinear resize about pixel centres, edges repeated."""
+
+    def along(size: int, old: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(size) + 0.5) * old / size - 0.5, 0, old - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, old - 1), at - low
+
+    (top, bottom, down), (left, right, across) = along(height, image.shape[0]), along(width, image.shape[1])
+    more = (1,) * (image.ndim - 2)
+    down, across = down.reshape(-1, 1, *more), across.reshape(1, -1, *more)
+    mixed = lambda rows: image[rows][:, left] * (1 - across) + image[rows][:, right] * across
+    out = mixed(top) * (1 - down) + mixed(bottom) * down
+    return np.rint(out).astype(image.dtype) if np.issubdtype(image.dtype, np.integer) else out.astype(image.dtype)
+
+
+def letterbox(image: np.ndarray, width: int, height: int | None = None, fill: int = 128) -> tuple[np.ndarray, float, int, int]:
+    """The image inside a frame of ``width`` and ``height`` (none: a square) with its scale and offsets."""
+    height = height or width
+    scale = min(width / image.shape[1], height / image.shape[0])
     h, w = max(1, round(image.shape[0] * scale)), max(1, round(image.shape[1] * scale))
-    out = np.full((size, size, *image.shape[2:]), fill, image.dtype)
-    top, left = (size - h) // 2, (size - w) // 2
-    out[top : top + h, left : left + w] = resize_nearest(image, w, h)
+    out = np.full((height, width, *image.shape[2:]), fill, image.dtype)
+    top, left = (height - h) // 2, (width - w) // 2
+    out[top : top + h, left : left + w] = resize_linear(image, w, h)
     return out, scale, left, top
 
 

@@ -45,9 +45,9 @@ def budget_counts(rows: DataFrame, base: str, rank: str, other: str, subset: str
 def feasibility_gate(counts: DataFrame, frozen_accessed: bool = False, modified: int = 0, least_rate: float = 0.95, least_gain: int = 30, subset: str = "calibration") -> DataFrame:
     """One row: verdict and failed conditions of budget counts."""
     one = counts.agg(
-        *[F.max(F.when(F.col("subset") == s, F.col(c))).alias(f"_{s[:1]}_{c}") for s in ("all", subset) for c in ("samples", "any", "gain")]
+        *[F.max(F.when(F.col("subset") == s, F.col(c))).alias(f"_{k}_{c}") for k, s in enumerate(("all", subset)) for c in ("samples", "any", "gain")]
     )
-    x = lambda s, c: F.coalesce(F.col(f"_{s[:1]}_{c}"), F.lit(0))
+    x = lambda s, c: F.coalesce(F.col(f"_{int(s != 'all')}_{c}"), F.lit(0))
     conditions = {
         "union_rate": x("all", "any") >= needed(x("all", "samples"), least_rate),
         "net_gain": x("all", "gain") >= least_gain,
@@ -61,10 +61,13 @@ def feasibility_gate(counts: DataFrame, frozen_accessed: bool = False, modified:
 
 
 def terminal_summary(rows: DataFrame, status: str, strict: str, catastrophic: str) -> DataFrame:
-    """One row of counts and rates over terminal states; the fallback counts as automatic, denominators are all rows."""
+    """One row of counts and rates over terminal states; the fallback counts as automatic, denominators are all rows. A state
+    that is none of them raises."""
     auto = F.col(status).isin("automatic", "v7_fallback")
+    known = F.coalesce(auto | F.col(status).isin("manual_review", "cancelled", "error"), F.lit(False))
+    refused = F.raise_error(F.concat(F.lit("not a terminal state: "), F.coalesce(F.col(status).cast("string"), F.lit("null")))).cast("int")
     out = rows.agg(
-        F.count(F.lit(1)).alias("samples"), F.count_if(auto).alias("automatic"), F.count_if(auto & flag(strict)).alias("strict"), F.count_if(auto & flag(catastrophic)).alias("catastrophic"),
+        F.count(F.when(known, F.lit(1)).otherwise(refused)).alias("samples"), F.count_if(auto).alias("automatic"), F.count_if(auto & flag(strict)).alias("strict"), F.count_if(auto & flag(catastrophic)).alias("catastrophic"),
         F.count_if(F.col(status).isin("manual_review", "cancelled", "error")).alias("manual"), F.count_if(F.col(status) == "v7_fallback").alias("fallback"),
     )
     rate = lambda c: F.when(F.col("samples") > 0, F.col(c) / F.col("samples")).otherwise(0.0)
@@ -98,7 +101,8 @@ def work_summary(rows: DataFrame, extra: str, by: list[str] | None = None) -> Da
     every = Window.partitionBy(*(by or []))
     placed = counted.select("*", F.sum("_n").over(upto).alias("_upto"), F.sum("_n").over(every).alias("_all"))
     reached = F.when(F.col("_upto") > F.ceil((F.col("_all") - 1) * F.lit(0.95)), F.col("_v"))
-    return placed.groupBy(*(by or [])).agg(F.sum("_n").alias("samples"), (F.sum(F.when(F.col("_v") > 0, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("active_rate"), F.min(reached).alias("p95"), F.max("_v").alias("most"))
+    mean = (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean")
+    return placed.groupBy(*(by or [])).agg(F.sum("_n").alias("samples"), mean, (F.sum(F.when(F.col("_v") > 0, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("active_rate"), F.min(reached).alias("p95"), F.max("_v").alias("most"))
 
 
 def derive_slices(labels: Column, q: Column, width: Column, height: Column) -> Column:

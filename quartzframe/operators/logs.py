@@ -51,14 +51,17 @@ def dedup_by(log: DataFrame, identity: list[str], order: list[str]) -> DataFrame
 
 
 def append_new(stored: DataFrame, incoming: DataFrame, id_column: str, payload: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows to append and conflicting rows: an id already stored is skipped if its payload is the same, else a conflict."""
-    fresh = incoming.dropDuplicates([id_column, *payload]).join(stored.select(id_column), id_column, "left_anti")
+    """Rows to append and conflicting rows: an id already stored is skipped if its payload is the same, else a conflict; so
+    are rows of one id in the batch whose payloads differ."""
+    once = incoming.dropDuplicates([id_column, *payload])
+    twice = once.groupBy(id_column).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_column)
+    fresh = once.join(stored.select(id_column), id_column, "left_anti").join(twice, id_column, "left_anti")
     same = [F.col(f"i.{c}").eqNullSafe(F.col(f"s.{c}")) for c in payload]
     equal = same[0]
     for s in same[1:]:
         equal = equal & s
-    clash = incoming.alias("i").join(stored.alias("s"), id_column).where(~equal).select("i.*")
-    return fresh, clash
+    clash = once.alias("i").join(stored.alias("s"), id_column).where(~equal).select("i.*")
+    return fresh, clash.unionByName(once.join(twice, id_column, "left_semi")).dropDuplicates([id_column, *payload])
 
 
 def reconcile(current: DataFrame, log: DataFrame, key: str, order: list[str], updates: dict[str, str]) -> DataFrame:

@@ -105,6 +105,16 @@ def idempotent_append(spark: SparkSession, d: str) -> DataFrame:
     return stored.unionByName(fresh)
 
 
+@register("append_conflicts", """WITH i AS (SELECT DISTINCT user_id AS id, event_type AS body FROM events WHERE event_id % 200 < 3), s AS (SELECT user_id AS id, min(event_type) AS body FROM events WHERE event_id % 50 = 7 GROUP BY 1), t AS (SELECT id FROM i GROUP BY 1 HAVING count(*) > 1)
+    SELECT id, body, CASE WHEN id IN (SELECT id FROM t) OR EXISTS (SELECT 1 FROM s WHERE s.id = i.id AND s.body <> i.body) THEN 'conflict' ELSE 'new' END AS kind FROM i WHERE id IN (SELECT id FROM t) OR NOT EXISTS (SELECT 1 FROM s WHERE s.id = i.id AND s.body = i.body)""")
+def append_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """A batch against a log: ids of several payloads in the batch, or stored with another one, are conflicts."""
+    e = table(spark, d, "events")
+    stored = e.where("event_id % 50 = 7").groupBy(F.col("user_id").alias("id")).agg(F.min("event_type").alias("body"))
+    fresh, clash = logs.append_new(stored, e.where("event_id % 200 < 3").select(F.col("user_id").alias("id"), F.col("event_type").alias("body")), "id", ["body"])
+    return fresh.withColumn("kind", F.lit("new")).unionByName(clash.withColumn("kind", F.lit("conflict")))
+
+
 @register("content_dedup", "SELECT 'sha256:' || sha256(text) AS object_id, count(*) AS copies, min(doc_id) AS first_doc, substr(sha256(text), 1, 2) AS prefix FROM documents WHERE text IS NOT NULL GROUP BY text")
 def content_dedup(spark: SparkSession, d: str) -> DataFrame:
     key = F.sha2(F.encode("text", "UTF-8"), 256)
@@ -253,8 +263,8 @@ def end_to_end_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @register(
     "work_summary_p95",
-    """WITH v AS (SELECT event_type, floor(value / 10)::BIGINT AS x FROM events), s AS (SELECT event_type, list_sort(list(x)) AS l, count(*) AS n, count(*) FILTER (x > 0) AS a, max(x) AS m FROM v GROUP BY 1)
-    SELECT event_type, n AS samples, a::DOUBLE / n AS active_rate, l[ceil((n - 1) * 0.95::DOUBLE)::BIGINT + 1] AS p95, m AS most FROM s""",
+    """WITH v AS (SELECT event_type, floor(value / 10)::BIGINT AS x FROM events), s AS (SELECT event_type, list_sort(list(x)) AS l, count(*) AS n, count(*) FILTER (x > 0) AS a, max(x) AS m, sum(x)::DOUBLE / count(*) AS mean FROM v GROUP BY 1)
+    SELECT event_type, n AS samples, mean, a::DOUBLE / n AS active_rate, l[ceil((n - 1) * 0.95::DOUBLE)::BIGINT + 1] AS p95, m AS most FROM s""",
 )
 def work_summary_p95(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_type", F.floor(F.col("value") / 10).cast("long").alias("x"))
@@ -346,12 +356,12 @@ def nearest_pair(spark: SparkSession, d: str) -> DataFrame:
     return ranking.nearest_other(rows, ["label"], "vec_id", "v").withColumn("distance", F.round("distance", 5))
 
 
-@register("structured_min", """WITH o AS (SELECT l_suppkey AS k, (l_linenumber - 1) % 4 AS s, l_orderkey * 10 + l_linenumber AS id, l_tax * 100 + l_discount * 10000 AS r FROM lineitem), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, s ORDER BY r, id) AS n FROM o) WHERE n <= 3),
+@register("structured_min", """WITH o AS (SELECT l_suppkey AS k, (l_linenumber - 1) % 4 AS s, l_orderkey * 10 + l_linenumber AS id, l_tax * 100 + l_discount * 10000 AS r FROM lineitem), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, s ORDER BY r, id) AS n FROM o) WHERE n <= 8),
     c AS (SELECT a.k, greatest(a.r, b.r, c.r, d.r) AS worst, a.r + b.r + c.r + d.r AS sm, a.id AS i, b.id AS j, c.id AS l, d.id AS m FROM b a JOIN b ON b.k = a.k AND b.s = 1 JOIN b c ON c.k = a.k AND c.s = 2 JOIN b d ON d.k = a.k AND d.s = 3 WHERE a.s = 0)
     SELECT k, round(worst, 6) AS worst, round(sm, 6) AS sum FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY worst, sm, i, j, l, m) AS n FROM c) WHERE n = 1""")
 def structured_min(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), ((F.col("l_linenumber") - 1) % 4).alias("s"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_tax") * 100 + F.col("l_discount") * 10000).alias("r"))
-    best = ranking.structured_choice(rows, "k", "s", "id", "r", limit=3)
+    best = ranking.structured_choice(rows, "k", "s", "id", "r")
     return best.where("worst is not null").select("k", F.round("worst", 6).alias("worst"), F.round("sum", 6).alias("sum"))
 
 
@@ -424,13 +434,13 @@ LINE_SQL = "(SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS id, l_linenumbe
 @register(
     "best_lines",
     f"""WITH a AS (SELECT *, CASE WHEN x1 = x2 THEN 90.0::DOUBLE ELSE degrees(atan2(y2 - y1, x2 - x1)) END AS g FROM {LINE_SQL}), k AS (SELECT *, CASE WHEN least(g, abs(g - 180)) < 15 THEN 'horizontal' WHEN abs(g - 90) < 15 THEN 'vertical' ELSE 'unknown' END AS kind FROM a),
-    s AS (SELECT *, CASE WHEN kind = 'horizontal' THEN 0.4::DOUBLE * (1 - least((y1 + y2) / 2, 100.0::DOUBLE - (y1 + y2) / 2) / 100.0::DOUBLE) + 0.4::DOUBLE * (sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) / sqrt(50000.0::DOUBLE)) + 0.2::DOUBLE * (1 - least(g, abs(g - 180)) / 90) END AS score FROM k)
-    SELECT l_suppkey, kind, round(max(score), 6) AS score, count(*) AS lines FROM s WHERE kind = 'horizontal' GROUP BY 1, 2""",
+    s AS (SELECT *, CASE WHEN kind = 'horizontal' THEN 0.4::DOUBLE * (1 - least((y1 + y2) / 2, 100.0::DOUBLE - (y1 + y2) / 2) / 100.0::DOUBLE) + 0.4::DOUBLE * (sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) / sqrt(50000.0::DOUBLE)) + 0.2::DOUBLE * (1 - least(g, abs(g - 180)) / 90) WHEN kind = 'vertical' THEN 0.4::DOUBLE * (1 - least((x1 + x2) / 2, 200.0::DOUBLE - (x1 + x2) / 2) / 200.0::DOUBLE) + 0.4::DOUBLE * (sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) / sqrt(50000.0::DOUBLE)) + 0.2::DOUBLE * (1 - abs(g - 90) / 90) END AS score FROM k)
+    SELECT l_suppkey, kind, round(max(score), 6) AS score, count(*) AS lines FROM s WHERE kind <> 'unknown' GROUP BY 1, 2""",
 )
 def best_lines(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     line = F.struct((c("l_linenumber") * 10.0).alias("x1"), c("l_quantity").alias("y1"), (c("l_linenumber") * 10 + c("l_quantity")).alias("x2"), (c("l_quantity") + c("l_orderkey") % 9).alias("y2"))
-    rows = table(spark, d, "lineitem").select("l_suppkey", ln.classified(line, F.lit(200.0), F.lit(100.0)).alias("m")).where("m.kind = 'horizontal'")
+    rows = table(spark, d, "lineitem").select("l_suppkey", ln.classified(line, F.lit(200.0), F.lit(100.0)).alias("m")).where("m.kind <> 'unknown'")
     return rows.groupBy("l_suppkey", c("m.kind").alias("kind")).agg(F.round(F.max("m.score"), 6).alias("score"), F.count(F.lit(1)).alias("lines"))
 
 

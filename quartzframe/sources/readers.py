@@ -10,13 +10,16 @@ from ..functions.identity import content_id, image_extension
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a JSON lines file with file and place; blank lines are skipped and a line that is no object raises.
+    """Rows of a JSON lines file with file and place; blank lines are skipped, and a line that is no object or has a value of
+    another type raises.
 
-    Lines end at line feeds only, so other separators inside strings survive.
+    Lines end at line feeds only, so other separators inside strings survive. A line's place is the begin of its split in the
+    file and, inside it, its turn: it grows along each file, however files are dealt to tasks.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("position"))
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"))
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("position"))
     lines = lines.where(F.length(F.trim("value")) > 0)
-    parsed = F.when(F.trim("value").startswith("{"), F.from_json("value", schema if isinstance(schema, str) else schema.simpleString(), {"mode": "PERMISSIVE"}))
+    parsed = F.when(F.trim("value").startswith("{"), F.from_json("value", schema if isinstance(schema, str) else schema.simpleString(), {"mode": "FAILFAST"}))
     valid = F.coalesce(F.get_json_object("value", "$").startswith("{"), F.lit(False))
     row = F.when(valid, parsed).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 80))))
     return lines.select("file", "position", row.alias("_row")).select("file", "position", "_row.*")

@@ -19,11 +19,9 @@ def append_events(stored_path: str, incoming: DataFrame, id_column: str, payload
     One writer at a time: files give no lock between check and write. Readers collapse repeated ids.
     """
     spark = incoming.sparkSession
-    try:
-        stored = spark.read.schema(incoming.schema).parquet(stored_path)
-        stored.limit(0).count()
-    except Exception:  # noqa: BLE001  no log yet
-        stored = spark.createDataFrame([], incoming.schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(stored_path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    stored = spark.read.schema(incoming.schema).parquet(stored_path) if there else spark.createDataFrame([], incoming.schema)
     fresh, clash = append_new(stored, incoming, id_column, payload)
     if not clash.isEmpty():
         raise ValueError("an event id is stored with another payload")

@@ -102,3 +102,21 @@ def test_learned_scores(spark):
     df = spark.createDataFrame([([1.0, 2.0],)], "f array<double>")
     score = stats.linear_score(F.col("f"), [0.0, 1.0], [1.0, 2.0], [0.5, 2.0], -1.0)
     assert df.select(stats.logistic(score).alias("p")).first()["p"] == pytest.approx(1 / (1 + np.exp(-0.5)))
+
+
+def test_unknown_states_are_refused_and_any_subset_may_be_named(spark):
+    rows = spark.createDataFrame([("odd", True, False)], "s string, a boolean, b boolean")
+    with pytest.raises(Exception, match="not a terminal state: odd"):
+        evaluation.terminal_summary(rows, "s", "a", "b").collect()
+    counts = spark.createDataFrame([("all", 10, 10, 40), ("audit", 5, 5, 1)], 'subset string, samples long, any long, gain long')
+    assert evaluation.feasibility_gate(counts, subset="audit").first()["passed"]
+
+
+def test_rounds_and_complete_links():
+    from quartzframe.operators import ranking
+
+    every = lambda name, item, accepted: True
+    assert [i for _, i in ranking.round_robin({"a": [1, 2, 3, 4], "b": [5]}, 5, 2, every)] == [1, 5, 2, 3, 4]
+    assert [i for _, i in ranking.round_robin({"a": [1, 2, 3], "b": [5, 6, 7]}, 6, 2, every)] == [1, 5, 2, 6]  # no queue is empty: quotas stay
+    at = lambda x: np.full(8, float(x))
+    assert ranking.complete_link([at(0), at(1), at(2), at(9), at(1.5)], 1.0, 1.6) == [0, 0, 1, 2, 1]

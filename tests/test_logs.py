@@ -90,3 +90,17 @@ def test_canonical_identity(spark):
     assert spark.range(1).select(identity.round_half_even(F.lit(2.675), 2).alias("v")).first()["v"] == 2.67
     times = spark.createDataFrame([("2024-01-01T00:00:00+00:00",), ("2024-01-01T00:00:00",), ("2024-13-01T00:00:00Z",)], "t string")
     assert [r["v"] for r in times.select(identity.is_timestamp_with_offset(F.col("t")).alias("v")).collect()] == [True, False, False]
+
+
+def test_a_batch_is_held_against_itself(spark):
+    stored = spark.createDataFrame([("a", "x")], "id string, body string")
+    batch = spark.createDataFrame([("b", "x"), ("b", "y"), ("c", "z"), ("c", "z"), ("a", "x")], "id string, body string")
+    fresh, clash = logs.append_new(stored, batch, "id", ["body"])
+    assert [tuple(r) for r in fresh.collect()] == [("c", "z")] and sorted(tuple(r) for r in clash.collect()) == [("b", "x"), ("b", "y")]
+
+
+def test_a_value_of_another_type_raises(spark, tmp_path):
+    path = tmp_path / "wrong.jsonl"
+    path.write_text('{"a": 1}\n{"a": "x"}\n')
+    with pytest.raises(Exception, match="(?i)malformed|cannot be parsed|CANNOT_PARSE"):
+        readers.read_jsonl(spark, str(path), "a int").collect()
