@@ -87,3 +87,34 @@ def is_safe_relative_path(value: Column) -> Column:
 def image_extension(content: Column) -> Column:
     """File extension by the first bytes, or null."""
     return F.when(F.hex(F.substring(content, 1, 3)) == "FFD8FF", ".jpg").when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", ".png")
+
+
+def corner_id(corners: Column, *parts: Column, digits: int = 20) -> Column:
+    """The first hex digits of the sha256 of a JSON list of ``parts`` (texts or null) and corners rounded to six places, or of the corners alone.
+
+    Numbers are written and rounded as Python does, which Spark's own functions differ from, so this is an Arrow UDF.
+    """
+    import hashlib
+
+    listed = len(parts) > 0
+
+    @F.pandas_udf("string")
+    def digest(rows: pd.DataFrame) -> pd.Series:
+        def one(row: tuple) -> str:
+            points = [[round(float(p["x"]), 6), round(float(p["y"]), 6)] for p in row[0]]
+            payload = [*row[1:], points] if listed else points
+            return hashlib.sha256(json.dumps(payload, separators=(",", ":")).encode()).hexdigest()[:digits]
+
+        return pd.Series([one(r) for r in rows.itertuples(index=False, name=None)])
+
+    return digest(F.struct(corners.alias("c"), *[p.alias(f"p{i}") for i, p in enumerate(parts)]))
+
+
+def source_key(source: Column, candidate: Column) -> Column:
+    """``source:id``; null without either."""
+    return F.when((F.length(source) > 0) & (F.length(candidate) > 0), F.concat_ws(":", source, candidate))
+
+
+def titled(name: str, version: str, algorithm: Column) -> Column:
+    """A window's title; an algorithm's version that isn't one is called unknown."""
+    return F.concat(F.lit(f"{name} {version} · Algorithm "), F.when(F.coalesce(is_version(algorithm), F.lit(False)), algorithm).otherwise("unknown"))

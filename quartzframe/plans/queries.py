@@ -506,4 +506,4 @@ def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-from . import evidence_queries  # noqa: E402, F401  registers its queries here
+from . import evidence_queries, record_queries  # noqa: E402, F401  these register their queries here
