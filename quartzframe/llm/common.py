@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A key is hot when it holds at least 1/HOT_SHARE of the rows; by pigeonhole at most HOT_SHARE keys are.
 HOT_SHARE = 256
@@ -133,19 +134,31 @@ def within_slots(df: DataFrame, column: Column, wanted: DataFrame, wanted_column
     return df.withColumn("_slot", slot(column, slots)).join(F.broadcast(taken), "_slot", "left_semi" if keep else "left_anti").drop("_slot")
 
 
-def ordered_buckets(df: DataFrame, key: str, per_bucket: int = 2048, most: int = 1 << 16) -> tuple[DataFrame, Column]:
-    """Cuts the order of an integer ``key`` into ranges of about ``per_bucket`` rows, at most ``most`` + 1 of them.
+def ordered_buckets(df: DataFrame, key: str, per_bucket: int = 2048, most: int = 1 << 15) -> Callable[[DataFrame], DataFrame]:
+    """Cuts the order of an integer ``key`` into ranges of about ``per_bucket`` rows, and gives a function that adds a row's
+    range as ``_bucket`` (-1 for a null key) to a frame with that key.
 
-    Returns a one-row frame (_low, _width) and the expression of a row's bucket. As the
-    number of buckets is bounded whatever the input, a row for each may be broadcast or
-    meet in one task.
+    The span of ids is cut evenly first, and each part again between its own least and largest id by the rows that it
+    holds, so that a few ids far from the rest don't leave all others in one range. There are at most ``most`` parts and as many
+    further ranges, whatever the input, so a row for each may be broadcast or meet in one task.
     """
     k = F.col(key).cast("decimal(20,0)")
-    span = F.coalesce(F.max(k) - F.min(k) + 1, F.lit(1)).cast("double")
-    rows = F.greatest(F.count(key), F.lit(1)).cast("double")
-    width = F.greatest(F.lit(1.0), F.ceil(span * F.greatest(F.lit(float(per_bucket)) / rows, F.lit(1.0 / most))))
-    bounds = df.agg(F.coalesce(F.min(k), F.lit(0).cast("decimal(20,0)")).alias("_low"), width.cast("decimal(20,0)").alias("_width"))
-    return bounds, F.floor((k - F.col("_low")) / F.col("_width")).cast("long")
+    zero = F.lit(0).cast("decimal(20,0)")
+    width = F.greatest(F.lit(1.0), F.ceil((F.max(k) - F.min(k) + 1).cast("double") / F.greatest(F.lit(1.0), F.least(F.lit(float(most)), F.count(key) / per_bucket)))).cast("decimal(20,0)")
+    bounds = df.agg(F.coalesce(F.min(k), zero).alias("_low"), F.coalesce(width, F.lit(1).cast("decimal(20,0)")).alias("_width"), F.greatest(F.lit(float(per_bucket)), F.count(key) / most).alias("_per"))
+    first = F.floor((k - F.col("_low")) / F.col("_width")).cast("long")
+    found = df.select(key).join(F.broadcast(bounds)).where(k.isNotNull()).groupBy(first.alias("_part")).agg(F.min(k).alias("_from"), F.max(k).alias("_to"), F.count(F.lit(1)).alias("_n"), F.max("_per").alias("_per"))
+    parts = F.ceil(F.col("_n") / F.col("_per")).cast("long")
+    before = F.coalesce(F.sum(parts).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    step = F.greatest(F.lit(1.0), F.ceil((F.col("_to") - F.col("_from") + 1).cast("double") / parts)).cast("decimal(20,0)")
+    cuts = found.select("_part", "_from", step.alias("_step"), parts.alias("_parts"), before.alias("_before"))
+
+    def place(frame: DataFrame) -> DataFrame:
+        rows = frame.join(F.broadcast(bounds)).withColumn("_part", first).join(F.broadcast(cuts), "_part", "left")
+        inside = F.least(F.col("_parts") - 1, F.floor((k - F.col("_from")) / F.col("_step")).cast("long"))
+        return rows.select(*frame.columns, F.coalesce(F.col("_before") + inside, F.lit(-1)).alias("_bucket"))
+
+    return place
 
 
 def components(links: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:

@@ -14,11 +14,11 @@ are read, so further columns never clash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, keyed_join, ordered_buckets, within_slots
+from .common import HOT_ROWS, HOT_SHARE, documents, keyed_join, materialize, ordered_buckets, within_slots
 
 SEEDS = (0x5EED, 0xC0FFEE)
 
@@ -42,19 +42,25 @@ def name(a: Column, b: Column, ordinal: Column) -> Column:
 
 
 def collided(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, ordinal) of documents whose canonical text differs from that of their bucket's first: almost always none.
+    """Rows (key, _h0, _h1, ordinal) of documents whose canonical text differs from that of their bucket's first: almost always none.
 
-    Only buckets of several rows are compared, and only their texts are shuffled.
+    All texts are digested once into a small table; only those of buckets with several rows are read again and compared.
     """
     canon = canonical(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(F.col(key).alias("_id"), canon.alias("_canon")).select("_id", "_canon", *(h.alias(f"_h{i}") for i, h in enumerate(digest(F.col("_canon")))))
-    buckets = rows.groupBy("_h0", "_h1").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")).where("_n > 1 and _first is not null")
-    members = within_slots(rows, F.col("_h0"), buckets, F.col("_h0"))
-    firsts = members.join(buckets.select("_h0", "_h1", F.col("_first").alias("_id")), ["_h0", "_h1", "_id"]).select("_h0", "_h1", F.col("_canon").alias("_kept"))
-    hot = buckets.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_total"))), F.expr("_n * 256 >= _total")).select("_h0", "_h1")
-    odd = keyed_join(members, firsts.dropDuplicates(["_h0", "_h1"]), ["_h0", "_h1"], hot=hot).where("_canon <> _kept")
+    hashed = lambda rows, *more: rows.select("_id", *more, *(h.alias(f"_h{i}") for i, h in enumerate(digest(F.col("_canon")))))
+    known = materialize(hashed(docs.select(F.col(key).alias("_id"), canon.alias("_canon"))), "digests")
+    seen = Observation()
+    sizes = known.groupBy("_h0", "_h1").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    buckets = materialize(sizes.observe(seen, F.sum("_n").alias("n")).where("_n > 1 and _first is not null"), "buckets")
+    large = max((seen.get["n"] or 0) // HOT_SHARE, HOT_ROWS)
+    hot = [r["h"] for r in buckets.where(F.col("_n") > large).select(F.xxhash64("_h0", "_h1").alias("h")).collect()]  # HOT_SHARE at most
+    ids = keyed_join(known, buckets.select("_h0", "_h1"), ["_h0", "_h1"], hot=hot).select("_id").distinct()
+    again = within_slots(docs.select(F.col(key).alias("_id"), canon.alias("_canon")), F.xxhash64("_id"), ids, F.xxhash64("_id")).join(ids, "_id", "left_semi")
+    members = hashed(again, "_canon")
+    firsts = members.join(buckets.select("_h0", "_h1", F.col("_first").alias("_id")), ["_h0", "_h1", "_id"]).groupBy("_h0", "_h1").agg(F.min("_canon").alias("_kept"))
+    odd = keyed_join(members, firsts, ["_h0", "_h1"], hot=hot).where("_canon <> _kept")
     ranks = odd.select("_h0", "_h1", "_canon").distinct().withColumn("ordinal", F.row_number().over(Window.partitionBy("_h0", "_h1").orderBy("_canon")))
-    return odd.join(ranks, ["_h0", "_h1", "_canon"]).select(F.col("_id").alias(key), "ordinal").distinct()
+    return odd.join(ranks, ["_h0", "_h1", "_canon"]).groupBy(F.col("_id").alias(key), "_h0", "_h1").agg(F.min("ordinal").alias("ordinal"))
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -65,10 +71,9 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     row a range.
     """
     rows = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    bounds, bucket = ordered_buckets(rows, "_id")
-    placed = rows.join(F.broadcast(bounds)).select("_id", "_text", F.coalesce(bucket, F.lit(-1)).alias("_bucket"))
-    ids = docs.select(F.col(key).alias("_id")).join(F.broadcast(bounds)).select("_id", F.coalesce(bucket, F.lit(-1)).alias("_bucket"))
-    firsts = ids.groupBy("_bucket").agg(F.min("_id").alias("_id"))
+    place = ordered_buckets(docs.select(F.col(key).alias("_id")), "_id")
+    placed = place(rows)
+    firsts = place(docs.select(F.col(key).alias("_id"))).groupBy("_bucket").agg(F.min("_id").alias("_id"))
     every = Window.orderBy("_bucket")
     ends = firsts.select("_id", "_bucket", F.lag("_bucket").over(every).alias("_to"), F.last("_bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_end"))
     borders = ends.select("_id", "_bucket", F.coalesce("_to", "_end").alias("_to"))
@@ -86,8 +91,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     canon = canonical(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.col(key), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_chars"), canon.alias("_canon"))
     rows = rows.select(key, "n_chars", *(h.alias(f"_h{i}") for i, h in enumerate(digest(F.col("_canon")))))
-    rows = rows.join(collided(docs, key, text), key, "left")
-    named = rows.select(key, "n_chars", name(F.col("_h0"), F.col("_h1"), F.col("ordinal")).alias("fingerprint"))
+    rows = rows.join(collided(docs, key, text), [key, "_h0", "_h1"], "left")
+    named = materialize(rows.select(key, "n_chars", name(F.col("_h0"), F.col("_h1"), F.col("ordinal")).alias("fingerprint")), "fingerprints")
     return keyed_join(named, named.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("group_size")), ["fingerprint"])
 
 
@@ -103,7 +108,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     rows = rows.select(key, "n_chars", F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"), canonical(F.col(text)).alias("_c"), canonical(F.col("_edited")).alias("_e"), canonical(F.col("next")).alias("_x"))
     (a, b), (c, d) = digest(F.col("_c")), digest(F.col("_e"))
     rows = rows.select(key, "n_chars", "edited_sha256", a.alias("_a"), b.alias("_b"), c.alias("_ea"), d.alias("_eb"), (F.col("_c") == F.col("_e")).cast("double").alias("near_edited"), (F.col("_c") == F.col("_x")).cast("double").alias("near_next"))
-    rows = rows.join(collided(docs, key, text), key, "left")
+    rows = rows.join(collided(docs, key, text).toDF(key, "_a", "_b", "ordinal"), [key, "_a", "_b"], "left")
     same = F.when(F.col("near_edited") == 1, F.col("ordinal"))
     return rows.select(key, "n_chars", "edited_sha256", name(F.col("_a"), F.col("_b"), F.col("ordinal")).alias("fingerprint"), name(F.col("_ea"), F.col("_eb"), same).alias("edited_fingerprint"), "near_edited", "near_next")
 

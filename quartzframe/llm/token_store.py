@@ -153,8 +153,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "do
     once.unionByName(shared).select("hash", size.alias("n"), "ids").write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
     recipes = rows.select("doc_id", "n_tokens", "hashes", "root")
-    bounds, bucket = ordered_buckets(recipes, "doc_id")
-    placed = recipes.join(F.broadcast(bounds)).select("doc_id", "n_tokens", "hashes", "root", F.coalesce(bucket, F.lit(-1)).alias("part"))
+    placed = ordered_buckets(recipes.select("doc_id"), "doc_id")(recipes).withColumnRenamed("_bucket", "part")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root").rowsBetween(Window.unboundedPreceding, -1)
@@ -167,7 +166,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, key: str = "do
 def _manifest(recipes: DataFrame) -> DataFrame:
     """Rows (part, docs, tokens, root) of recipes as they are."""
     roots = F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"])
-    tree = F.udf(lambda hashes: merkle([bytes(h) for h in hashes]), "binary")
+    tree = F.udf(lambda hashes: merkle([bytes(h) for h in hashes]), "binary", useArrow=True)
     return recipes.groupBy("part").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"), roots.alias("_roots")).select("part", "docs", "tokens", tree("_roots").alias("root"))
 
 
