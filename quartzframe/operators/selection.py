@@ -10,11 +10,11 @@ from .ranking import top_k
 
 
 def seeds(rows: DataFrame, by: list[str], candidate: str, position: str, eligible: Column, most: int = 8) -> DataFrame:
-    """The first ``most`` eligible candidates of a group in the order given, each once, with their place."""
+    """The first ``most`` eligible candidates of a group in the order given (ties by id), each once, with their place."""
     fit = rows.where(eligible)
     others = [c for c in fit.columns if c not in (*by, candidate)]
     once = fit.groupBy(*by, candidate).agg(F.min_by(F.struct(*others), position).alias("_row"))
-    return top_k(once.select(*by, candidate, *[F.col(f"_row.{c}").alias(c) for c in others]), by, [F.col(position)], most, "place")
+    return top_k(once.select(*by, candidate, *[F.col(f"_row.{c}").alias(c) for c in others]), by, [F.col(position), F.col(candidate)], most, "place")
 
 
 def ranked_with_supplements(rows: DataFrame, by: list[str], score: Column, rank: Column, candidate: str, supplement: Column, regular: int = 5, extra: int = 3) -> DataFrame:

@@ -134,7 +134,7 @@ def plateau_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("edge_seeds", """WITH x AS (SELECT l_suppkey, l_partkey % 40 AS cand, l_orderkey * 10 + l_linenumber AS pos, l_returnflag = 'R' OR l_linenumber = 1 AS ok FROM lineitem), u AS (SELECT l_suppkey, cand, min(pos) AS pos FROM x WHERE ok GROUP BY 1, 2)
-    SELECT l_suppkey, cand, pos, place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY pos)::INTEGER AS place FROM u) WHERE place <= 8""")
+    SELECT l_suppkey, cand, pos, place FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY pos, cand)::INTEGER AS place FROM u) WHERE place <= 8""")
 def edge_seeds(spark: SparkSession, d: str) -> DataFrame:
     sources = F.array(F.when(C("l_returnflag") == "R", "background:x").otherwise("line"))
     rows = table(spark, d, "lineitem").select("l_suppkey", (C("l_partkey") % 40).alias("cand"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("pos"), sources.alias("sources"), C("l_linenumber").alias("rank"))
