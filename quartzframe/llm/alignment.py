@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens by the bytes that they cover, as joins, windows and aggregations.
 
 Both tokenizers always cut at a space between two visible characters (a vocabulary's pieces and the pre-tokenizer
-are looked at to be sure of it; otherwise a text is one stretch), so a text is a sequence of words with their leading space, and each
+are looked at to be sure of it; otherwise a text is one stretch), so a text is a sequence of words, and each
 different word of the corpus is tokenized and aligned once: tokens are exploded with their place, lengths are summed over
 a window, tokens that end at one byte meet by an equi-join on word and end, a running count of such cuts numbers the groups, and each
 different end stands for the link of the two tokens that cover the byte before it. Documents are kept in a bucketed
@@ -15,7 +15,7 @@ empty string, and it counts for no pair. Repeated rows, and rows of one id or of
 read whole; a stretch without spaces is one word. Ties for the highest count all count. An empty table gives an empty result. Only the
 named columns are read, so further columns never clash.
 
-The result is a written table, as the joins rely on a setting that must hold while they run (see ``together``).
+The result is a written table, as the joins rely on a setting that must hold while they run (see ``settings``).
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ import functools
 import json
 import os
 import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +38,12 @@ from pyspark.sql.window import Window
 from .common import documents, free, keyed_join, materialize, scratch_path, text_batches
 from .token_store import tokenizer_path
 
-#: Characters of text that a bucket holds about, and buckets of a partition.
-BUCKET_CHARS, BUCKETS_A_PARTITION = 8_000_000, 3
+#: Characters of text that a bucket holds about; visible words that are tokenized in one call.
+BUCKET_CHARS, RUN = 16_000_000, 100
 #: A space between two characters that no version of Unicode holds for white space.
-BORDER = r"(?<=[\p{L}\p{N}\p{P}])(?= [\p{L}\p{N}\p{P}])"
+BORDER = r" (?<=[\p{L}\p{N}\p{P}] )(?=[\p{L}\p{N}\p{P}])"
+#: Rows of pairs' counts that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -79,78 +83,121 @@ def cut_at_spaces(first: str, second: str) -> bool:
     return bool(whole) and not any(re.search("[^▁]▁", b.id_to_piece(i)) for i in range(b.get_piece_size()))
 
 
+def visible(word: str) -> bool:
+    """Whether a word begins and ends as the words between two borders do."""
+    return bool(word) and all(unicodedata.category(c)[0] in "LNP" for c in (word[0], word[-1]))
+
+
 def tokens(words: DataFrame, first: str, second: str) -> DataFrame:
-    """Rows (word, same, a, b): tokens of both kinds as structs (id, n) of id and bytes; same: whether both give the word's bytes."""
+    """Rows (word, same, a, a_n, b, b_n): ids of both kinds and their bytes; same: whether both give a space and the word."""
+    cuttable = cut_at_spaces(first, second)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, a_bytes, b_bytes = tokenizers_of(first, second)
-        kind = pa.list_(pa.struct([("id", pa.int32()), ("n", pa.int32())]))
+        sides = [(lambda t: a.encode(" " + t, add_special_tokens=False).ids, a_bytes), (b.encode, b_bytes)]  # the second puts a space before
+        lengths = [np.array([len(by[i]) for i in range(max(by) + 1)] if isinstance(by, dict) else [len(x) for x in by], np.int32) for by in (a_bytes, b_bytes)]
+
+        def tokenized(part: list[str]) -> list[tuple[bool, list]]:
+            """(same, [(ids, tokens of each word)] of both kinds) of words, as one text if that gives its bytes, else one by one."""
+            text = " ".join(part)
+            ids = [np.array(encode(text), np.int32) for encode, _ in sides]
+            raw = (" " + text).encode()
+            if all(b"".join([by[i] for i in x.tolist()]) == raw for x, (_, by) in zip(ids, sides)):
+                stops = np.cumsum([1 + len(w.encode()) for w in part])
+                return [(True, [(x, np.diff(np.searchsorted(np.cumsum(n[x]), stops, side="left") + 1, prepend=0)) for x, n in zip(ids, lengths)])]
+            if len(part) == 1:
+                return [(False, [(x, np.array([len(x)])) for x in ids])]
+            return [found for w in part for found in tokenized([w])]
+
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            of_a = [e.ids for e in a.encode_batch(texts, add_special_tokens=False)]
-            of_b = b.encode([t[1:] for t in texts], num_threads=1) if texts else []  # it puts a space before
-            same = [b"".join([a_bytes[i] for i in x]) == t.encode() == b"".join([b_bytes[i] for i in y]) for t, x, y in zip(texts, of_a, of_b)]
-            pairs = lambda ids, by: [{"id": i, "n": len(by[i])} for i in ids]
-            columns = [batch.column(0), pa.array(same, pa.bool_()), pa.array([pairs(x, a_bytes) for x in of_a], kind), pa.array([pairs(y, b_bytes) for y in of_b], kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "same", "a", "b"])
+            all_words = batch.column(0).to_pylist()
+            runs = [w for w in all_words if cuttable and visible(w)]
+            alone = [w for w in all_words if not (cuttable and visible(w))]
+            found = [f for k in range(0, len(runs), RUN) for f in tokenized(runs[k : k + RUN])] + [f for w in alone for f in tokenized([w])]
+            columns = [pa.array(runs + alone, pa.string()), pa.array([same for same, both in found for _ in both[0][1]], pa.bool_())]
+            for k, n in enumerate(lengths):
+                ids = np.concatenate([both[k][0] for _, both in found] or [np.zeros(0, np.int32)])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([both[k][1] for _, both in found] or [np.zeros(0, np.int64)]))]), pa.int32())
+                columns += [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (ids, n[ids])]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "same", "a", "a_n", "b", "b_n"])
 
-    return words.mapInArrow(run, "word string, same boolean, a array<struct<id:int,n:int>>, b array<struct<id:int,n:int>>")
+    return words.mapInArrow(run, "word string, same boolean, a array<int>, a_n array<int>, b array<int>, b_n array<int>")
 
 
 def ends(tokenized: DataFrame, side: str) -> DataFrame:
-    """Rows (word, end, id): where each token of a word ends."""
-    rows = tokenized.select("word", F.posexplode(side).alias("_pos", "_token"))
-    so_far = Window.partitionBy("word").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("word", F.sum("_token.n").over(so_far).alias("end"), F.col("_token.id").alias(f"{side}_id"))
+    """Rows (word_id, end, id): where each token of a word ends."""
+    rows = tokenized.select("word_id", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_n").alias("n"))).alias("_pos", "_token"))
+    so_far = Window.partitionBy("word_id").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select("word_id", F.sum("_token.n").over(so_far).cast("int").alias("end"), F.col("_token.id").alias(f"{side}_id"))
 
 
 def aligned(tokenized: DataFrame) -> DataFrame:
-    """Rows (word, end, a_id, b_id, a, b, group): a row for each different end; a_id and b_id are the tokens that end there, if any,
-    a and b those that cover the byte before it. Groups are numbered from a word's last."""
-    both = ends(tokenized, "a").join(ends(tokenized, "b"), ["word", "end"], "full")
-    back = Window.partitionBy("word").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Rows (word_id, end, a_id, b_id, link, group): a row for each different end; a_id and b_id are the tokens that end there, if any,
+    link those that cover the byte before it, as one number. Groups are numbered from a word's last."""
+    dealt = tokenized.repartition("word_id")
+    both = ends(dealt, "a").join(ends(dealt, "b"), ["word_id", "end"], "full")
+    back = Window.partitionBy("word_id").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.col("a_id").isNotNull() & F.col("b_id").isNotNull()
-    cover = {s: F.last(f"{s}_id", ignorenulls=True).over(back).alias(s) for s in ("a", "b")}
-    return both.select("word", "end", "a_id", "b_id", *cover.values(), F.sum(cut.cast("long")).over(back).alias("group"))
+    cover = {s: F.last(f"{s}_id", ignorenulls=True).over(back).cast("long") for s in ("a", "b")}
+    link = F.shiftleft(cover["a"], 32).bitwiseOR(cover["b"])
+    return both.select("word_id", "end", "a_id", "b_id", link.alias("link"), F.sum(cut.cast("int")).over(back).alias("group"))
+
 
+#: The groups of a word as text, folded over its ends in order: a cut closes a group.
+GROUPS = """aggregate(_ends, struct('' AS done, '' AS a, '' AS b),
+    (s, x) -> CASE WHEN x.a_id IS NOT NULL AND x.b_id IS NOT NULL
+        THEN struct(concat(s.done, if(s.done = '', '', ';'), s.a, if(s.a = '', '', ','), x.a_id, '|', s.b, if(s.b = '', '', ','), x.b_id) AS done, '' AS a, '' AS b)
+        WHEN x.a_id IS NOT NULL THEN struct(s.done AS done, concat(s.a, if(s.a = '', '', ','), x.a_id) AS a, s.b AS b)
+        ELSE struct(s.done AS done, s.a AS a, concat(s.b, if(s.b = '', '', ','), x.b_id) AS b) END,
+    s -> s.done)"""
 
-def group_texts(rows: DataFrame) -> DataFrame:
-    """Rows (word, n_a, n_b, n_groups, n_links, groups): figures of each word, and its groups as text."""
-    in_order = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", F.col(c).alias("id"))))), lambda x: x["id"].cast("string")), ",")
-    each = rows.groupBy("word", "group").agg(F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"), F.count(F.lit(1)).alias("n_links"), F.concat(in_order("a_id"), F.lit("|"), in_order("b_id")).alias("_text"))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("group", "_text")), asc=False), lambda x: x["_text"])
-    return each.groupBy("word").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count(F.lit(1)).alias("n_groups"), F.sum("n_links").alias("n_links"), F.array_join(listed, ";").alias("groups"))
 
+def figures_of(rows: DataFrame) -> DataFrame:
+    """Rows (word_id, n_a, n_b, n_groups, n_links, links, groups): figures of each word, its links, and its groups as text."""
+    listed = F.sort_array(F.collect_list(F.struct("end", "a_id", "b_id", "link"))).alias("_ends")
+    each = rows.groupBy("word_id").agg(F.count("a_id").alias("n_a"), F.count("b_id").alias("n_b"), F.max("group").alias("n_groups"), listed)
+    return each.select("word_id", "n_a", "n_b", "n_groups", F.size("_ends").alias("n_links"), F.col("_ends.link").alias("links"), F.expr(GROUPS).alias("groups"))
 
-def pair_counts(linked: DataFrame) -> DataFrame:
-    """Rows (a, b, count, best) of distinct rows (document columns, a, b): documents that hold a pair, and whether no pair of ``a`` has more."""
-    counts = materialize(linked.groupBy("a", "b").agg(F.count(F.lit(1)).alias("count")), "alignment-counts")
-    most = counts.groupBy("a").agg(F.max("count").alias("_most"))
-    return counts.join(most, "a").select("a", "b", "count", (F.col("count") == F.col("_most")).alias("best"))
+
+def link_counts(linked: DataFrame) -> DataFrame:
+    """Rows (link, count, best) of distinct rows (document columns, link): documents that hold a pair, and whether no pair of its first id has more."""
+    counts = linked.groupBy("link").agg(F.count(F.lit(1)).alias("count"))
+    own = Window.partitionBy(F.shiftright("link", 32))  # as many rows as there are second ids at most
+    return counts.select("link", "count", (F.col("count") == F.max("count").over(own)).alias("best"))
+
+
+#: Settings that hold while the operator runs: a table bucketed by one of a join's keys isn't shuffled again for the others, and
+#: shuffle files go when the table that they were for is written.
+SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 @contextlib.contextmanager
-def together(spark: SparkSession) -> Iterator[None]:
-    """While it holds, a table bucketed by one of a join's keys isn't shuffled again for the others."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "false")
+def settings(spark: SparkSession) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 @contextlib.contextmanager
 def bucketed(docs: DataFrame, words: str, key: str, text: str) -> Iterator[DataFrame]:
-    """Rows (bucket, row, doc_id, words) of a table bucketed by the bucket, in the shared folder; ``words`` is the SQL of a text's words."""
+    """Rows (bucket, row, doc_id, words) of a table bucketed by the bucket, in the shared folder; ``words`` is the SQL of a text's words.
+
+    Buckets are the least numbers that hash to each of the partitions, so each partition holds one bucket.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     total = docs.agg(F.sum(F.length(F.col(text).cast("string")))).first()[0] or 0
-    partitions = 1 + total // (BUCKET_CHARS * BUCKETS_A_PARTITION)
+    n = 1 + total // BUCKET_CHARS
+    numbers = spark.range(40 * n + 200).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("_place"), F.col("id").cast("int").alias("bucket")).groupBy("_place").agg(F.min("bucket").alias("bucket"))
+    placed = rows.withColumn("_place", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).join(F.broadcast(numbers), "_place", "left").withColumn("bucket", F.coalesce("bucket", "_place"))
     name, path = f"alignment_{uuid.uuid4().hex}", scratch_path(spark, "alignment-documents")
-    full = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(partitions * BUCKETS_A_PARTITION)).cast("int")).repartition(partitions, "bucket")
-    full.selectExpr("bucket", "row", "doc_id", f"{words} AS words").write.option("compression", "zstd").option("path", path).bucketBy(partitions, "bucket").saveAsTable(name)
+    full = placed.repartition(n, "bucket").selectExpr("bucket", "row", "doc_id", f"{words} AS words")
+    full.write.option("compression", "zstd").option("path", path).bucketBy(n, "bucket").saveAsTable(name)
     out = spark.table(name)
     out.scratch_path = path
     try:
@@ -164,37 +211,42 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
     """Rows (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one for every row of ``docs``."""
     spark = docs.sparkSession
     text_batches(spark)
-    spaced = "concat(' ', text)"
-    words = f"split({spaced}, '{BORDER.replace(chr(92), chr(92) * 2)}')" if cut_at_spaces(first, second) else f"array({spaced})"
-    with bucketed(docs, f"CASE WHEN length(text) > 0 THEN {words} END", key, text) as rows, together(spark):
+    words = "split(text, '" + BORDER.replace("\\", "\\\\") + "')" if cut_at_spaces(first, second) else "array(text)"
+    with settings(spark), bucketed(docs, f"CASE WHEN length(text) > 0 THEN {words} END", key, text) as rows:
         local = materialize(rows.select("bucket", F.explode("words").alias("word")).distinct(), "alignment-words")
-        tokenized = materialize(tokens(local.select("word").distinct(), first, second), "alignment-tokens")
-        at_ends = materialize(aligned(tokenized.where("same")), "alignment-ends")
-        links = materialize(at_ends.groupBy("word", "a", "b").agg(F.count(F.lit(1)).alias("times")), "alignment-links")
+        tokenized = materialize(tokens(local.select("word").distinct(), first, second).withColumn("word_id", F.monotonically_increasing_id()), "alignment-tokens")
+        of_words = figures_of(aligned(tokenized.where("same").select("word_id", "a", "a_n", "b", "b_n")))
+        figures = materialize(tokenized.select("word_id", "word", "same").join(of_words, "word_id", "left"), "alignment-figures")
+        free(tokenized)
 
         # documents that hold a pair
-        pairs = tokenized.select("word", "same").join(links.groupBy("word").agg(F.collect_list(F.struct("a", "b")).alias("pairs")), "word", "left")
-        near = local.join(pairs, "word")
-        own = rows.select("bucket", "row", F.explode("words").alias("word")).distinct()
-        odd = near.where("not same")
+        own = rows.select("bucket", "row", F.explode(F.array_distinct("words")).alias("word"))
+        odd = figures.where("not same")
         if not odd.isEmpty():
-            bad = materialize(own.join(odd.select("bucket", "word").hint("shuffle_hash"), ["bucket", "word"]).select("bucket", "row").distinct(), "alignment-odd")
+            bad = local.join(odd.select("word"), "word", "left_semi")
+            bad = materialize(own.join(bad.hint("shuffle_hash"), ["bucket", "word"]).select("bucket", "row").distinct(), "alignment-odd")
             own = own.join(bad.hint("shuffle_hash"), ["bucket", "row"], "left_anti")
-        met = own.join(near.select("bucket", "word", "pairs").hint("shuffle_hash"), ["bucket", "word"])
-        linked = met.select("bucket", "row", F.explode("pairs").alias("p")).select("bucket", "row", "p.a", "p.b").distinct()
-        counts = pair_counts(linked)
+        near = materialize(local.join(figures.select("word", F.array_distinct("links").alias("links")), "word"), "alignment-near")
+        met = own.join(near.hint("shuffle_hash"), ["bucket", "word"])
+        counts = materialize(link_counts(met.select("bucket", "row", F.explode("links").alias("link")).distinct()), "alignment-best")
+        free(near)
 
         # figures of a word, then of a document
-        scored = keyed_join(links, counts, ["a", "b"]).groupBy("word").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("count") * F.col("times")).alias("count_sum"))
-        figures = tokenized.select("word", "same").join(group_texts(at_ends), "word", "left").join(scored, "word", "left")
-        here = local.join(figures, "word").select("bucket", "word", "same", "groups", *COUNTS)
+        each = figures.select("word_id", F.explode("links").alias("link"))
+        few = counts.count() <= MOST_BROADCAST
+        each = each.join(F.broadcast(counts), "link") if few else keyed_join(each, counts, ["link"])
+        scored = each.groupBy("word_id").agg(F.sum(F.col("best").cast("int")).alias("n_best"), F.sum("count").alias("count_sum"))
+        full = materialize(figures.drop("links").join(scored, "word_id", "left").select("word", "same", "groups", *COUNTS), "alignment-words")
+        free(figures, counts)
+        here = materialize(local.join(full, "word").select("bucket", *full.columns), "alignment-here")
+        free(local, full)
         placed = rows.select("bucket", "row", "doc_id", F.posexplode("words").alias("pos", "word")).join(here.hint("shuffle_hash"), ["bucket", "word"])
         joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"]), ";")
         sums = placed.groupBy("bucket", "row").agg(F.first("doc_id").alias("doc_id"), F.bool_and("same").alias("_same"), joined.alias("_groups"), *(F.sum(c).alias(c) for c in COUNTS))
-        full = sums.select("doc_id", *(F.when(F.col("_same"), F.col(c)).otherwise(0).cast("long").alias(c) for c in COUNTS), F.when(F.col("_same"), F.sha2("_groups", 256)).otherwise("").alias("groups_sha256"))
+        given = sums.select("doc_id", *(F.when(F.col("_same"), F.col(c)).otherwise(0).cast("long").alias(c) for c in COUNTS), F.when(F.col("_same"), F.sha2("_groups", 256)).otherwise("").alias("groups_sha256"))
         none = rows.where("words IS NULL").select("doc_id", *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit("").alias("groups_sha256"))
-        out = materialize(full.unionByName(none), "alignment")
-        free(local, tokenized, at_ends, links)
+        out = materialize(given.unionByName(none), "alignment")
+        free(here)
     return out
 
 

@@ -68,7 +68,8 @@ def test_texts_against_every_pair_of_tokens(spark, table):
 
 
 def test_small_buckets_give_the_same(spark, table, monkeypatch):
-    monkeypatch.setattr(al, "BUCKET_CHARS", 40)
+    monkeypatch.setattr(al, "BUCKET_CHARS", 200)
+    monkeypatch.setattr(al, "MOST_BROADCAST", 0)
     held(spark, table, TEXTS * 3)
 
 
@@ -79,9 +80,9 @@ def test_words_are_tokenized_as_in_their_text(text):
     import regex
 
     a, b, _, _ = al.tokenizers_of(A, B)
-    words = regex.split(al.BORDER, " " + text, flags=regex.V1) if text else []
-    assert [i for w in words for i in a.encode(w, add_special_tokens=False).ids] == (a.encode(" " + text, add_special_tokens=False).ids if text else [])
-    assert [i for w in words for i in b.encode(w[1:])] == (b.encode(text) if text else [])
+    words = regex.split(al.BORDER, text) if text else []
+    assert [i for w in words for i in a.encode(" " + w, add_special_tokens=False).ids] == (a.encode(" " + text, add_special_tokens=False).ids if text else [])
+    assert [i for w in words for i in b.encode(w)] == (b.encode(text) if text else [])
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark, table):
