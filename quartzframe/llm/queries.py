@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, fingerprint, language_id, line_dedup, near_dedup, neighbours, packing, pii, sp_dropout, token_store, url_filter, weak_rules
+from . import alignment, conversation_repair, fingerprint, language_id, line_dedup, near_dedup, neighbours, packing, pii, sp_dropout, token_store, url_filter, weak_rules
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": weak_rules.op8_quality_rules,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_alignment": alignment.op12_alignment,
     "op13_language_id": language_id.op13_language_id,
 }
