@@ -5,7 +5,7 @@ are looked at to be sure of it; otherwise a text is one stretch), so a text is a
 different word of the corpus is tokenized and aligned once: tokens are exploded with their place, lengths are summed over
 a window, tokens that end at one byte meet by an equi-join on word and end, a running count of such cuts numbers the groups, and each
 different end stands for the link of the two tokens that cover the byte before it. Documents are kept in a bucketed
-table; their exploded words meet the aligned ones inside a bucket, without a further shuffle.
+table; their exploded words meet the aligned ones inside a bucket, without a further shuffle, and are summed up as a stream in order.
 
 Rows of the result for every row of the table: n_a, n_b (tokens), n_groups, n_links, n_best (links whose count is the highest of
 their first id), count_sum (counts added over links) and groups_sha256. A pair's count is the number of rows whose text links it.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import hashlib
 import json
 import os
 import re
@@ -166,6 +167,8 @@ def link_counts(linked: DataFrame) -> DataFrame:
     return counts.select("link", "count", (F.col("count") == F.max("count").over(own)).alias("best"))
 
 
+#: Words' figures that a Python worker gets at once, at most.
+WORD_ROWS = 30_000
 #: Settings that hold while the operator runs: a table bucketed by one of a join's keys isn't shuffled again for the others, and
 #: shuffle files go when the table that they were for is written.
 SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
@@ -173,7 +176,7 @@ SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql
 
 @contextlib.contextmanager
 def settings(spark: SparkSession) -> Iterator[None]:
-    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    before = {name: spark.conf.get(name, None) for name in [*SETTINGS, "spark.sql.execution.arrow.maxRecordsPerBatch"]}
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
     try:
@@ -207,6 +210,40 @@ def bucketed(docs: DataFrame, words: str, key: str, text: str) -> Iterator[DataF
         free(out)
 
 
+def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of a stream of its words' figures, which come in order as the exploded words are the join's streamed side.
+
+    A stream holds one document's sums at a time, where an aggregation would hold all texts of a bucket. A word out of its place raises.
+    """
+    names = ["doc_id", *COUNTS, "groups_sha256"]
+    row, doc, at, same, sums, digest = None, None, 0, True, np.zeros(len(COUNTS), np.int64), None
+
+    def done() -> tuple:
+        return (doc, *(sums.tolist() if same else [0] * len(COUNTS)), digest.hexdigest() if same else "")
+
+    for batch in batches:
+        out: list[tuple] = []
+        if batch.num_rows:
+            rows, places = batch.column("row").to_numpy(), batch.column("pos").to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            counts = np.stack([np.add.reduceat(np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False)).astype(np.int64), begins) for c in COUNTS], axis=1)
+            alike = np.logical_and.reduceat(batch.column("same").to_numpy(zero_copy_only=False).astype(bool), begins)
+            texts, docs = batch.column("groups").to_pylist(), batch.column("doc_id").to_pylist()
+            for k, (a, b) in enumerate(zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows])):
+                if rows[a] != row:
+                    if row is not None:
+                        out.append(done())
+                    row, doc, at, same, sums, digest = rows[a], docs[a], 0, True, np.zeros(len(COUNTS), np.int64), hashlib.sha256()
+                if places[a] != at or (np.diff(places[a:b]) != 1).any():
+                    raise ValueError("words of a document aren't in order")
+                same, sums = same and bool(alike[k]), sums + counts[k]
+                digest.update((";" * (at > 0) + ";".join([t or "" for t in texts[a:b]])).encode())
+                at += b - a
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names) - 1)] + [pa.array([r[-1] for r in out], pa.string())], names=names)
+    if row is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in done()[:-1]] + [pa.array([done()[-1]], pa.string())], names=names)
+
+
 def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one for every row of ``docs``."""
     spark = docs.sparkSession
@@ -241,11 +278,12 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
         here = materialize(local.join(full, "word").select("bucket", *full.columns), "alignment-here")
         free(local, full)
         placed = rows.select("bucket", "row", "doc_id", F.posexplode("words").alias("pos", "word")).join(here.hint("shuffle_hash"), ["bucket", "word"])
-        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "groups"))), lambda x: x["groups"]), ";")
-        sums = placed.groupBy("bucket", "row").agg(F.first("doc_id").alias("doc_id"), F.bool_and("same").alias("_same"), joined.alias("_groups"), *(F.sum(c).alias(c) for c in COUNTS))
-        given = sums.select("doc_id", *(F.when(F.col("_same"), F.col(c)).otherwise(0).cast("long").alias(c) for c in COUNTS), F.when(F.col("_same"), F.sha2("_groups", 256)).otherwise("").alias("groups_sha256"))
+        given = placed.select("row", "doc_id", "pos", "same", "groups", *COUNTS).mapInArrow(totals, ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "groups_sha256 string"]))
         none = rows.where("words IS NULL").select("doc_id", *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit("").alias("groups_sha256"))
-        out = materialize(given.unionByName(none), "alignment")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))  # rows are words here
+        path = scratch_path(spark, "alignment")
+        given.unionByName(none).write.parquet(path)
+        out = spark.read.schema(given.schema).parquet(path)
         free(here)
     return out
 
