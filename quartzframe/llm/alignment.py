@@ -135,8 +135,7 @@ def ends(tokenized: DataFrame, side: str) -> DataFrame:
 def aligned(tokenized: DataFrame) -> DataFrame:
     """Rows (word_id, end, a_id, b_id, link, group): a row for each different end; a_id and b_id are the tokens that end there, if any,
     link those that cover the byte before it, as one number. Groups are numbered from a word's last."""
-    dealt = tokenized.repartition("word_id")
-    both = ends(dealt, "a").join(ends(dealt, "b"), ["word_id", "end"], "full")
+    both = ends(tokenized, "a").join(ends(tokenized, "b"), ["word_id", "end"], "full")
     back = Window.partitionBy("word_id").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = F.col("a_id").isNotNull() & F.col("b_id").isNotNull()
     cover = {s: F.last(f"{s}_id", ignorenulls=True).over(back).cast("long") for s in ("a", "b")}
@@ -187,8 +186,9 @@ def settings(spark: SparkSession) -> Iterator[None]:
 
 
 @contextlib.contextmanager
-def bucketed(docs: DataFrame, words: str, key: str, text: str) -> Iterator[DataFrame]:
-    """Rows (bucket, row, doc_id, words) of a table bucketed by the bucket, in the shared folder; ``words`` is the SQL of a text's words.
+def bucketed(docs: DataFrame, words: str, key: str, text: str) -> Iterator[tuple[DataFrame, int]]:
+    """Rows (bucket, row, doc_id, words) of a table bucketed by the bucket, in the shared folder; ``words`` is the SQL of a text's words;
+    and how many buckets there are.
 
     Buckets are the least numbers that hash to each of the partitions, so each partition holds one bucket.
     """
@@ -198,9 +198,17 @@ def bucketed(docs: DataFrame, words: str, key: str, text: str) -> Iterator[DataF
     n = 1 + total // BUCKET_CHARS
     numbers = spark.range(40 * n + 200).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("_place"), F.col("id").cast("int").alias("bucket")).groupBy("_place").agg(F.min("bucket").alias("bucket"))
     placed = rows.withColumn("_place", F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")).join(F.broadcast(numbers), "_place", "left").withColumn("bucket", F.coalesce("bucket", "_place"))
-    name, path = f"alignment_{uuid.uuid4().hex}", scratch_path(spark, "alignment-documents")
     full = placed.repartition(n, "bucket").selectExpr("bucket", "row", "doc_id", f"{words} AS words")
-    full.write.option("compression", "zstd").option("path", path).bucketBy(n, "bucket").saveAsTable(name)
+    with kept(full, "bucket", n) as out:
+        yield out, n
+
+
+@contextlib.contextmanager
+def kept(rows: DataFrame, by: str, n: int) -> Iterator[DataFrame]:
+    """A written table of ``rows``, which are dealt by ``by`` to ``n`` tasks, bucketed by that column; it goes at the end."""
+    spark = rows.sparkSession
+    name, path = f"alignment_{uuid.uuid4().hex}", scratch_path(spark, "alignment")
+    rows.write.option("compression", "zstd").option("path", path).bucketBy(n, by).saveAsTable(name)
     out = spark.table(name)
     out.scratch_path = path
     try:
@@ -249,12 +257,12 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
     spark = docs.sparkSession
     text_batches(spark)
     words = "split(text, '" + BORDER.replace("\\", "\\\\") + "')" if cut_at_spaces(first, second) else "array(text)"
-    with settings(spark), bucketed(docs, f"CASE WHEN length(text) > 0 THEN {words} END", key, text) as rows:
+    with settings(spark), bucketed(docs, f"CASE WHEN length(text) > 0 THEN {words} END", key, text) as (rows, n):
         local = materialize(rows.select("bucket", F.explode("words").alias("word")).distinct(), "alignment-words")
-        tokenized = materialize(tokens(local.select("word").distinct(), first, second).withColumn("word_id", F.monotonically_increasing_id()), "alignment-tokens")
-        of_words = figures_of(aligned(tokenized.where("same").select("word_id", "a", "a_n", "b", "b_n")))
-        figures = materialize(tokenized.select("word_id", "word", "same").join(of_words, "word_id", "left"), "alignment-figures")
-        free(tokenized)
+        numbered = tokens(local.select("word").distinct(), first, second).withColumn("word_id", F.monotonically_increasing_id())
+        with kept(numbered.repartition(n, "word_id"), "word_id", n) as tokenized:
+            of_words = figures_of(aligned(tokenized.where("same").select("word_id", "a", "a_n", "b", "b_n")))
+            figures = materialize(tokenized.select("word_id", "word", "same").join(of_words, "word_id", "left"), "alignment-figures")
 
         # documents that hold a pair
         own = rows.select("bucket", "row", F.explode(F.array_distinct("words")).alias("word"))
