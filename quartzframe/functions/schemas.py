@@ -29,8 +29,8 @@ MODES = ("safe", "aggressive")
 
 
 def filled(value: Column) -> Column:
-    """Whether a text has more than blanks."""
-    return F.coalesce(F.length(F.trim(value)) > 0, F.lit(False))
+    """Whether a text has more than white space of any kind."""
+    return F.coalesce(value.rlike(r"(?U)\S"), F.lit(False))
 
 
 def share(values: Column) -> Column:

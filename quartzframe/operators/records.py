@@ -75,10 +75,10 @@ def chosen(rows: DataFrame, candidate: str, score: str, rank: str, corners: Colu
 
 
 def ambiguous_primary(rows: DataFrame, by: list[str], candidate: str, score: str, corners: str, framed: str, gap: float = 0.08, apart: float = 0.18, least: float = 0.62) -> DataFrame:
-    """Rows (by, ambiguous): whether the two best candidates of an image are about equally good, lie apart and neither is a frame."""
+    """Rows (by, ambiguous): whether the two best candidates of an image are about equally good, lie apart and neither is a frame (a missing flag is none)."""
     best = top_k(rows, by, [F.col(score).desc(), F.col(candidate)], 2, "_r")
     middle = lambda a: F.aggregate(F.col(corners), F.lit(0.0), lambda s, p: s + p[a]) / 4
-    parts = best.select(*by, "_r", F.col(score).alias("_s"), F.col(framed).alias("_f"), middle("x").alias("_x"), middle("y").alias("_y"), (F.array_max(F.transform(corners, lambda p: F.abs(p["x"]))) + 1).alias("_w"))
+    parts = best.select(*by, "_r", F.col(score).alias("_s"), F.coalesce(F.col(framed), F.lit(False)).alias("_f"), middle("x").alias("_x"), middle("y").alias("_y"), (F.array_max(F.transform(corners, lambda p: F.abs(p["x"]))) + 1).alias("_w"))
     at = lambda c, r: F.max(F.when(F.col("_r") == r, F.col(c))).alias(f"{c}{r}")
     pair = parts.groupBy(*by).agg(*[at(c, r) for c in ("_s", "_f", "_x", "_y", "_w") for r in (1, 2)])
     far = F.hypot(F.col("_x1") - F.col("_x2"), F.col("_y1") - F.col("_y2")) / F.greatest("_w1", "_w2")
