@@ -213,9 +213,9 @@ def clamped(p: Column, width: Column, height: Column, margin: float = 0.0) -> Co
 
 
 def overshoot(p: Column, width: Column, height: Column, margin: float = 0.0) -> Column:
-    """How far a point lies outside, as a share of the diagonal."""
+    """How far a point lies outside: the shares of the width and of the height, added."""
     over = lambda v, n: F.greatest(F.lit(0.0), F.lit(margin) - v, v - (n - 1 - margin))
-    return F.hypot(over(p["x"], width), over(p["y"], height)) / diagonal(width, height)
+    return over(p["x"], width) / width + over(p["y"], height) / height
 
 
 def missing_corner(q: Column, index: int) -> Column:

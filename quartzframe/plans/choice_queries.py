@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import corners
+from ..functions import geometry as g
 from ..operators import rescues
 from .queries import register, table
 
@@ -95,3 +97,45 @@ def rescued_choice(spark: SparkSession, d: str) -> DataFrame:
     outside = proposal("v7", "p", one, one["corners"], 0.1, one["h"] % 5 > 0).unionByName(proposal("mask", "m", two, F.when(two["h"] % 2 == 0, moved).otherwise(two["corners"]), 0.0, two.isNotNull()))
     found = rescues.rescued_choice(edges.drop("k", "h"), outside, "image", "candidate", SCALE)
     return found.select("image", "candidate", "score", "reason", "base", "rival", F.round("rival_distance", 9).alias("rival_distance"), F.round("margin", 9).alias("margin"), "size", "seeds", "groups")
+
+
+WIDTH, HEIGHT = 640, 480
+
+
+def corners_sql() -> str:
+    far = f"greatest(0, -x, x - {WIDTH - 1}) / {WIDTH}.0::DOUBLE + greatest(0, -y, y - {HEIGHT - 1}) / {HEIGHT}.0::DOUBLE"
+    clamp = lambda v, n: f"trunc(greatest(0, least({n - 1}, {v})))"
+
+    def inferred(source: str, share: float, condition: str, cut: str) -> str:
+        return f"""(SELECT k, first({{'t': t, 'x': {clamp('x', WIDTH)}, 'y': {clamp('y', HEIGHT)}, 'c': s / 3 * {share}::DOUBLE * CASE WHEN v > 0 THEN 1 - least(2 * v, 0.3::DOUBLE) ELSE 1 END}} ORDER BY pos) AS o FROM (SELECT *, {far} AS v FROM
+            (SELECT k, t, pos, {cut}(xs[(t + 1) % 4 + 1] + xs[(t + 3) % 4 + 1] - xs[(t + 2) % 4 + 1]) AS x, {cut}(ys[(t + 1) % 4 + 1] + ys[(t + 3) % 4 + 1] - ys[(t + 2) % 4 + 1]) AS y, cs[(t + 1) % 4 + 1] + cs[(t + 2) % 4 + 1] + cs[(t + 3) % 4 + 1] AS s
+            FROM {source}, (VALUES (3, 0), (2, 1), (0, 2), (1, 3)) AS p(t, pos) WHERE cs[(t + 1) % 4 + 1] > 0.6 AND cs[(t + 2) % 4 + 1] > 0.6 AND cs[(t + 3) % 4 + 1] > 0.6 AND {condition})) WHERE v <= 0.1 GROUP BY k)"""
+
+    put = lambda xs, v: f"[CASE WHEN i = o.t THEN o.{v} ELSE {xs}[i + 1] END for i in range(0, 4)]"
+    step = lambda i, a: f"({a}s[({i} + 1) % 4 + 1] - {a}s[{i} % 4 + 1])"
+    size = lambda i: f"sqrt({step(i, 'x')} * {step(i, 'x')} + {step(i, 'y')} * {step(i, 'y')})"
+    angle = lambda i: f"degrees(acos(greatest(-1, least(1, ({step(i, 'x')} * {step(i + 1, 'x')} + {step(i, 'y')} * {step(i + 1, 'y')}) / nullif({size(i)} * {size(i + 1)}, 0)))))"
+    upright = " AND ".join(f"coalesce({angle(i)} > 60 AND {angle(i)} < 120, false)" for i in range(4))
+    return f"""WITH b AS (SELECT o_orderkey AS k, o_custkey AS u, [(o_custkey * (2 * i + 3) + o_orderkey // 16) % 11 / 10.0::DOUBLE for i in range(0, 4)] AS cs FROM orders),
+    r AS (SELECT k, cs, [5 + k % 31 / 2.0::DOUBLE - 9, 590 + k % 59, 600 + k % 61, 12 + k % 43] AS x0, [7 + k % 29 - 12.5::DOUBLE, 10 + k % 41, 430 + k % 67, 450 + k % 37] AS y0, u FROM b),
+    d AS (SELECT k, cs, [x0[i + 1] + CASE WHEN i = u % 4 THEN u % 173 ELSE 0 END for i in range(0, 4)] AS xs, [y0[i + 1] + CASE WHEN i = u % 4 THEN u % 97 * 4 ELSE 0 END for i in range(0, 4)] AS ys FROM r),
+    e AS (SELECT d.*, o, coalesce(o.c > cs[o.t + 1] AND NOT (cs[1] > 0.6 AND cs[2] > 0.6 AND cs[3] > 0.6 AND cs[4] > 0.6), false) AS hit FROM d LEFT JOIN {inferred('d', 0.95, 'true', '')} USING (k)),
+    f AS (SELECT k, CASE WHEN hit THEN {put('xs', 'x')} ELSE xs END AS xs, CASE WHEN hit THEN {put('ys', 'y')} ELSE ys END AS ys, CASE WHEN hit THEN {put('cs', 'c')} ELSE cs END AS cs, CASE WHEN hit THEN 'edges' WHEN cs[1] > 0.6 AND cs[2] > 0.6 AND cs[3] > 0.6 AND cs[4] > 0.6 THEN 'found' ELSE 'none' END AS how FROM e),
+    g AS (SELECT *, how = 'found' OR how = 'edges' AND {upright} AS done FROM f),
+    h AS (SELECT g.*, o, coalesce(NOT done AND o.c > cs[o.t + 1], false) AS hit FROM g LEFT JOIN {inferred('g', 0.9, 'NOT cs[t + 1] > 0.6', 'trunc')} USING (k)),
+    j AS (SELECT k, CASE WHEN hit THEN {put('xs', 'x')} ELSE xs END AS xs, CASE WHEN hit THEN {put('ys', 'y')} ELSE ys END AS ys, CASE WHEN hit THEN {put('cs', 'c')} ELSE cs END AS cs, CASE WHEN hit THEN 'diagonal' WHEN how = 'edges' AND NOT done THEN 'unchecked' ELSE how END AS how FROM h)
+    SELECT k AS o_orderkey, how, {", ".join(f"{clamp(f'{a}s[{i + 1}]', n)} AS {a}{i}" for i in range(4) for a, n in (('x', WIDTH), ('y', HEIGHT)))}, {", ".join(f"round(cs[{i + 1}], 9) AS c{i}" for i in range(4))} FROM j"""
+
+
+@register("completed_corners", corners_sql())
+def completed_corners(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as quads with a shifted corner and corners of little confidence, completed."""
+    k, u = C("o_orderkey"), C("o_custkey")
+    x0 = (5 + k % 31 / 2 - 9, 590 + k % 59, 600 + k % 61, 12 + k % 43)
+    y0 = (7 + k % 29 - 12.5, 10 + k % 41, 430 + k % 67, 450 + k % 37)
+    quad = F.array(*[g.point((x + F.when(u % 4 == i, u % 173).otherwise(0)).cast("double"), (y + F.when(u % 4 == i, u % 97 * 4).otherwise(0)).cast("double")) for i, (x, y) in enumerate(zip(x0, y0))])
+    trust = F.array(*[(u * (2 * i + 3) + F.floor(k / 16)) % 11 / 10 for i in range(4)])
+    rows = table(spark, d, "orders").select("o_orderkey", quad.alias("quad"), trust.alias("trust"))
+    found = rows.select("o_orderkey", corners.completed(C("quad"), C("trust"), F.lit(WIDTH), F.lit(HEIGHT)).alias("c"))
+    at = lambda i: C("c.corners")[i]
+    return found.select("o_orderkey", "c.how", *[at(i)[a].alias(f"{a}{i}") for i in range(4) for a in ("x", "y")], *[F.round(C("c.confidences")[i], 9).alias(f"c{i}") for i in range(4)])
