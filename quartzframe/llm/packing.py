@@ -136,7 +136,7 @@ class Dealing:
         return at
 
     def shard(self, keys: np.ndarray, spread: np.ndarray) -> np.ndarray:
-        """``spread``: a hash of the document, for what no key divides."""
+        """``spread``: a hash of the document and its row, for what no key divides."""
         at = self.node(keys)
         part = (spread.view(np.uint64) >> np.uint64(11)) / 2.0**53
         return (self.base[at] + np.where(self.total[at] > self.size, part * self.total[at], 0).astype(np.int64)) // self.size
@@ -181,7 +181,8 @@ def deal(rows: DataFrame, idf: Broadcast, total: int, p: Packing) -> DataFrame:
             shard = whole.value.shard(_keys(batch, idf.value), batch.column("spread").to_numpy())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n", "ids")), pa.array(shard)], names=["doc_id", "n", "ids", "shard"])
 
-    return rows.withColumn("spread", F.xxhash64("doc_id", F.crc32("ids"))).mapInArrow(run, "doc_id long, n long, ids binary, shard long")
+    # rows come from a written table, so a task that runs again finds the same places; without them repeated rows would share a shard
+    return rows.withColumn("spread", F.xxhash64("doc_id", F.crc32("ids"), F.monotonically_increasing_id())).mapInArrow(run, "doc_id long, n long, ids binary, shard long")
 
 
 class Shard:

@@ -94,6 +94,17 @@ def test_a_group_larger_than_a_shard_is_spread(spark, table):
     assert len(sizes) >= 10 and max(sizes.values()) <= 2000
 
 
+def test_repeated_rows_are_spread(spark):
+    for key in (7, None):
+        docs = spark.createDataFrame([(key, "one two three four five six")] * 1500, "doc_id long, text string")
+        rows = pk.pack(docs, PATH, 1, pk.Packing(window=64, shard_tokens=1000)).collect()
+        held = collections.Counter()
+        for r in rows:
+            held[r["sequence_id"] >> 32] += r["length"]
+        assert sum(held.values()) == sum(r["doc_tokens"] for r in rows if r["start"] == 0) and len([r for r in rows if r["start"] == 0]) == 1500
+        assert len(held) >= sum(held.values()) // 1000 and max(held.values()) < 2000
+
+
 def test_the_rest_of_a_long_document_is_followed_by_its_neighbours():
     docs = [np.repeat(np.arange(t * 10, t * 10 + 10), k).astype(np.uint32) for t, k in ((0, 15), (1, 5), (2, 5), (1, 5), (0, 5))]
     shard = pk.Shard(docs, np.ones(30), 70.0, pk.Packing(window=100))
