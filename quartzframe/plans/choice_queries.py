@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import corners
 from ..functions import geometry as g
+from ..operators import coordinates as co
 from ..operators import rescues
 from .queries import register, table
 
@@ -139,3 +140,56 @@ def completed_corners(spark: SparkSession, d: str) -> DataFrame:
     found = rows.select("o_orderkey", corners.completed(C("quad"), C("trust"), F.lit(WIDTH), F.lit(HEIGHT)).alias("c"))
     at = lambda i: C("c.corners")[i]
     return found.select("o_orderkey", "c.how", *[at(i)[a].alias(f"{a}{i}") for i in range(4) for a in ("x", "y")], *[F.round(C("c.confidences")[i], 9).alias(f"c{i}") for i in range(4)])
+
+
+# Fixed values of the planted pictures: turned by 90 degrees, analysed at half their size.
+TURN, BACK, TWICE = "[[0.0,-1.0,99.0],[1.0,0.0,0.0],[0.0,0.0,1.0]]", "[[0.0,1.0,0.0],[-1.0,0.0,99.0],[0.0,0.0,1.0]]", "[[2.0,0.0,0.0],[0.0,2.0,0.0],[0.0,0.0,1.0]]"
+
+
+def provenance_sql() -> str:
+    sha = lambda text: f"'sha256:' || sha256({text})"
+    transform = f'{{"analysis_size":[100,200],"analysis_to_full_transform":{TWICE},"exif_orientation":6,"forward_transform":{TURN},"full_normalized_size":[200,400],"inverse_transform":{BACK},"original_size":[200,100],"source_sha256":"sha256:ab12"}}'
+    ids = """'{"annotation_id":"a' || k || '",'"""
+    run = """'"run_artifact_hash":"h' || k % 7 || '","run_id":"r' || k % 7 || '"'"""
+    batch = """'"batch_id":"b' || k % 3 || '",'"""
+    payload = """'{"analysis_size":[100,200],"annotation_id":"a' || k || '","coordinate_space":"' || space || '","corner_order":"%s","evidence":' || ev || ',"evidence_hash":"' || eh || '","exif_orientation":6,"full_normalized_size":[200,400],"image_id":"i' || k || '","original_size":[200,100],"schema_version":1,"source_sha256":"sha256:ab12","transform_hash":"' || th || '"}'""" % co.CORNER_ORDER
+    return f"""WITH o AS (SELECT o_orderkey AS k, o_custkey % 5 AS v, 10 + o_custkey % 31 + CASE WHEN o_custkey % 13 = 0 THEN 300 ELSE 0 END AS x, o_custkey % 11 = 0 AS spoilt, o_orderstatus AS s FROM orders),
+    d AS (SELECT *, CASE v WHEN 0 THEN '{co.IMPORTED}' WHEN 1 THEN '{co.CONFIRMED}' WHEN 2 THEN '{co.CLEAN_RUN}' END AS kind, CASE v WHEN 3 THEN 'ambiguous' WHEN 4 THEN 'stored_rule' END AS reason,
+        {sha(f'''CASE v WHEN 0 THEN {ids} || '"annotation_provenance":{{"by":"' || s || '"}},' || {batch} || '"evidence_document_hash":"sha256:d",' || {run} || '}}'
+        WHEN 1 THEN {ids} || {batch} || '"normalized_size":[200,400],"orientation_transform":"rotate",' || {run} || ',"source_original_size":[200,100]}}'
+        WHEN 2 THEN {ids} || {batch} || '"full_normalized_size":[200,400],"git_commit":"c","opencv":"4","recorded_gui_size":[200,400],' || {run} || '}}' END''')} AS identity FROM o),
+    e AS (SELECT *, CASE WHEN v = 0 THEN '{co.STORED}' WHEN v < 3 THEN '{co.FULL}' END AS space, '{{"identity":"' || identity || '","kind":"' || kind || '"}}' AS ev, {sha(f"'{transform}'")} AS th FROM d),
+    p AS (SELECT *, {sha(payload)} AS provenance_id FROM (SELECT *, {sha('ev')} AS eh FROM e)),
+    r AS (SELECT *, CASE WHEN provenance_id IS NULL THEN 'missing' WHEN spoilt THEN 'hash' WHEN x > 300 THEN 'bounds' END AS refused FROM p)
+    SELECT k AS o_orderkey, space, reason, identity, provenance_id, refused, CASE WHEN refused IS NULL THEN CASE WHEN v = 0 THEN 2 * (99 - 10) ELSE x END END::DOUBLE AS x0, CASE WHEN refused IS NULL THEN CASE WHEN v = 0 THEN 2 * x ELSE 10 END END::DOUBLE AS y0 FROM r"""
+
+
+@register("coordinate_provenance", provenance_sql())
+def coordinate_provenance(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as annotations: what their corners mean by the records, the sealed proof (some are spoilt afterwards), and the corners in the full picture."""
+    k, u = C("o_orderkey"), C("o_custkey")
+    v = u % 5
+    name = lambda letter, n: F.concat(F.lit(letter), n.cast("string"))
+    sizes = lambda *n: F.array(*[F.lit(i) for i in n])
+    matrix = lambda text: F.from_json(F.lit(text), "array<array<double>>")
+    x = 10 + u % 31 + F.when(u % 13 == 0, 300).otherwise(0)
+    run = F.struct(name("r", k % 7).alias("run_id"), name("b", k % 3).alias("batch_id"), name("h", k % 7).alias("run_artifact_hash"), F.lit(True).alias("git_available"), (v == 3).alias("git_dirty"), F.lit("c").alias("git_commit"), F.lit("4").alias("opencv"))
+    image = F.struct(
+        F.when(v != 1, name("r", k % 7)).alias("run_id"), name("i", k).alias("image_id"), (v == 0).alias("legacy_import"), F.when(v == 1, sizes(200, 100)).alias("source_original_size"),
+        F.when(v == 1, sizes(200, 400)).alias("normalized_size"), F.when(v.isin(2, 3), sizes(200, 400)).alias("original_size"), F.when(v == 1, "rotate").alias("orientation_transform"),
+    )
+    rule = F.when(v.isin(0, 4), F.struct(F.lit(co.STORED).alias("coordinate_space"), F.when(v == 0, name("b", k % 3)).otherwise("other").alias("batch_id"), F.lit("sha256:d").alias("evidence_document_hash")))
+    loaded = F.struct(
+        F.lit("ab12").alias("source_sha256"), F.lit(6).alias("exif_orientation"), sizes(200, 100).alias("original_size"), sizes(200, 400).alias("full_normalized_size"), sizes(100, 200).alias("analysis_size"),
+        F.lit("rotate").alias("orientation_transform"), matrix(TURN).alias("forward_transform"), matrix(BACK).alias("inverse_transform"), matrix(TWICE).alias("analysis_to_full_transform"),
+    )
+    # the corners' second x lies 20 to the right of the first
+    quad = g.quad(x, F.lit(10), x + 20, F.lit(10), x + 20, F.lit(40), x, F.lit(40))
+    rows = table(spark, d, "orders").select(
+        k, (u % 11 == 0).alias("spoilt"), name("a", k).alias("annotation_id"), name("i", k).alias("image_id"), name("r", k % 7).alias("run_id"), F.to_json(F.struct(C("o_orderstatus").alias("by"))).alias("annotation_provenance"),
+        quad.alias("boundary_corners"), run.alias("run"), image.alias("run_image"), rule.alias("rule"), loaded.alias("loaded"),
+    )
+    proven = co.sealed(co.decided(rows)).withColumn("provenance_id", C("provenance.provenance_id"))
+    spoilt = proven.withColumn("provenance", F.when(C("spoilt") & C("provenance").isNotNull(), C("provenance").withField("exif_orientation", F.lit(1))).otherwise(C("provenance")))
+    truth = C("truth")
+    return co.resolved(spoilt).select("o_orderkey", C("coordinate_space").alias("space"), "reason", C("evidence.identity").alias("identity"), "provenance_id", "refused", truth[0]["x"].alias("x0"), truth[0]["y"].alias("y0"))
