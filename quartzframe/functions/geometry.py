@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stats import within
+
 QUAD = "array<struct<x:double,y:double>>"
 
 
@@ -208,7 +210,7 @@ def homography(q: Column, m: list[list[float]]) -> Column:
 
 
 def clamped(p: Column, width: Column, height: Column, margin: float = 0.0) -> Column:
-    lim = lambda v, n: F.greatest(F.lit(margin), F.least(n - 1 - margin, v))
+    lim = lambda v, n: within(v, F.lit(margin), n - 1 - margin)
     return point(lim(p["x"], width), lim(p["y"], height))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import geometry as g
+from .stats import within
 
 
 @dataclass(frozen=True)
@@ -36,11 +37,11 @@ def classified(line: Column, width: Column, height: Column, p: LineRules = LineR
 
 
 def corner_confidence(edge_pixels: Column, lines: Column, level_score: Column, upright_score: Column, expansion: Column) -> Column:
-    """Confidence of a corner from how much was found around it, less a penalty for a wider search."""
+    """Confidence of a corner from how much was found around it, less a penalty for a wider search; null where something isn't known."""
     both, one = (level_score + upright_score) / 2 * 0.3, F.greatest(level_score, upright_score) * 0.15
     quality = F.when((level_score > 0) & (upright_score > 0), both).when((level_score > 0) | (upright_score > 0), one).otherwise(0.0)
-    total = F.least(edge_pixels / 3000, F.lit(0.25)) + F.least(lines / 30, F.lit(0.25)) + quality - expansion * 0.05
-    return F.when(lines == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
+    total = within(edge_pixels / 3000, F.lit(0.0), F.lit(0.25)) + within(lines / 30, F.lit(0.0), F.lit(0.25)) + quality - expansion * 0.05
+    return F.when(lines == 0, F.lit(0.0)).otherwise(within(total, F.lit(0.0), F.lit(1.0)))
 
 
 def angle_status(q: Column, tolerance: float = 20.0) -> Column:

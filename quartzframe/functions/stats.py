@@ -30,8 +30,14 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
+def within(value: Column, low: Column, high: Column) -> Column:
+    """The value held between two bounds; null stays null, which ``least`` and ``greatest`` alone would turn into a bound."""
+    return F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
+
+
 def clamped_number(value: Column, default: float = 0.0, limit: float = 20.0) -> Column:
-    return F.coalesce(F.greatest(F.lit(-limit), F.least(F.lit(limit), finite(value))), F.lit(default))
+    """The value within +-``limit``, ``default`` where it is missing or not finite."""
+    return F.coalesce(within(finite(value), F.lit(-limit), F.lit(limit)), F.lit(default))
 
 
 def first_finite(*values: Column) -> Column:
@@ -46,8 +52,8 @@ def linear_score(features: Column, means: list[float], scales: list[float], weig
 
 
 def logistic(score: Column, temperature: float = 1.0, limit: float = 60.0) -> Column:
-    """Probability of a score, held within +-``limit`` before the exponential."""
-    z = F.greatest(F.lit(-limit), F.least(F.lit(limit), score / temperature))
+    """Probability of a score, held within +-``limit`` before the exponential; null for a missing score."""
+    z = within(score / temperature, F.lit(-limit), F.lit(limit))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import geometry as g
+from .stats import within
 
 #: For each EXIF orientation which axis gives x and y, and whether each is mirrored (rows 2 to 4 keep the axes, 5 to 8 swap them).
 ORIENTATIONS = {1: ("x", False, "y", False), 2: ("x", True, "y", False), 3: ("x", True, "y", True), 4: ("x", False, "y", True), 5: ("y", False, "x", False), 6: ("y", True, "x", False), 7: ("y", True, "x", True), 8: ("y", False, "x", True)}
@@ -26,7 +27,7 @@ def oriented(p: Column, orientation: Column, width: Column, height: Column) -> C
 
 def moved(p: Column, dx: Column, dy: Column, width: Column, height: Column) -> Column:
     """A whole corner moved, kept inside the image."""
-    inside = lambda v, size: F.greatest(F.lit(0), F.least(size - 1, v)).cast("long")
+    inside = lambda v, size: within(v, F.lit(0), size - 1).cast("long")
     return F.struct(inside(p["x"] + dx, width).alias("x"), inside(p["y"] + dy, height).alias("y"))
 
 
@@ -79,7 +80,7 @@ def canonical_segment(x1: Column, y1: Column, x2: Column, y2: Column, width: Col
     """A segment (angle modulo pi, length, offset, low, high): the same whichever end comes first; null if it is short or weak."""
     length = F.hypot(x2 - x1, y2 - y1)
     raw = F.pmod(F.atan2(y2 - y1, x2 - x1), F.lit(math.pi))
-    long = (length >= F.greatest(F.lit(6.0), F.hypot(width, height) * 0.035)) & (F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality)) > 0.02)
+    long = (length >= F.greatest(F.lit(6.0), F.hypot(width, height) * 0.035)) & (within(quality, F.lit(0.0), F.lit(1.0)) > 0.02)
 
     def placed(angle: Column) -> Column:
         along = lambda x, y: x * F.cos(angle) + y * F.sin(angle)

@@ -6,7 +6,7 @@ computer-vision library aren't restated here.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -123,19 +123,22 @@ def polygon_iou(a: list, b: list) -> float:
     return both / union if union > 0 else 0.0
 
 
-def map_images(files: DataFrame, decode: Callable[[bytes], np.ndarray], kernel: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
-    """Rows (image_id, status, reason, and the kernel's columns in ``schema``); an image that fails is a row, not an error."""
+def map_images(files: DataFrame, decode: Callable[[bytes], np.ndarray], kernel: Callable[..., dict], schema: str, values: Sequence[str] = ()) -> DataFrame:
+    """Rows (image_id, status, reason, and the kernel's columns in ``schema``); an image that fails is a row, not an error.
+
+    The kernel is given the decoded image and the row's ``values``.
+    """
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for image_id, content in zip(frame["image_id"], frame["content"]):
+            for image_id, content, *more in zip(*[frame[c] for c in ("image_id", "content", *values)]):
                 try:
-                    found = kernel(decode(content))
+                    found = kernel(decode(content), *more)
                     rows.append((image_id, "success", None, *[found.get(n) for n in names]))
                 except Exception as error:  # noqa: BLE001  one image must not end the job
                     rows.append((image_id, "error", type(error).__name__, *[None] * len(names)))
             yield pd.DataFrame(rows, columns=["image_id", "status", "reason", *names])
 
-    return files.select("image_id", "content").mapInPandas(run, f"image_id string, status string, reason string, {schema}")
+    return files.select("image_id", "content", *values).mapInPandas(run, f"image_id string, status string, reason string, {schema}")

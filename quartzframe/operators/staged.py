@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.stats import within
 from .ranking import top_k
 
 #: As many candidates of a group get the costly score at most (a fixed value).
@@ -23,7 +24,7 @@ def margins(rows: DataFrame, by: list[str], candidate: str, score: str) -> DataF
     first = lambda n, c: F.max(F.when(F.col("_place") == n, F.col(c)))
     best = two.groupBy(*by).agg(first(1, candidate).alias("_first"), first(1, score).alias("_best"), first(2, score).alias("_second"))
     other = F.coalesce(F.when(F.col(candidate) == F.col("_first"), F.col("_second")).otherwise(F.col("_best")), F.lit(0.0))
-    margin = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + (F.col(score) - other) * 5.0))
+    margin = within(0.5 + (F.col(score) - other) * 5.0, F.lit(0.0), F.lit(1.0))
     return rows.join(best, by).withColumn("margin", margin).drop("_first", "_best", "_second")
 
 
