@@ -506,4 +506,4 @@ def canonical_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-from . import candidate_queries, choice_queries, evidence_queries, feature_queries, raster_queries, record_queries, state_queries  # noqa: E402, F401  these register their queries here
+from . import candidate_queries, choice_queries, evidence_queries, feature_queries, raster_queries, record_queries, sample_queries, state_queries  # noqa: E402, F401  these register their queries here
