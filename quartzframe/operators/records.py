@@ -106,10 +106,10 @@ def run_documents(spark: SparkSession, path: str, schema: str, finished: bool) -
 
 
 def restored(sources: DataFrame, results: DataFrame, key: str, same: list[str], info: str) -> DataFrame:
-    """Stored results put back to their sources; a result of another source, or without its row, raises."""
-    other = results.select(key, F.col(info), *[F.col(c).alias(f"_r_{c}") for c in same])
+    """All sources with their stored results, null where none is stored; a result of another source, or a stored row without its result, raises."""
+    other = results.select(key, F.lit(True).alias("_stored"), F.col(info), *[F.col(c).alias(f"_r_{c}") for c in same])
     fits = F.col(info).isNotNull()
     for c in same:
         fits = fits & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    checked = F.when(fits, F.col(info)).otherwise(F.raise_error(F.concat(F.lit("a stored result conflicts with source "), F.col(key).cast("string"))))
-    return sources.join(other, key).select(*sources.columns, checked.alias(info))
+    checked = F.when(F.col("_stored").isNull() | fits, F.col(info)).otherwise(F.raise_error(F.concat(F.lit("a stored result conflicts with source "), F.col(key).cast("string"))))
+    return sources.join(other, key, "left").select(*sources.columns, checked.alias(info))

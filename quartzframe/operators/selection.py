@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as g
 from .ranking import top_k
 
 
@@ -25,11 +27,21 @@ def ranked_with_supplements(rows: DataFrame, by: list[str], score: Column, rank:
     return kept.withColumn("place", F.struct("_extra", "_place")).select(*rows.columns, F.col("place._extra").alias("supplement"), F.col("place._place").alias("place"))
 
 
-def contains(outer: Column, inner: Column, slack: float = 1e-3) -> Column:
-    """Whether all corners of a quad lie inside a convex one, whichever way that turns."""
-    side = lambda p, i: (F.get(outer, F.lit((i + 1) % 4))["x"] - F.get(outer, F.lit(i))["x"]) * (p["y"] - F.get(outer, F.lit(i))["y"]) - (F.get(outer, F.lit((i + 1) % 4))["y"] - F.get(outer, F.lit(i))["y"]) * (p["x"] - F.get(outer, F.lit(i))["x"])
-    signs = lambda p: F.array(*[side(p, i) for i in range(4)])
-    return F.forall(inner, lambda p: (F.array_min(signs(p)) >= -slack) | (F.array_max(signs(p)) <= slack))
+def area(quad: str) -> Column:
+    """Area of a quad of eight columns (prefix, x or y, number)."""
+    at = lambda v, i: F.col(f"{quad}{v}{i % 4}")
+    return F.abs(functools.reduce(operator.add, [at("x", i) * at("y", i + 1) - at("x", i + 1) * at("y", i) for i in range(4)])) / 2
+
+
+def contained(outer: str, inner: str, slack: float = 1e-3) -> Column:
+    """Whether all corners of a quad lie inside a convex one, whichever way that turns.
+
+    Quads are eight columns each (prefix, x or y, number), so that the products are plain arithmetic in generated code.
+    """
+    at = lambda q, v, i: F.col(f"{q}{v}{i % 4}")
+    side = lambda p, i: (at(outer, "x", i + 1) - at(outer, "x", i)) * (at(inner, "y", p) - at(outer, "y", i)) - (at(outer, "y", i + 1) - at(outer, "y", i)) * (at(inner, "x", p) - at(outer, "x", i))
+    every = lambda p, holds: functools.reduce(operator.and_, [holds(side(p, i)) for i in range(4)])
+    return functools.reduce(operator.and_, [every(p, lambda s: s >= -slack) | every(p, lambda s: s <= slack) for p in range(4)])
 
 
 def nested(rows: DataFrame, by: list[str], candidate: str, corners: str, score: str, share: float = 0.9) -> DataFrame:
@@ -37,9 +49,10 @@ def nested(rows: DataFrame, by: list[str], candidate: str, corners: str, score:
 
     Candidates of an image meet in a join on the image; each pair is reduced at once, before the next shuffle.
     """
-    a = rows.select(*by, F.col(candidate).alias("_a"), F.col(corners).alias("_qa"), F.abs(g.signed_area(F.col(corners))).alias("_sa"))
-    b = rows.select(*by, F.col(candidate).alias("_b"), F.col(corners).alias("_qb"), F.abs(g.signed_area(F.col(corners))).alias("_sb"), F.greatest(F.lit(0.0), F.col(score)).alias("_score"))
-    found = a.join(b, by).where((F.col("_a") != F.col("_b")) & (F.col("_sb") < F.col("_sa") * share) & contains(F.col("_qa"), F.col("_qb")))
+    numbers = lambda q: [F.get(F.col(corners), F.lit(i))[v].alias(f"_{q}{v}{i}") for i in range(4) for v in "xy"]
+    a = rows.select(*by, F.col(candidate).alias("_a"), *numbers("a"))
+    b = rows.select(*by, F.col(candidate).alias("_b"), F.greatest(F.lit(0.0), F.col(score)).alias("_score"), *numbers("b"))
+    found = a.join(b, by).where((F.col("_a") != F.col("_b")) & (area("_b") < area("_a") * share) & contained("_a", "_b"))
     best = found.groupBy(*by, F.col("_a").alias(candidate)).agg(F.max("_score").alias("nested_score"))
     return rows.select(*by, candidate).join(best, [*by, candidate], "left").select(*by, candidate, F.col("nested_score").isNotNull().alias("nested"), F.coalesce("nested_score", F.lit(0.0)).alias("nested_score"))
 
