@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def content_id(content: Column, prefix: str = "sha256:") -> Column:
@@ -89,25 +93,39 @@ def image_extension(content: Column) -> Column:
     return F.when(F.hex(F.substring(content, 1, 3)) == "FFD8FF", ".jpg").when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", ".png")
 
 
-def corner_id(corners: Column, *parts: Column, digits: int = 20) -> Column:
-    """The first hex digits of the sha256 of a JSON list of ``parts`` (texts or null) and corners rounded to six places, or of the corners alone.
+@F.arrow_udf(T.StringType())
+def _points_json(rows: pa.Array) -> pa.Array:
+    """JSON of lists of points, numbers rounded to six places and written as Python does; each different number of a batch once."""
+    points = rows.flatten()
+    numbers = pa.chunked_array([points.flatten()[points.type.get_field_index(c)] for c in "xy"])
+    if numbers.null_count:
+        raise TypeError("a corner without a coordinate")
+    # by their bits, as -0.0 isn't 0.0
+    different, at = np.unique(numbers.to_numpy().view(np.int64), return_inverse=True)
+    texts = json.dumps([round(x, 6) for x in different.view(np.float64).tolist()], separators=(",", ":"))[1:-1].split(",")
+    x, y = (pa.array(texts, pa.string()).take(pa.array(i)) for i in np.split(at, 2))
+    texts = pc.binary_join_element_wise("[", pc.binary_join_element_wise(x, y, ","), "]", "")
+    ends = np.cumsum(np.append(0, pc.fill_null(rows.value_lengths(), 0).to_numpy(zero_copy_only=False)))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts, mask=rows.is_null())
+    return pc.binary_join_element_wise("[", pc.binary_join(lists, ","), "]", "")
 
-    Numbers are written and rounded as Python does, which Spark's own functions differ from, so this is an Arrow UDF.
-    """
-    import hashlib
 
-    listed = len(parts) > 0
+@F.arrow_udf(T.StringType())
+def _text_json(texts: pa.Array) -> pa.Array:
+    """JSON of texts or null; each different text of a batch once."""
+    coded = texts.dictionary_encode("encode")
+    return pa.array([json.dumps(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
-    @F.pandas_udf("string")
-    def digest(rows: pd.DataFrame) -> pd.Series:
-        def one(row: tuple) -> str:
-            points = [[round(float(p["x"]), 6), round(float(p["y"]), 6)] for p in row[0]]
-            payload = [*row[1:], points] if listed else points
-            return hashlib.sha256(json.dumps(payload, separators=(",", ":")).encode()).hexdigest()[:digits]
 
-        return pd.Series([one(r) for r in rows.itertuples(index=False, name=None)])
+def corner_id(corners: Column, *parts: Column, digits: int = 20) -> Column:
+    """The first hex digits of the sha256 of a JSON list of ``parts`` (texts or null) and corners rounded to six places, or of the corners alone.
 
-    return digest(F.struct(corners.alias("c"), *[p.alias(f"p{i}") for i, p in enumerate(parts)]))
+    Numbers are written and rounded as Python does, which Spark's own functions differ from, so Arrow UDFs write the JSON. Null corners have no id.
+    """
+    text = _points_json(corners)
+    if parts:
+        text = F.concat(F.lit("["), *[x for p in parts for x in (_text_json(p), F.lit(","))], text, F.lit("]"))
+    return F.substring(F.sha2(text, 256), 1, digits)
 
 
 def source_key(source: Column, candidate: Column) -> Column:
