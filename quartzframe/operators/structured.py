@@ -15,6 +15,8 @@ from .ranking import top_k
 # Limits of a legal quad, the margin of an edge with a single option, most options of an edge.
 BOUNDS, ANCHOR, AREA, ANGLES, FLAT = 0.065, 0.065, (0.015, 1.05), (15.0, 165.0), 1e-9
 ALONE, MOST_OPTIONS = 20.0, 8
+#: Groups that are Python objects at once.
+AT_ONCE = 64
 EDGES = 4
 
 Point = tuple[float, float]
@@ -89,6 +91,30 @@ def best_combination(slots: list[list[dict]], width: float, height: float, objec
     return best
 
 
+def proposals(batches: Iterator[pa.RecordBatch], by: list[str], width: float, height: float, limit: int, objective: str) -> Iterator[pa.RecordBatch]:
+    """A row for each group (by, options) that has a proposal.
+
+    An option is some fifty Python objects, so a batch of thousands of groups would take gigabytes: a few are read at a time.
+    """
+    for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
+        rows = []
+        for i, found in enumerate(batch.column(len(by)).to_pylist()):
+            for o in found:
+                o["corners"], o["anchor"] = ([(p["x"], p["y"]) for p in o[c]] for c in ("corners", "anchor"))
+            of_edge = [[o for o in found if o["edge"] == e and o["place"] > 0] for e in range(EDGES)]
+            now = [[o for o in found if o["edge"] == e and o["place"] == 0] for e in range(EDGES)]
+            best = best_combination([s[:limit] for s in of_edge], width, height, objective) if all(of_edge) else None
+            fallback = best is None and all(of_edge) and all(now)
+            best = best_combination(now, width, height, objective) if fallback else best
+            if best:
+                _, corners, chosen = best
+                risks = [o["risk"] for o in chosen]
+                rows.append((i, [o["option"] for o in chosen], corners, max(risks), sum(risks), [s[1]["risk"] - s[0]["risk"] if len(s) > 1 else ALONE for s in of_edge], fallback))
+        at = pa.array([r[0] for r in rows], pa.int64())
+        types = [pa.list_(pa.string()), pa.list_(pa.list_(pa.float64())), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([batch.column(j).take(at) for j in range(len(by))] + [pa.array([r[j + 1] for r in rows], t) for j, t in enumerate(types)], names=[*by, "ids", "corners", "worst", "sum", "margins", "fallback"])
+
+
 def structured_proposal(options: DataFrame, by: list[str], width: float, height: float, limit: int = 6, objective: str = "minimax") -> DataFrame:
     """Rows (by, ids, corners, worst, sum, margins, fallback) of options (by, edge 0 to 3, option, corners, anchor, risk, upper, support, current).
 
@@ -108,23 +134,5 @@ def structured_proposal(options: DataFrame, by: list[str], width: float, height:
     kinds = {f.name: f.dataType for f in groups.schema.fields}
     out = ", ".join([*(f"{c} {kinds[c].simpleString()}" for c in by), "ids array<string>, corners array<array<double>>, worst double, sum double, margins array<double>, fallback boolean"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, found in enumerate(batch.column(len(by)).to_pylist()):
-                for o in found:
-                    o["corners"], o["anchor"] = ([(p["x"], p["y"]) for p in o[c]] for c in ("corners", "anchor"))
-                of_edge = [[o for o in found if o["edge"] == e and o["place"] > 0] for e in range(EDGES)]
-                now = [[o for o in found if o["edge"] == e and o["place"] == 0] for e in range(EDGES)]
-                best = best_combination([s[:limit] for s in of_edge], width, height, objective) if all(of_edge) else None
-                fallback = best is None and all(of_edge) and all(now)
-                best = best_combination(now, width, height, objective) if fallback else best
-                if best:
-                    _, corners, chosen = best
-                    risks = [o["risk"] for o in chosen]
-                    rows.append((i, [o["option"] for o in chosen], corners, max(risks), sum(risks), [s[1]["risk"] - s[0]["risk"] if len(s) > 1 else ALONE for s in of_edge], fallback))
-            at = pa.array([r[0] for r in rows], pa.int64())
-            types = [pa.list_(pa.string()), pa.list_(pa.list_(pa.float64())), pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(j).take(at) for j in range(len(by))] + [pa.array([r[j + 1] for r in rows], t) for j, t in enumerate(types)], names=[*by, "ids", "corners", "worst", "sum", "margins", "fallback"])
-
+    run = lambda batches: proposals(batches, by, width, height, limit, objective)
     return groups.select(*by, "options").mapInArrow(run, out)
