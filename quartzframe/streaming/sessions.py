@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,7 +34,10 @@ ZOOMS = (2, 4, 8, 16)
 REMEMBERED, ID_LENGTH, REASON_LENGTH = 256, 128, 256
 
 FIELDS = ("index", "dx", "dy", "x", "y", "zoom", "reason")
+NAMES = ("revision", "place", "status", "corner", "zoom", "seen")
+STATE = "revision long, place long, status string, corner long, zoom long, seen long, outcomes array<struct<action_id: string, mark: string, revision: long, place: long, status: string>>"
 OUTPUT = "session string, seq long, action_id string, outcome string, revision long, place long, status string"
+OUTCOME = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 def action_fault() -> Column:
@@ -76,19 +78,17 @@ def applied(state: dict, kind: str, action: dict, items: int) -> str | None:
 
 
 class Sessions(StatefulProcessor):
-    """State of a session: its value and, by action id and by revision, the last remembered outcomes."""
+    """State of a session: one value with its last remembered outcomes, the oldest first, so that a batch reads and writes it once however many actions it has."""
 
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("session", "revision long, place long, status string, corner long, zoom long, seen long")
-        self.outcomes = handle.getMapState("outcomes", "action_id string", "mark string, revision long, place long, status string")
-        self.order = handle.getMapState("order", "revision long", "action_id string")
+        self.now = handle.getValueState("session", STATE)
 
-    def _dispatched(self, state: dict, a: dict) -> tuple:
-        """(outcome, revision, place, status) of an action."""
+    def _dispatched(self, state: dict, outcomes: dict, a: dict) -> tuple:
+        """(outcome, revision, place, status) of an action; ``outcomes`` by action id, in the order of their revisions."""
         after = lambda outcome: (outcome, state["revision"], state["place"], state["status"])
         if self.idle_ms and state["seen"] is not None and state["status"] == "active" and a["at"] - state["seen"] > self.idle_ms:
             state["status"] = "expired"
@@ -97,8 +97,8 @@ class Sessions(StatefulProcessor):
             return after(a["fault"])
         if state["status"] == "expired":
             return after("session_stopped")
-        if self.outcomes.containsKey((a["action_id"],)):
-            mark, *before = self.outcomes.getValue((a["action_id"],))
+        if known := outcomes.get(a["action_id"]):
+            mark, *before = known
             return ("replayed", *before) if mark == a["mark"] else after("action_id_conflict")
         if state["status"] != "active":
             return after("session_stopped")
@@ -107,32 +107,28 @@ class Sessions(StatefulProcessor):
         if refused := applied(state, a["kind"], a, a["items"]):
             return after(refused)
         state["revision"] += 1
-        self.outcomes.updateValue((a["action_id"],), (a["mark"], state["revision"], state["place"], state["status"]))
-        self.order.updateValue((state["revision"],), (a["action_id"],))
-        if self.order.containsKey((gone := (state["revision"] - REMEMBERED,))):
-            self.outcomes.removeKey(self.order.getValue(gone))
-            self.order.removeKey(gone)
+        outcomes[a["action_id"]] = (a["mark"], state["revision"], state["place"], state["status"])
+        if len(outcomes) > REMEMBERED:
+            del outcomes[next(iter(outcomes))]
         return after("ok")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        actions = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        names = ("revision", "place", "status", "corner", "zoom", "seen")
-        state = dict(zip(names, self.now.get() if self.now.exists() else (0, 0, "active", -1, ZOOMS[0], None)))
-        made = [(key[0], a["seq"], a["action_id"], *self._dispatched(state, a)) for a in ({k: None if pd.isna(v) else v for k, v in r.items()} for r in actions.to_dict("records"))]
-        self.now.update(tuple(state[n] for n in names))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        actions = sorted((r.asDict() for r in rows), key=lambda a: (a["seq"] is None, a["seq"] or 0))
+        *values, kept = self.now.get() or (0, 0, "active", -1, ZOOMS[0], None, [])
+        state, outcomes = dict(zip(NAMES, values)), {r[0]: tuple(r[1:]) for r in kept}
+        made = [OUTCOME(key[0], a["seq"], a["action_id"], *self._dispatched(state, outcomes, a)) for a in actions]
+        self.now.update((*[state[n] for n in NAMES], [(k, *v) for k, v in outcomes.items()]))
         if self.idle_ms and state["status"] == "active":
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(int(state["seen"] + self.idle_ms + 1))
-        yield pd.DataFrame(made, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        return iter(made)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        revision, place, status, corner, zoom, seen = self.now.get()
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        revision, place, status, corner, zoom, seen, _ = self.now.get()
         if status == "active" and expiredTimerInfo.getExpiryTimeInMs() > seen + self.idle_ms:
-            self.now.update((revision, place, "expired", corner, zoom, seen))
-            self.outcomes.clear()
-            self.order.clear()
-            yield pd.DataFrame([(key[0], None, None, "expired", revision, place, "expired")], columns=[c.split()[0] for c in OUTPUT.split(", ")])
+            self.now.update((revision, place, "expired", corner, zoom, seen, []))
+            yield OUTCOME(key[0], None, None, "expired", revision, place, "expired")
 
     def close(self) -> None:
         pass
@@ -144,9 +140,10 @@ def dispatched(actions: DataFrame, idle_ms: int | None = None, late: str = "1 ho
     ``idle_ms``: a session without an action for longer has expired; a timer of event time ends it, and an action that comes after that time finds
     it so whether the timer has gone off or not. Needs RocksDB as the state store's provider.
     """
-    marked = actions.select("session", "seq", "action_id", "expected_revision", "kind", "items", *FIELDS, action_fault().alias("fault"), fingerprint().alias("mark"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("ts").cast("timestamp").alias("ts"))
+    told = [F.coalesce(F.col(f), F.lit(-1)).cast("long").alias(f) for f in ("index", "zoom")]  # of the payload, only these change a state
+    marked = actions.select("session", "seq", "action_id", "expected_revision", "kind", "items", *told, action_fault().alias("fault"), fingerprint().alias("mark"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("ts").cast("timestamp").alias("ts"))
     timed = marked.withWatermark("ts", late) if idle_ms else marked.drop("ts")
-    return timed.groupBy("session").transformWithStateInPandas(statefulProcessor=Sessions(idle_ms), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime" if idle_ms else "None")
+    return timed.groupBy("session").transformWithState(statefulProcessor=Sessions(idle_ms), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime" if idle_ms else "None")
 
 
 def final_states(outcomes: DataFrame) -> DataFrame:

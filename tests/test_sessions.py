@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from quartzframe.streaming import sessions as se
 
@@ -94,3 +95,33 @@ def test_idle_sessions_expire(run):
     assert got["s", 2] == "ok" and got["u", 2] == "ok" and got["s", 3] == got["s", 4] == "session_stopped"
     assert got["t", None] == "expired"
     assert {r["session"]: r["status"] for r in se.final_states(out).collect()} == {"s": "expired", "t": "expired", "u": "active"}
+
+
+def test_a_batch_reads_and_writes_state_once():
+    """Before, each action asked the state store up to six times."""
+    calls = []
+
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return Value()
+
+    names = ("session", "seq", "action_id", "expected_revision", "kind", "items", "index", "zoom", "fault", "mark", "at")
+    rows = [Row(**dict(zip(names, ("s", i, f"a{i}", i, "reset", 4, -1, -1, None, f"m{i}", i)))) for i in range(600)]
+    sessions = se.Sessions(None)
+    sessions.init(Handle())
+    made = [*sessions.handleInputRows(("s",), iter(rows[:300]), None), *sessions.handleInputRows(("s",), iter(rows[300:]), None)]
+    assert [r["outcome"] for r in made] == ["ok"] * 600 and made[-1]["revision"] == 600
+    assert calls == ["get", "update"] * 2
+    assert [k for k, *_ in sessions.now.value[-1]] == [f"a{i}" for i in range(600 - se.REMEMBERED, 600)]
