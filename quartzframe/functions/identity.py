@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,24 +25,66 @@ def canonical_json(value: object, ascii_only: bool = False) -> str:
 def canonical_hash(payload: Column, fields: list[str] | None = None, without: tuple[str, ...] = (), ascii_only: bool = False) -> Column:
     """Hash of a JSON object column in canonical form: of ``fields`` only, or of all but ``without``.
 
-    Spark's own JSON writer keeps field order and drops nulls, so this is an Arrow UDF.
+    Spark's own JSON writer keeps field order and drops nulls, so this is an Arrow UDF; each different text of a batch is read once.
     """
     import hashlib
 
-    @F.pandas_udf("string")
-    def digest(column: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            if text is None:
-                return None
-            row = json.loads(text)
-            row = {k: row[k] for k in fields} if fields is not None else {k: v for k, v in row.items() if k not in without}
-            return hashlib.sha256(canonical_json(row, ascii_only).encode()).hexdigest()
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        row = json.loads(text)
+        row = {k: row[k] for k in fields} if fields is not None else {k: v for k, v in row.items() if k not in without}
+        return hashlib.sha256(canonical_json(row, ascii_only).encode()).hexdigest()
 
-        return column.map(one)
+    @F.arrow_udf(T.StringType())
+    def digest(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode("encode")
+        return pa.array([one(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
     return digest(payload)
 
 
+#: Types that Spark's JSON writer writes as Python does.
+PLAIN = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _is_plain(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_is_plain(f.dataType) for f in kind.fields)
+    return _is_plain(kind.elementType) if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.StructType) else isinstance(kind, PLAIN)
+
+
+def _in_order(kind: T.DataType) -> bool:
+    return not isinstance(kind, T.StructType) or kind.names == sorted(kind.names) and all(_in_order(f.dataType) for f in kind.fields)
+
+
+def _sorted_fields(value: Column, kind: T.DataType) -> Column:
+    """A struct with its fields in the order of their names, inner structs too; one that is so stays as it is, which keeps plans small."""
+    if _in_order(kind):
+        return value
+    fields = sorted(kind.fields, key=lambda f: f.name)
+    return F.when(value.isNotNull(), F.struct(*[_sorted_fields(value[f.name], f.dataType).alias(f.name) for f in fields]))
+
+
+@F.arrow_udf(T.StringType())
+def _written_hash(texts: pa.Array) -> pa.Array:
+    """Hashes of JSON with sorted keys; control characters, which Spark and Python number in different letters, are written again."""
+    import hashlib
+
+    canonical = lambda t: canonical_json(json.loads(t)) if "\\u00" in t else t
+    return pa.array([None if t is None else hashlib.sha256(canonical(t).encode()).hexdigest() for t in texts.to_pylist()], pa.string())
+
+
+def struct_hash(rows: DataFrame, value: Column, nulls: bool = True) -> Column:
+    """``canonical_hash`` of a struct of ``rows`` written as JSON, with its null fields or without.
+
+    Spark writes structs of texts, whole numbers and truth values with sorted fields, so Python has only to hash them; other values are written again by Python.
+    """
+    kind = rows.select(value.alias("v")).schema["v"].dataType
+    options = {"ignoreNullFields": str(not nulls).lower()}
+    return _written_hash(F.to_json(_sorted_fields(value, kind), options)) if _is_plain(kind) else canonical_hash(F.to_json(value, options))
+
+
 def round_half_even(value: Column, places: int) -> Column:
     """Python's rounding of the binary value, which Spark's decimal rounding differs from."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..functions.identity import canonical_hash
+from ..functions.identity import canonical_hash, struct_hash
 from ..functions.schemas import filled
 
 #: The two spaces, the order of corners, kinds of evidence.
@@ -29,6 +29,10 @@ def _hash(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), canonical_hash(text))
 
 
+def _struct_hash(rows: DataFrame, value: Column, nulls: bool = True) -> Column:
+    return F.concat(F.lit("sha256:"), struct_hash(rows, value, nulls))
+
+
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """The first rule that isn't true; null if all are."""
     return F.coalesce(*[F.when(~_true(ok), F.lit(name)) for name, ok in rules])
@@ -66,7 +70,7 @@ def decided(rows: DataFrame) -> DataFrame:
     known = rows.withColumn("_kind", kind).withColumn("_identity", _hash(chosen))
     return known.select(
         *rows.columns, F.when(C("_kind") == IMPORTED, STORED).when(C("_kind").isNotNull(), FULL).alias("coordinate_space"),
-        F.when(C("_kind").isNotNull(), F.struct(C("_kind").alias("kind"), C("_identity").alias("identity"))).alias("evidence"), reason.alias("reason"),
+        F.when(C("_kind").isNotNull(), F.struct(C("_identity").alias("identity"), C("_kind").alias("kind"))).alias("evidence"), reason.alias("reason"),
     )
 
 
@@ -90,12 +94,13 @@ def sealed(rows: DataFrame) -> DataFrame:
     """
     loaded, evidence = C("loaded"), C("evidence")
     good = filled(C("annotation_id")) & filled(C("image_id")) & g.is_complete(C("boundary_corners")) & C("coordinate_space").isin(STORED, FULL) & filled(evidence["kind"]) & filled(evidence["identity"])
-    hashed = rows.withColumn("_evidence", _hash(F.to_json("evidence"))).withColumn("_transform", _hash(_transform_text(loaded)))
-    fields = [
-        F.lit(1).alias("schema_version"), C("annotation_id"), C("image_id"), C("coordinate_space"), F.lit(CORNER_ORDER).alias("corner_order"), evidence.alias("evidence"), C("_evidence").alias("evidence_hash"),
-        _source(loaded).alias("source_sha256"), *[loaded[n].alias(n) for n in SEALED], C("_transform").alias("transform_hash"),
-    ]
-    whole = hashed.withColumn("_id", _hash(_json(*fields)))
+    hashed = rows.withColumn("_evidence", _struct_hash(rows, evidence, nulls=False)).withColumn("_transform", _hash(_transform_text(loaded)))
+    named = {
+        "schema_version": F.lit(1), **{n: C(n) for n in ("annotation_id", "image_id", "coordinate_space")}, "corner_order": F.lit(CORNER_ORDER), "evidence": evidence, "evidence_hash": C("_evidence"),
+        "source_sha256": _source(loaded), **{n: loaded[n] for n in SEALED}, "transform_hash": C("_transform"),
+    }
+    fields = [v.alias(n) for n, v in sorted(named.items())]  # in the order that they are hashed in
+    whole = hashed.withColumn("_id", _struct_hash(hashed, F.struct(*fields)))
     return whole.select(*rows.columns, F.when(_true(good), F.struct(*fields, C("_id").alias("provenance_id"))).alias("provenance"))
 
 
@@ -105,7 +110,7 @@ def resolved(rows: DataFrame) -> DataFrame:
     Every hash of ``provenance`` is computed again from what it covers, and the transforms from ``loaded``.
     """
     p, loaded, q = C("provenance"), C("loaded"), C("boundary_corners")
-    own = rows.withColumn("_id", _hash(F.to_json(p.dropFields("provenance_id"), {"ignoreNullFields": "false"}))).withColumn("_evidence", _hash(F.to_json(p["evidence"]))).withColumn("_transform", _hash(_transform_text(loaded)))
+    own = rows.withColumn("_id", _struct_hash(rows, p.dropFields("provenance_id"))).withColumn("_evidence", _struct_hash(rows, p["evidence"], nulls=False)).withColumn("_transform", _hash(_transform_text(loaded)))
     same = p["source_sha256"].eqNullSafe(_source(loaded)) & (p["transform_hash"] == C("_transform"))
     for n in SEALED:
         same = same & p[n].eqNullSafe(loaded[n])

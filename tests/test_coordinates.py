@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quartzframe.functions import geometry as g
+from quartzframe.functions import identity
 from quartzframe.operators import coordinates as co
 
 SCHEMA = f"""name string, annotation_id string, image_id string, run_id string, annotation_provenance string, boundary_corners {g.QUAD},
@@ -83,3 +84,20 @@ def test_required_raises(spark):
     assert frame.where("v = 'x'").select(co.required(F.col("v"), F.col("reason"))).first()[0] == "x"
     with pytest.raises(Exception, match="ambiguous"):
         frame.select(co.required(F.col("v"), F.col("reason"))).collect()
+
+
+def test_plain_structs_are_hashed_as_python_writes_them(spark, monkeypatch):
+    """Spark writes them with sorted fields; before, Python read and wrote each again."""
+    schema = "s struct<z:string,a:array<int>,n:bigint,b:boolean,o:struct<y:string,x:int>>"
+    texts = ['é"/\\\u007f 😀', "\x00\x0b\x1f\n\\u000B \\\x1a", "", None]
+    frame = spark.createDataFrame([((t, [1, -2], 1 << 60, True, ("q", None)),) for t in texts] + [(None,)], schema)
+    got = [r[0] for r in frame.select(identity.struct_hash(frame, F.col("s")).alias("h")).collect()]
+    want = [{"z": t, "a": [1, -2], "n": 1 << 60, "b": True, "o": {"y": "q", "x": None}} for t in texts]
+    assert got == [sha(w)[7:] for w in want] + [None]
+    floats = spark.createDataFrame([((1e22, "x"),)], "s struct<b:double,a:string>")
+    assert floats.select(identity.struct_hash(floats, F.col("s")).alias("h")).first()[0] == sha({"a": "x", "b": 1e22})[7:]
+    read = []
+    monkeypatch.setattr(identity, "canonical_hash", lambda *_, **__: read.append(1) or F.lit("x"))
+    plain = spark.createDataFrame(ROWS, SCHEMA).select("*", F.struct(F.lit("i").alias("identity"), F.lit("k").alias("kind")).alias("evidence"))
+    identity.struct_hash(plain, F.col("evidence"))
+    assert not read
