@@ -134,6 +134,15 @@ def within_slots(df: DataFrame, column: Column, wanted: DataFrame, wanted_column
     return df.withColumn("_slot", slot(column, slots)).join(F.broadcast(taken), "_slot", "left_semi" if keep else "left_anti").drop("_slot")
 
 
+def within_bits(df: DataFrame, column: Column, wanted: DataFrame, wanted_column: Column, words: int = FILTER_SLOTS) -> DataFrame:
+    """As ``within_slots``, with 64 slots in each of the broadcast side's numbers: it still holds back rows where every slot of that is taken."""
+    word = lambda c: F.pmod(F.shiftrightunsigned(c, 6), F.lit(words)).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))
+    taken = wanted.select(word(wanted_column).alias("_word"), bit(wanted_column).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    rows = df.withColumn("_word", word(column)).withColumn("_bit", bit(column))
+    return rows.join(F.broadcast(taken), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+
+
 def ordered_buckets(df: DataFrame, key: str, per_bucket: int = 2048, most: int = 1 << 15) -> Callable[[DataFrame], DataFrame]:
     """Cuts the order of an integer ``key`` into ranges of about ``per_bucket`` rows, and gives a function that adds a row's
     range as ``_bucket`` (-1 for a null key) to a frame with that key.

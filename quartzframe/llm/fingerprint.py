@@ -14,11 +14,11 @@ are read, so further columns never clash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HOT_ROWS, HOT_SHARE, documents, keyed_join, materialize, ordered_buckets, within_slots
+from .common import documents, keyed_join, materialize, ordered_buckets, within_bits
 
 SEEDS = (0x5EED, 0xC0FFEE)
 
@@ -44,21 +44,20 @@ def name(a: Column, b: Column, ordinal: Column) -> Column:
 def collided(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, _h0, _h1, ordinal) of documents whose canonical text differs from that of their bucket's first: almost always none.
 
-    All texts are digested once into a small table; only those of buckets with several rows are read again and compared.
+    Buckets of several rows are marked in a bounded filter, and only texts that it lets through are shuffled, once: a task sends
+    each different text of a bucket once, and a bucket keeps its different texts, of which there is one unless digests collided.
     """
     canon = canonical(F.coalesce(F.col(text), F.lit("")))
-    hashed = lambda rows, *more: rows.select("_id", *more, *(h.alias(f"_h{i}") for i, h in enumerate(digest(F.col("_canon")))))
-    known = materialize(hashed(docs.select(F.col(key).alias("_id"), canon.alias("_canon"))), "digests")
-    seen = Observation()
-    sizes = known.groupBy("_h0", "_h1").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    buckets = materialize(sizes.observe(seen, F.sum("_n").alias("n")).where("_n > 1 and _first is not null"), "buckets")
-    large = max((seen.get["n"] or 0) // HOT_SHARE, HOT_ROWS)
-    hot = [r["h"] for r in buckets.where(F.col("_n") > large).select(F.xxhash64("_h0", "_h1").alias("h")).collect()]  # HOT_SHARE at most
-    ids = keyed_join(known, buckets.select("_h0", "_h1"), ["_h0", "_h1"], hot=hot).select("_id").distinct()
-    again = within_slots(docs.select(F.col(key).alias("_id"), canon.alias("_canon")), F.xxhash64("_id"), ids, F.xxhash64("_id")).join(ids, "_id", "left_semi")
-    members = hashed(again, "_canon")
-    firsts = members.join(buckets.select("_h0", "_h1", F.col("_first").alias("_id")), ["_h0", "_h1", "_id"]).groupBy("_h0", "_h1").agg(F.min("_canon").alias("_kept"))
-    odd = keyed_join(members, firsts, ["_h0", "_h1"], hot=hot).where("_canon <> _kept")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_id"), canon.alias("_canon"))
+    hashed = rows.select("_id", "_canon", *(h.alias(f"_h{i}") for i, h in enumerate(digest(F.col("_canon")))))
+    several = hashed.groupBy("_h0", "_h1").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = within_bits(hashed, F.col("_h0"), several, F.col("_h0"))
+    clashes = materialize(again.groupBy("_h0", "_h1").agg(F.size(F.collect_set("_canon")).alias("_n")).where("_n > 1").select("_h0", "_h1"), "clashes")
+    if clashes.isEmpty():
+        return hashed.select(F.col("_id").alias(key), "_h0", "_h1", F.lit(0).alias("ordinal")).limit(0)
+    members = hashed.join(clashes, ["_h0", "_h1"], "left_semi")
+    firsts = members.groupBy("_h0", "_h1").agg(F.min(F.struct("_id", "_canon"))["_canon"].alias("_kept"))
+    odd = keyed_join(members, firsts, ["_h0", "_h1"]).where("_canon <> _kept")
     ranks = odd.select("_h0", "_h1", "_canon").distinct().withColumn("ordinal", F.row_number().over(Window.partitionBy("_h0", "_h1").orderBy("_canon")))
     return odd.join(ranks, ["_h0", "_h1", "_canon"]).groupBy(F.col("_id").alias(key), "_h0", "_h1").agg(F.min("ordinal").alias("ordinal"))
 

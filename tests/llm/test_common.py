@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quartzframe.llm.common import hot_keys, keyed_join, materialize, ordered_buckets, release, scratch_mark
+from quartzframe.llm.common import hot_keys, keyed_join, materialize, ordered_buckets, release, scratch_mark, within_bits
 
 
 def test_an_outlier_leaves_the_ranges_even(spark):
@@ -30,3 +30,10 @@ def test_release_frees_all_but_one(spark):
     a, b = materialize(spark.range(3), "a"), materialize(spark.range(4), "b")
     release(spark, mark, keep=b)
     assert b.count() == 4 and scratch_mark() == mark + 1 and a.scratch_path != b.scratch_path
+
+
+def test_bits_lose_no_row_and_hold_back_most(spark):
+    df = spark.range(-4000, 4000).withColumn("h", F.xxhash64("id"))
+    wanted = df.where("id % 50 = 0")
+    kept = {r["id"] for r in within_bits(df, F.col("h"), wanted, F.col("h"), words=64).collect()}
+    assert {i for i in range(-4000, 4000) if i % 50 == 0} <= kept and len(kept) < 1000

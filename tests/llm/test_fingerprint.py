@@ -54,3 +54,18 @@ def test_collisions_are_told_apart(spark, table, monkeypatch):
     monkeypatch.setattr(f, "digest", lambda c: (F.length(c).cast("long"), F.lit(1).cast("long")))
     got = {r["doc_id"]: r["fingerprint"] for r in f.fingerprints(table((1, "aa"), (2, "bb"), (3, "bb"), (4, "ccc"))).collect()}
     assert got[2] == got[3] and len(set(got.values())) == 3
+
+
+def test_copies_are_compared_in_one_shuffle(spark, table, tmp_path):
+    """Whole texts of copies are sent once, and nothing is sent again for ids or first documents."""
+    docs = table(*((i, f"text {i % 40} " + "long " * 500) for i in range(120)))
+    docs.write.parquet(f"{tmp_path}/docs")
+    got = f.collided(spark.read.parquet(f"{tmp_path}/docs"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 0
+
+
+def test_collisions_among_copies_and_null_ids(spark, table, monkeypatch):
+    monkeypatch.setattr(f, "digest", lambda c: (F.length(c).cast("long"), F.lit(1).cast("long")))
+    rows = [(3, "bb"), (1, "bb"), (None, "aa"), (2, "cc"), (4, "aa"), (4, "aa"), (5, "ddd"), (6, "ddd")]
+    got = sorted((r["doc_id"], r["ordinal"]) for r in f.collided(table(*rows)).collect())
+    assert got == [(2, 2), (4, 1)]
