@@ -138,9 +138,10 @@ def within_bits(df: DataFrame, column: Column, wanted: DataFrame, wanted_column:
     """As ``within_slots``, with 64 slots in each of the broadcast side's numbers: it still holds back rows where every slot of that is taken."""
     word = lambda c: F.pmod(F.shiftrightunsigned(c, 6), F.lit(words)).cast("int")
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))
-    taken = wanted.select(word(wanted_column).alias("_word"), bit(wanted_column).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    taken = wanted.select(word(wanted_column).alias("_taken"), bit(wanted_column).alias("_bit")).groupBy("_taken").agg(F.bit_or("_bit").alias("_bits"))
     rows = df.withColumn("_word", word(column)).withColumn("_bit", bit(column))
-    return rows.join(F.broadcast(taken), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+    held = (F.col("_word") == F.col("_taken")) & (F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    return rows.join(F.broadcast(taken), held, "left_semi").drop("_word", "_bit")  # Spark would move a later semi-join below an inner one
 
 
 def ordered_buckets(df: DataFrame, key: str, per_bucket: int = 2048, most: int = 1 << 15) -> Callable[[DataFrame], DataFrame]:

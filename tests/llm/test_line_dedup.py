@@ -156,3 +156,28 @@ def test_dense_classes_list_no_pairs(spark, table):
     out = ld.dedup(lines.select(F.col("id").alias("doc_id"), F.col("line").alias("text")))
     assert [tuple(r) for r in out.groupBy("class_id", "n_near").count().collect()] == [(0, 599, 600)]
     assert ld.candidates(lines.withColumn("label", F.lit(0).cast("long")), ld.LineDedup()).count() == 0
+
+
+def test_filter_holds_back_texts_of_many_ids(spark):
+    """With 200,000 ids wanted, as 1 GB has, few of the other lines' texts pass."""
+    lines = spark.range(1_000_000)
+    met = lines.where("id % 5 = 0")
+    kept = ld.within_bits(lines, F.xxhash64("id"), met, F.xxhash64("id"), ld.SLOT_WORDS).selectExpr("count_if(id % 5 = 0) AS met", "count_if(id % 5 > 0) AS others").first()
+    assert kept["met"] == 200_000 and kept["others"] < 20_000
+
+
+def test_hub_index_is_sorted_by_one_number(spark):
+    p = ld.LineDedup()
+    lines = [f"the same beginning of a line {i % 7} and end {i % 3}" for i in range(30)]
+    rows = [(i, x, 0, ld.FULL, -1, 0, 0, 0, 0) for i, x in enumerate(lines)]
+    level = spark.createDataFrame(rows, ", ".join(f"{c} string" if c == "line" else f"{c} long" for c in ld.LEVEL))
+    index = ld.index(level, p, carry=False)
+    found = [r for r in index.collect() if r["who"] >= 0]
+    assert all(r["key"] & 1 == r["who"] & 1 for r in found)
+    want, owner = set(), {}
+    for r in sorted((r for r in ld.index(level, p).collect() if r["who"] >= 0), key=lambda r: r["who"] & 1):
+        if r["who"] & 1 == 0:
+            owner.setdefault(r["key"] | 1, set()).add(r["who"] >> 2)
+        want.add((r["key"] | 1, r["who"] >> 2))
+    got = {(r["a"], r["b"]) for r in ld.hubs(index).collect()}
+    assert all(any((min(h, i), max(h, i)) in got for h in owner[k]) for k, i in want if k in owner and owner[k] != {i})
