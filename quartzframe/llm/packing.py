@@ -64,17 +64,34 @@ def _kind(n: int, ids: bytes) -> str:
     return "<u2" if len(ids) == 2 * n else "<u4"
 
 
+#: Token ids that are counted at once.
+COUNT_IDS = 1 << 21
+
+
+def _terms(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of a batch's documents: how many, and for each document and different id of it, sorted by both: place in the run, id, occurrences."""
+    sizes = batch.column("n").to_numpy().astype(np.int64)
+    groups = (np.cumsum(sizes) - sizes) // COUNT_IDS
+    cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(sizes)]
+    raws = batch.column("ids")
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            ids = np.concatenate([np.frombuffer(r, _kind(n, r)).astype(np.uint32) for n, r in zip(sizes[a:b].tolist(), raws.slice(a, b - a).to_pylist())])
+            both = np.sort(np.repeat(np.arange(b - a, dtype=np.int64), sizes[a:b]) << 32 | ids)
+            first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+            yield b - a, both[first] >> 32, both[first] & 0xFFFFFFFF, np.diff(np.append(first, len(both)))
+
+
 def frequencies(rows: DataFrame) -> DataFrame:
     """Rows (term, df): in how many documents each id occurs. There are no more rows than ids in the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for n, raw in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist()):
-                terms = np.unique(np.frombuffer(raw, _kind(n, raw)))
-                if len(terms) and terms[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
-                df[terms] += 1
+            for _, _, terms, _ in _terms(batch):
+                met = np.bincount(terms, minlength=len(df))
+                met[: len(df)] += df
+                df = met
         met = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(df[met], pa.int64())], names=["term", "df"])
 
@@ -90,14 +107,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
 
 
-def leading(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The KEYS ids of most weight in a document, -1 where it has fewer."""
-    terms, counts = np.unique(ids, return_counts=True)
-    gain = counts * idf[terms]
-    top = np.argpartition(-gain, KEYS - 1) if len(gain) > KEYS else np.arange(len(gain))
-    top = np.flatnonzero(gain >= gain[top[:KEYS]].min())
-    top = top[np.lexsort((terms[top], -gain[top]))][:KEYS]
-    return np.concatenate([terms[top].astype(np.int64), np.full(KEYS - len(top), -1)])
+def leading(count: int, owner: np.ndarray, terms: np.ndarray, occurrences: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The KEYS ids of most weight in each of ``count`` documents, -1 where one has fewer; of equal weights the lower id first."""
+    gain = occurrences * idf[terms]
+    out = np.full((count, KEYS), -1, np.int64)
+    if len(owner):
+        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        docs, sizes = owner[starts], np.diff(np.append(starts, len(owner)))
+        for k in range(KEYS):
+            best = np.maximum.reduceat(gain, starts)
+            at = np.flatnonzero(gain == np.repeat(best, sizes))
+            at = at[np.append(True, owner[at][1:] != owner[at][:-1])]  # the first of each document
+            some = best > -np.inf
+            out[docs[some], k] = terms[at[some]]
+            gain[at] = -np.inf
+    return out
 
 
 class Dealing:
@@ -143,8 +167,7 @@ class Dealing:
 
 
 def _keys(batch: pa.RecordBatch, idf: np.ndarray) -> np.ndarray:
-    found = [leading(np.frombuffer(raw, _kind(n, raw)), idf) for n, raw in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist())]
-    return np.array(found, np.int64).reshape(-1, KEYS)
+    return np.concatenate([np.zeros((0, KEYS), np.int64), *(leading(*found, idf) for found in _terms(batch))])
 
 
 def deal(rows: DataFrame, idf: Broadcast, total: int, p: Packing) -> DataFrame:
@@ -203,6 +226,12 @@ class Shard:
         self.ends = np.cumsum(sizes)
         self.terms = terms
 
+    def drop(self, left: np.ndarray) -> None:
+        """Takes the documents that aren't ``left`` out of the index; they can still be queries."""
+        keep = left[self.owner]
+        self.heads = np.append(0, np.cumsum(keep))[self.heads]
+        self.owner, self.weight = self.owner[keep], self.weight[keep]
+
     def query(self, d: int) -> np.ndarray:
         """The terms of document ``d``."""
         return self.terms[self.ends[d - 1] if d else 0 : self.ends[d]]
@@ -232,7 +261,7 @@ def order(shard: Shard, window: int) -> list[int]:
     n = len(shard.ids)
     left = np.ones(n, bool)
     out: list[int] = []
-    seed, room, last = 0, window, None
+    seed, room, last, indexed = 0, window, None, n
     while len(out) < n:
         if last is None:
             while not left[seed]:
@@ -242,6 +271,9 @@ def order(shard: Shard, window: int) -> list[int]:
             out.append(seed)
             room -= len(shard.ids[seed])
         if room > 0:
+            if indexed - (n - len(out)) > indexed // 8:
+                shard.drop(left)
+                indexed = n - len(out)
             scores = shard.scores(last)
             scores[~left] = -1.0
             for d in nearest(scores):

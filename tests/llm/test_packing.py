@@ -2,6 +2,7 @@ import collections
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from quartzframe.llm import packing as pk
 from quartzframe.llm.token_store import tokenizer_path
@@ -122,3 +123,29 @@ def test_more_than_64_neighbours_fill_a_window():
 def test_all_terms_of_a_long_text_count():
     docs = [np.arange(100, dtype=np.uint32), *(np.array([i], np.uint32) for i in range(100))]
     assert (pk.Shard(docs, np.linspace(1, 2, 100), 2.0, pk.Packing()).scores(0) > 0).all()
+
+
+def test_used_documents_leave_the_index():
+    """The order is that of the whole index, and what is searched shrinks with the documents left."""
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(0, 300, rng.integers(1, 90)).astype("<u2") for _ in range(400)]
+    p, idf = pk.Packing(window=256), rng.random(300)
+
+    class Whole(pk.Shard):
+        def drop(self, left):
+            pass
+
+    whole, shard = Whole(ids, idf, 40.0, p), pk.Shard(ids, idf, 40.0, p)
+    assert pk.order(shard, 256) == pk.order(whole, 256)
+    assert len(shard.owner) < len(whole.owner) / 4
+
+
+def test_leading_ids_of_many_documents_at_once():
+    rng = np.random.default_rng(4)
+    ids = [rng.integers(0, 70_000 if i % 2 else 9, rng.integers(0, 40)).astype("<u4" if i % 2 else "<u2") for i in range(200)]
+    idf = np.round(rng.random(70_000), 1) + 0.1
+    batch = pa.RecordBatch.from_arrays([pa.array([len(x) for x in ids]), pa.array([x.tobytes() for x in ids], pa.binary())], names=["n", "ids"])
+    for got, x in zip(pk._keys(batch, idf).tolist(), ids):
+        terms, counts = np.unique(x, return_counts=True)
+        best = sorted(range(len(terms)), key=lambda i: (-counts[i] * idf[terms[i]], terms[i]))[: pk.KEYS]
+        assert got == [int(terms[i]) for i in best] + [-1] * (pk.KEYS - len(best))
