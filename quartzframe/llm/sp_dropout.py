@@ -40,6 +40,8 @@ SHORT, NONE, NO_RANK = 40, float("inf"), np.iinfo(np.int32).max
 #: Units as the agenda sees them: spaces with what follows, or what follows a line end.
 UNITS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 MOST, TEXT_BYTES = 400_000, 8 << 20
+#: Units whose agendas advance together, at most, and bounds of their numbers of characters.
+TOGETHER, WIDTHS = 1 << 14, (1, 6, 9, 12, 16, SHORT)
 
 
 @dataclass(frozen=True)
@@ -84,23 +86,40 @@ class Pieces:
         for s, i in self.ids.items():
             if len(s) == 1 and ord(s) < 0x10000:
                 self.chars[ord(s)] = i
-        self.width = np.int64(size + 0x110000)
         found = {}
         for s, i in self.ids.items():
             for k in range(1, len(s)):
                 a, b = symbol(s[:k]), symbol(s[k:])
                 if a is not None and b is not None:
-                    found[a * int(self.width) + b] = (i, int(self.rank[s]))
-        keys = sorted(found)
-        self.pair_keys = np.array([*keys, np.iinfo(np.int64).max], np.int64)
-        self.pair_piece = np.array([*(found[k][0] for k in keys), -1], np.int64)
-        self.pair_rank = np.array([*(found[k][1] for k in keys), NO_RANK], np.int32)
+                    found[a << 21 | b] = (i, int(self.rank[s]))
+        self.pair_piece = np.array([*(i for i, _ in found.values()), -1], np.int32)
+        self.pair_rank = np.array([*(r for _, r in found.values()), NO_RANK], np.int32)
+        # places by hashed key, the next slot if one is taken; an empty slot has the place of no pair
+        self.shift = np.uint64(64 - (8 * len(found) + 1).bit_length())
+        slots = 1 << 64 - int(self.shift)
+        self.slot_keys, self.slots = np.full(slots, -1, np.int64), np.full(slots, len(found), np.int32)
+        keys = np.array(list(found), np.int64)
+        for place, (key, at) in enumerate(zip(keys.tolist(), self._slot(keys).tolist())):
+            while self.slot_keys[at] >= 0:
+                at = (at + 1) % slots
+            self.slot_keys[at], self.slots[at] = key, place
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(M1) >> self.shift).view(np.int64)
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of each pair in the tables, the last place where it forms no piece; symbols under 0 form none."""
-        keys = left * self.width + right
-        at = np.searchsorted(self.pair_keys, keys)
-        return np.where((self.pair_keys[at] == keys) & (left >= 0) & (right >= 0), at, len(self.pair_keys) - 1).astype(np.int32)
+        keys = np.bitwise_or(left.astype(np.int64) << 21, right)
+        at = self._slot(keys)
+        met = self.slot_keys[at]
+        out = self.slots[at]
+        more = np.flatnonzero((met != keys) & (met >= 0))
+        while len(more):
+            at[more] = (at[more] + 1) % len(self.slots)
+            met = self.slot_keys[at[more]]
+            out[more] = self.slots[at[more]]
+            more = more[(met != keys[more]) & (met >= 0)]
+        return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for, with the space that begins every text."""
@@ -145,29 +164,26 @@ class Segmenter:
             skipped.append(np.where(up >= 0, self.span[up], 0).astype(np.uint64))
             up = np.where(up >= 0, self.parent[up], -1)
         skips, sizes = np.stack(skipped, 1), np.fromiter(map(len, units), np.int64, len(units))
-        out: list = [np.zeros(0, np.int64)] * len(units)
-        merged: list = []
-        for low, high in ((1, 8), (8, 14), (14, SHORT)):
-            rows = np.flatnonzero((sizes > low) & (sizes <= high))
-            for at in range(0, len(rows), 1 << 15):
-                some = rows[at : at + (1 << 15)]
-                self._together([units[i] for i in some], None, some, high, out, skips, merged)
-        for i in np.flatnonzero(sizes == 1).tolist():
-            out[i] = self._ids(units[i])
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
-        tokens = np.concatenate([np.zeros(0, np.int64), *out]).astype(np.uint32)
-        tokens = np.insert(tokens, (np.cumsum(lengths) - lengths)[line], self.pieces.byte_ids[10])
-        lengths = lengths + line
-        rows = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in merged)])
-        chain = np.concatenate([np.zeros(0, np.uint64), *(c for _, c in merged)])[np.argsort(rows, kind="stable")]
+        order, tokens, lengths, rows, chain = self._agendas(units, sizes, skips=skips)
+        lined = line[order]
+        tokens = np.insert(tokens, (np.cumsum(lengths) - lengths)[lined], self.pieces.byte_ids[10])
+        lengths = lengths + lined
+        begins, per_unit = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        begins[order], per_unit[order] = np.cumsum(lengths) - lengths, lengths
+        chain = chain[np.argsort(rows, kind="stable")]
         size = np.bincount(rows, minlength=len(units))
+        hashes = np.zeros(len(units), np.uint64)
+        fresh = np.flatnonzero(parents < 0)
+        hashes[fresh] = np.fromiter((self._hash(units[i]) for i in fresh.tolist()), np.uint64, len(fresh))
+        if len(fresh) < len(units):
+            hashes[parents >= 0] = self.hash[parents[parents >= 0]]
         join = lambda a, b: np.concatenate([a, b.astype(a.dtype)])
-        self.starts = join(self.starts, len(self.tokens) + np.cumsum(lengths) - lengths)
+        self.starts = join(self.starts, len(self.tokens) + begins)
         self.first = join(self.first, len(self.chain) + np.cumsum(size) - size)
         self.root = join(self.root, np.where(parents >= 0, self.root[parents] if len(self.root) else 0, new))
         self.parent, self.span = join(self.parent, parents), join(self.span, spans)
-        self.lengths, self.size = join(self.lengths, lengths), join(self.size, np.where(sizes > SHORT, -1, size))
-        self.hash = join(self.hash, np.fromiter(map(self._hash, units), np.uint64, len(units)))
+        self.lengths, self.size = join(self.lengths, per_unit), join(self.size, np.where(sizes > SHORT, -1, size))
+        self.hash = join(self.hash, hashes)
         self.tokens, self.chain = join(self.tokens, tokens), join(self.chain, chain)
         return new
 
@@ -257,78 +273,97 @@ class Segmenter:
 
     def units(self, units: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many units one after another, and their number for each: the agendas of all advance together."""
-        out: list = [None] * len(units)
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        for low, high in ((1, 8), (8, 14), (14, SHORT)):
+        base = np.fromiter(map(self._hash, units), np.uint64, len(units)) + variants.astype(np.uint64)
+        order, tokens, counts, _, _ = self._agendas(units, sizes, base)
+        lengths, starts = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        lengths[order], starts[order] = counts, np.cumsum(counts) - counts
+        long = {i: self.unit(units[i], int(variants[i])) for i in np.flatnonzero(sizes > SHORT).tolist()}
+        parts = [long[i] if i in long else tokens[a : a + n] for i, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist()))]
+        lengths[list(long)] = list(map(len, long.values()))
+        return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.uint32), lengths
+
+    def _agendas(self, units: list[str], sizes: np.ndarray, base: np.ndarray | None = None, skips: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Ids of all units, none for those beyond SHORT: the units' order, their ids one after another in it, the number of each; and
+        rows and spans of all merges, those of a row in their order. See ``_together``."""
+        single = np.flatnonzero(sizes == 1)
+        ids = [self._ids(units[i]) for i in single.tolist()]
+        rest = np.flatnonzero((sizes < 1) | (sizes > SHORT))
+        found = [(single, np.array([x for i in ids for x in i], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))), (rest, np.zeros(0, np.uint32), np.zeros(len(rest), np.int64))]
+        merged = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for low, high in zip(WIDTHS, WIDTHS[1:]):
             rows = np.flatnonzero((sizes > low) & (sizes <= high))
-            for at in range(0, len(rows), 1 << 15):
-                some = [units[i] for i in rows[at : at + (1 << 15)]]
-                base = np.fromiter(map(self._hash, some), np.uint64, len(some)) + variants[rows[at : at + (1 << 15)]].astype(np.uint64)
-                self._together(some, base, rows[at : at + (1 << 15)], high, out)
-        for i in np.flatnonzero((sizes <= 1) | (sizes > SHORT)).tolist():
-            out[i] = self.unit(units[i], int(variants[i])) if units[i] else []
-        lengths = np.fromiter(map(len, out), np.int64, len(out))
-        return np.concatenate([np.zeros(0, np.int64), *out]).astype(np.uint32), lengths
-
-    def _together(self, units: list[str], base: np.ndarray | None, rows: np.ndarray, width: int, out: list, skips: np.ndarray | None = None, merged: list | None = None) -> None:
-        """Fills ``out`` at ``rows`` with the ids of units of 2 to ``width`` characters. Without ``base`` the spans in ``skips`` at
-        ``rows`` are skipped, and rows and spans of all merges are added to ``merged`` in their order."""
-        t, n = self.pieces, len(units)
+            for at in range(0, len(rows), TOGETHER):
+                some = rows[at : at + TOGETHER]
+                found.append((some, *self._together([units[i] for i in some.tolist()], sizes[some], high, base if base is None else base[some], skips if skips is None else skips[some], some, merged)))
+        return *(np.concatenate(x) for x in zip(*found)), *(np.concatenate(x) for x in zip(*merged))
+
+    def _together(self, units: list[str], sizes: np.ndarray, width: int, base: np.ndarray | None, skips: np.ndarray | None, rows: np.ndarray, merged: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of 2 to ``width`` characters, one after another, and their number for each. Without ``base`` the spans in ``skips``
+        are skipped. Numbers in ``rows`` and spans of all merges are added to ``merged`` in their order.
+
+        A symbol stays at the place of its first character, and knows the places of its neighbours; a place before and one behind hold none."""
+        t, n, wide = self.pieces, len(units), width + 2
         points = np.array(units, f"<U{width}").view(np.uint32).reshape(n, width)
-        sizes = np.fromiter(map(len, units), np.int64, n)
-        inside = np.arange(width) < sizes[:, None]
-        symbols = np.where(inside, np.where(points < 0x10000, t.chars[points & 0xFFFF], len(t.raw) + points.astype(np.int64)), -1)
-        starts = np.minimum(np.arange(width + 2), sizes[:, None])
-        pairs = t.pair(symbols[:, :-1], symbols[:, 1:])
+        found = t.chars[points & 0xFFFF]
+        beyond = points >= 0x10000
+        if beyond.any():
+            found[beyond] = len(t.raw) + points[beyond].astype(np.int64)
+        places = np.arange(wide, dtype=np.int32)
+        symbols = np.full((n, wide), -1, np.int32)
+        symbols[:, 1:-1] = np.where(places[:-2] < sizes[:, None], found, -1)
+        pairs = np.full((n, wide), len(t.pair_rank) - 1, np.int32)
+        pairs[:, 1:-1] = t.pair(symbols[:, 1:-1].ravel(), symbols[:, 2:].ravel()).reshape(n, width)
         ranks = t.pair_rank[pairs]
-        m1, m2, m3, m4, limit = (np.uint64(x) for x in (M1, M2, M3, M4, self.limit))
-        places = np.arange(width)
-        while True:
+        after, before = np.tile(places + 1, n), np.tile(places - 1, n)
+        symbols, pairs, flat = symbols.ravel(), pairs.ravel(), ranks.ravel()
+        m4, low, limit = np.uint64(M4), np.uint64(LOW), np.uint64(self.limit)
+        m1, m2, m3 = ((np.maximum(places, 1) - 1).astype(np.uint64) * np.uint64(m) for m in (M1, M2, M3))
+        row = np.arange(n)  # of each row of ``ranks``
+        first = row * wide
+        while len(row):
             best = ranks.argmin(axis=1)
-            each = np.arange(len(rows))
-            busy = ranks[each, best] != NO_RANK
-            if not busy.all():
-                for i in np.flatnonzero(~busy).tolist():
-                    ids = symbols[i][symbols[i] >= 0]
-                    out[rows[i]] = ids if ids.max() < len(t.raw) else np.array([x for s in ids.tolist() for x in ([s] if s < len(t.raw) else self._ids(chr(s - len(t.raw))))], np.int64)
-                rows, symbols, starts, pairs, ranks, best = (x[busy] for x in (rows, symbols, starts, pairs, ranks, best))
-                base = base if base is None else base[busy]
-                each = np.arange(len(rows))
-            if not len(rows):
-                return
-            span = [starts[each, best + k].astype(np.uint64) for k in range(3)]
-            place = span[0] * m1 + span[1] * m2 + span[2] * m3
-            if base is None:
-                skip = (place[:, None] == skips[rows]).any(axis=1)
-                merged.append((rows[~skip], place[~skip]))
-            else:
-                skip = ((base ^ place) * m4 >> np.uint64(27) & np.uint64(LOW)) < limit
-            ranks[each[skip], best[skip]] = NO_RANK
-            go, at = each[~skip], best[~skip]
-            if not len(go):
-                continue
-            piece = t.pair_piece[pairs[go, at]]
-            shift = places + (places > at[:, None])  # drops the right symbol
-            padded = np.concatenate([symbols[go], np.full((len(go), 1), -1)], axis=1)
-            new = np.take_along_axis(padded, shift, axis=1)
-            new[np.arange(len(go)), at] = piece
-            symbols[go] = new
-            long = np.arange(width + 2)
-            old = starts[go]
-            starts[go] = np.take_along_axis(old, np.minimum(long + (long > at[:, None]), width + 1), axis=1)
-            last = len(t.pair_keys) - 1
-            gap = places[:-1] + (places[:-1] > at[:, None])
-            wide = np.concatenate([pairs[go], np.full((len(go), 1), last, np.int32)], axis=1)
-            kept = np.take_along_axis(np.concatenate([ranks[go], np.full((len(go), 1), NO_RANK, np.int32)], axis=1), gap, axis=1)
-            moved = np.take_along_axis(wide, gap, axis=1)
-            here = np.arange(len(go))
-            follow = at < width - 1
-            right = t.pair(piece[follow], new[here[follow], at[follow] + 1])
-            moved[here[follow], at[follow]], kept[here[follow], at[follow]] = right, t.pair_rank[right]
-            lead = at > 0
-            left = t.pair(new[here[lead], at[lead] - 1], piece[lead])
-            moved[here[lead], at[lead] - 1], kept[here[lead], at[lead] - 1] = left, t.pair_rank[left]
-            pairs[go], ranks[go] = moved, kept
+            at = np.arange(len(row)) * wide + best
+            busy = np.flatnonzero(flat[at] != NO_RANK)
+            if len(busy) < len(row):
+                if 4 * len(busy) < 3 * len(row):
+                    ranks = ranks[busy]
+                    flat, row, first, best = ranks.ravel(), row[busy], first[busy], best[busy]
+                    at, busy = np.arange(len(row)) * wide + best, np.arange(len(row))
+                if not len(busy):
+                    break
+            here, at, left, which = first[busy], at[busy], best[busy], row[busy]
+            right = after[here + left]
+            end = after[here + right]
+            place = m1[left] + m2[right] + m3[end]
+            skip = (place[:, None] == skips[which]).any(axis=1) if base is None else ((base[which] ^ place) * m4 >> np.uint64(27) & low) < limit
+            flat[at[skip]] = NO_RANK
+            go = ~skip
+            here, at, left, right, end = here[go], at[go], left[go], right[go], end[go]
+            merged.append((rows[which[go]], place[go]))
+            me, gone = here + left, here + right
+            piece = t.pair_piece[pairs[me]]
+            symbols[me], symbols[gone] = piece, -1
+            after[me], before[here + end] = end, left
+            flat[at - left + right] = NO_RANK
+            pairs[me] = found = t.pair(piece, symbols[here + end])
+            flat[at] = t.pair_rank[found]
+            lead = before[me]
+            pairs[here + lead] = found = t.pair(symbols[here + lead], piece)
+            flat[at - left + lead] = t.pair_rank[found]
+        kept = symbols >= 0
+        ids, counts = symbols[kept], kept.reshape(n, wide).sum(axis=1)
+        if len(strange := np.flatnonzero(ids >= len(t.raw))):
+            raw = [self._ids(chr(s - len(t.raw))) for s in ids[strange].tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[strange] = list(map(len, raw))
+            stops = np.append(0, np.cumsum(times))
+            counts = np.diff(stops[np.append(0, np.cumsum(counts))])
+            inside = np.zeros(len(ids), bool)
+            inside[strange] = True
+            ids = np.repeat(ids, times)
+            ids[np.repeat(inside, times)] = [x for r in raw for x in r]
+        return ids.astype(np.uint32), counts
 
     def _ids(self, symbol: str) -> list[int]:
         i = self.pieces.ids.get(symbol)

@@ -70,3 +70,29 @@ def test_each_occurrence_is_drawn_on_its_own():
     units = ["▁a", "▁reading", "▁of", "many", "▁" + "antidisestablishment" * 3]
     parts = [cutter.unit(u, d) for u, d in zip(units, s.occurrence_draws(7, 0, 5, p).tolist())]
     assert plain.tolist() == parts[0] + parts[1] + parts[2] + [cutter.pieces.byte_ids[10]] + parts[3] + parts[4]
+
+
+def test_a_words_cuts_share_its_hash(monkeypatch):
+    """Nodes of one word that differ in the spans skipped take the hash of the word's first node."""
+    cutter, hashed, plain = s.Segmenter(PATH, s.Dropout(rate=0.3)), [], s.Segmenter._hash
+    monkeypatch.setattr(s.Segmenter, "_hash", lambda self, unit: hashed.append(unit) or plain(self, unit))
+    cutter.batch(pa.array(["international readings"] * 50), np.arange(50))
+    assert sorted(hashed) == ["▁international", "▁readings"] and len(cutter.starts) > 20
+
+
+def test_agendas_of_many_words_are_those_of_each():
+    cutter, rng = s.Segmenter(PATH, s.Dropout(rate=0.2, seed=5)), np.random.default_rng(3)
+    letters = list("aeinrst" * 4 + "éß日𝔘\x01.,") + ["the", "ing", "ation"]
+    units = [("▁" if k % 3 else "") + "".join(rng.choice(letters, rng.integers(1, 14))) for k in range(3000)]
+    units = [u[: s.SHORT + 2] for u in units] + ["", "x", "▁"]
+    variants = rng.integers(0, 1 << 40, len(units))
+    ids, lengths = cutter.units(units, variants)
+    stops = np.append(0, np.cumsum(lengths))
+    for i, u in enumerate(units):
+        assert ids[stops[i] : stops[i + 1]].tolist() == (cutter.unit(u, int(variants[i])) if u else []), u
+    found = cutter.pieces.ids
+    splits = [(n[:k], n[k:]) for n in found for k in range(1, len(n)) if n[:k] in found and n[k:] in found]
+    pairs = splits + [tuple(rng.choice(list(found), 2)) for _ in range(200)]
+    places = cutter.pieces.pair(*(np.array([found[p[i]] for p in pairs]) for i in (0, 1)))
+    assert cutter.pieces.pair_piece[places].tolist() == [found.get(a + b, -1) for a, b in pairs]
+    assert (cutter.pieces.pair_piece[cutter.pieces.pair(np.array([-1, -1, 5]), np.array([-1, 5, -1]))] == -1).all()
