@@ -68,6 +68,18 @@ def _kind(n: int, ids: bytes) -> str:
 COUNT_IDS = 1 << 21
 
 
+def counted(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document and different id of it, sorted by both: place of the document, id, occurrences. Each document is sorted by itself,
+    ids of 2 bytes in linear time."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    both = np.concatenate([np.zeros(0, np.uint16), *(np.sort(x, kind="stable") for x in ids)])
+    new = np.append(True, both[1:] != both[:-1])[: len(both)]
+    stops = np.cumsum(sizes)
+    new[(stops - sizes)[sizes > 0]] = True
+    first = np.flatnonzero(new)
+    return np.repeat(np.arange(len(ids)), sizes)[first], both[first].astype(np.int64), np.diff(np.append(first, len(both)))
+
+
 def _terms(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of a batch's documents: how many, and for each document and different id of it, sorted by both: place in the run, id, occurrences."""
     sizes = batch.column("n").to_numpy().astype(np.int64)
@@ -76,10 +88,7 @@ def _terms(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
     raws = batch.column("ids")
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
-            ids = np.concatenate([np.frombuffer(r, _kind(n, r)).astype(np.uint32) for n, r in zip(sizes[a:b].tolist(), raws.slice(a, b - a).to_pylist())])
-            both = np.sort(np.repeat(np.arange(b - a, dtype=np.int64), sizes[a:b]) << 32 | ids)
-            first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
-            yield b - a, both[first] >> 32, both[first] & 0xFFFFFFFF, np.diff(np.append(first, len(both)))
+            yield b - a, *counted([np.frombuffer(r, _kind(n, r)) for n, r in zip(sizes[a:b].tolist(), raws.slice(a, b - a).to_pylist())])
 
 
 def frequencies(rows: DataFrame) -> DataFrame:
@@ -213,11 +222,9 @@ class Shard:
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean: float, p: Packing):
         self.p, self.ids = p, ids
-        found = [np.unique(x, return_counts=True) for x in ids]
-        sizes = np.array([len(t) for t, _ in found])
-        terms = np.concatenate([t for t, _ in found]).astype(np.int64)
-        counts = np.concatenate([c for _, c in found]).astype(np.float64)
-        owner = np.repeat(np.arange(len(ids)), sizes)
+        owner, terms, counts = counted(ids)
+        sizes = np.bincount(owner, minlength=len(ids))
+        counts = counts.astype(np.float64)
         length = np.array([len(x) for x in ids], np.float64)[owner]
         weight = idf[terms] * counts * (p.k1 + 1) / (counts + p.k1 * (1 - p.b + p.b * length / mean))
         order = np.argsort(terms, kind="stable")
@@ -238,10 +245,13 @@ class Shard:
 
     def scores(self, d: int) -> np.ndarray:
         """BM25 of every document against ``d``."""
-        spans = [slice(self.heads[t], self.heads[t + 1]) for t in self.query(d)]
-        if not spans:
-            return np.zeros(len(self.ids))
-        return np.bincount(np.concatenate([self.owner[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.ids))
+        terms = self.query(d)
+        heads = self.heads[terms]
+        sizes = self.heads[terms + 1] - heads
+        ends = np.cumsum(sizes)
+        at = np.repeat(heads - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return np.bincount(self.owner[at], self.weight[at], len(self.ids))
 
 
 def nearest(scores: np.ndarray, block: int = 64) -> Iterator[int]:

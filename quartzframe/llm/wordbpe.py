@@ -10,8 +10,8 @@ cache is full, pieces met in one batch only are forgotten, or all if that frees
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer, normalizers  # noqa: E402
 
 #: Composed letters whose lower case is one letter each, and marks that are tokens apart from letters.
-LATIN, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-į]+"), ".,!?;:#$%&*"
+LATIN, MARKS = "[A-Za-zÀ-ÖØ-öø-į]+", ".,!?;:#$%&*"
 MOST = 500_000
 #: Words for one call of the library; bytes of text that are gathered at once.
 WORDS, TEXT_BYTES = 10_000, 8 << 20
@@ -101,21 +101,21 @@ class WordBpe:
 
     def _learn(self, missing: list[str]) -> None:
         """Encodes new pieces; words that differ in case or in the marks after them are encoded once."""
-        known, words, other, joined, parts = self.known, {}, {}, [], []
-        for p in missing:
-            word = p.rstrip(MARKS)
-            if not word.isalpha() or not (word.isascii() or LATIN.fullmatch(word)):
-                other[p] = None
-                continue
-            core = word.lower()
+        known, texts = self.known, pa.array(missing, pa.string())
+        trimmed = pc.utf8_rtrim(texts, MARKS)
+        lower = pc.utf8_lower(trimmed)
+        fit = np.asarray(pc.match_substring_regex(trimmed, f"^{LATIN}$").cast(pa.int8()), bool)
+        same = np.asarray(pc.equal(lower, texts).cast(pa.int8()), bool)
+        words = dict.fromkeys(itertools.compress(missing, (fit & same).tolist()))
+        other = dict.fromkeys(itertools.compress(missing, (~fit).tolist()))
+        joined, parts = list(itertools.compress(missing, (fit & ~same).tolist())), []
+        for p, core in zip(joined, lower.filter(pa.array(fit & ~same)).to_numpy(zero_copy_only=False).tolist()):
             if core not in known:
                 words[core] = None
-            if core is not p and core != p:
-                joined.append(p)
-                parts.append(core)
-                parts.append(mark := p[len(word) :])
-                if mark not in known:
-                    other[mark] = None
+            parts.append(core)
+            parts.append(mark := p[len(core) :])
+            if mark not in known:
+                other[mark] = None
         self._words(list(words))
         if other:
             self._library(list(other))
@@ -150,7 +150,7 @@ class WordBpe:
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         flat, offsets = lists.flatten(), np.asarray(lists.offsets, np.int64)
         coded = flat.dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
         if len(self.known) > self.most:
             self._forget()
         get = self.known.get
