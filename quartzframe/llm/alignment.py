@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, free, keyed_join, materialize, scratch_path, text_batches
+from .common import SHUFFLES_GO, documents, free, keyed_join, materialize, scratch_path, settings, text_batches
 from .token_store import tokenizer_path
 
 #: Characters of text that a bucket holds about; visible words that are tokenized in one call.
@@ -167,22 +167,9 @@ def link_counts(linked: DataFrame) -> DataFrame:
 
 
 #: Words' figures that a Python worker gets at once, at most.
-WORD_ROWS = 30_000
-#: Settings that hold while the operator runs: a table bucketed by one of a join's keys isn't shuffled again for the others, and
-#: shuffle files go when the table that they were for is written.
-SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
-
-
-@contextlib.contextmanager
-def settings(spark: SparkSession) -> Iterator[None]:
-    before = {name: spark.conf.get(name, None) for name in [*SETTINGS, "spark.sql.execution.arrow.maxRecordsPerBatch"]}
-    for name, value in SETTINGS.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+WORD_ROWS, BATCH = 30_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Settings that hold while the operator runs: a table bucketed by one of a join's keys isn't shuffled again for the others.
+SETTINGS = {"spark.sql.requireAllClusterKeysForCoPartition": "false"} | SHUFFLES_GO
 
 
 @contextlib.contextmanager
@@ -257,7 +244,7 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
     spark = docs.sparkSession
     text_batches(spark)
     words = "split(text, '" + BORDER.replace("\\", "\\\\") + "')" if cut_at_spaces(first, second) else "array(text)"
-    with settings(spark), bucketed(docs, f"CASE WHEN length(text) > 0 THEN {words} END", key, text) as (rows, n):
+    with settings(spark, SETTINGS | {BATCH: spark.conf.get(BATCH)}), bucketed(docs, f"CASE WHEN length(text) > 0 THEN {words} END", key, text) as (rows, n):
         local = materialize(rows.select("bucket", F.explode("words").alias("word")).distinct(), "alignment-words")
         numbered = tokens(local.select("word").distinct(), first, second).withColumn("word_id", F.monotonically_increasing_id())
         with kept(numbered.repartition(n, "word_id"), "word_id", n) as tokenized:
@@ -288,7 +275,7 @@ def align(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: s
         placed = rows.select("bucket", "row", "doc_id", F.posexplode("words").alias("pos", "word")).join(here.hint("shuffle_hash"), ["bucket", "word"])
         given = placed.select("row", "doc_id", "pos", "same", "groups", *COUNTS).mapInArrow(totals, ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "groups_sha256 string"]))
         none = rows.where("words IS NULL").select("doc_id", *(F.lit(0).cast("long").alias(c) for c in COUNTS), F.lit("").alias("groups_sha256"))
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WORD_ROWS))  # rows are words here
+        spark.conf.set(BATCH, str(WORD_ROWS))  # rows are words here
         path = scratch_path(spark, "alignment")
         given.unionByName(none).write.parquet(path)
         out = spark.read.schema(given.schema).parquet(path)

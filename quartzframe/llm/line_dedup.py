@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, HOT_SHARE, components, documents, fresh, hot_keys, keyed_join, let, materialize, within_bits
+from .common import HOT_ROWS, HOT_SHARE, SHUFFLES_GO, components, documents, fresh, hot_keys, keyed_join, let, materialize, settings, within_bits
 
 
 @dataclass(frozen=True)
@@ -500,7 +500,12 @@ def classes(docs: DataFrame, p: LineDedup, key: str = "doc_id", text: str = "tex
 
 def dropped(docs: DataFrame, p: LineDedup, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, pos, first, n_near) of lines whose class has several occurrences or lines; ``first`` is the class's
-    place, ``n_near`` the number of other lines in it."""
+    place, ``n_near`` the number of other lines in it. The shuffles of each written table are deleted before the next one's begin."""
+    with settings(docs.sparkSession, SHUFFLES_GO):
+        return _dropped(docs, p, key, text)
+
+
+def _dropped(docs: DataFrame, p: LineDedup, key: str, text: str) -> DataFrame:
     lines, near = classes(docs, p, key, text)
     linked = within_bits(lines.select("id", "_a", "_b"), F.xxhash64("id"), near, F.xxhash64("id"), SLOT_WORDS).join(near, "id")
     marks = keyed_join(linked, near.groupBy("component").agg((F.count(F.lit(1)) - 1).alias("n_near")), ["component"], hot=hot_keys(near, ["component"]))

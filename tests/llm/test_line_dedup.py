@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -181,3 +182,19 @@ def test_hub_index_is_sorted_by_one_number(spark):
         want.add((r["key"] | 1, r["who"] >> 2))
     got = {(r["a"], r["b"]) for r in ld.hubs(index).collect()}
     assert all(any((min(h, i), max(h, i)) in got for h in owner[k]) for k, i in want if k in owner and owner[k] != {i})
+
+
+def test_shuffles_go_with_their_tables(spark, table):
+    """Nothing of the shuffles behind written tables stays while later ones are made, and the session's setting is as before."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: sum(manager.getAllFiles().apply(i).getName().startswith("shuffle_") for i in range(manager.getAllFiles().size()))
+    docs, name, before = table(*((i, f"the very same line of text, {i % 7}\nanother line that is quite long {i}") for i in range(60))), next(iter(ld.SHUFFLES_GO)), files()
+    was = spark.conf.get(name, None)
+    gone = ld.dropped(docs, ld.LineDedup())
+    assert spark.conf.get(name, None) == was
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before
+    assert gone.where("doc_id = 7").count() == 2
