@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -223,16 +224,18 @@ def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
             counts = np.stack([np.add.reduceat(np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False)).astype(np.int64), begins) for c in COUNTS], axis=1)
             alike = np.logical_and.reduceat(batch.column("same").to_numpy(zero_copy_only=False).astype(bool), begins)
-            texts, docs = batch.column("groups").to_pylist(), batch.column("doc_id").to_pylist()
+            # joined and taken by Arrow, as a Python object for each word costs more than its sums
+            parts = pa.ListArray.from_arrays(pa.array(np.append(begins, batch.num_rows), pa.int32()), pc.fill_null(batch.column("groups"), ""))
+            texts, docs = pc.binary_join(parts, ";").to_pylist(), batch.column("doc_id").take(pa.array(begins)).to_pylist()
             for k, (a, b) in enumerate(zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows])):
                 if rows[a] != row:
                     if row is not None:
                         out.append(done())
-                    row, doc, at, same, sums, digest = rows[a], docs[a], 0, True, np.zeros(len(COUNTS), np.int64), hashlib.sha256()
+                    row, doc, at, same, sums, digest = rows[a], docs[k], 0, True, np.zeros(len(COUNTS), np.int64), hashlib.sha256()
                 if places[a] != at or (np.diff(places[a:b]) != 1).any():
                     raise ValueError("words of a document aren't in order")
                 same, sums = same and bool(alike[k]), sums + counts[k]
-                digest.update((";" * (at > 0) + ";".join([t or "" for t in texts[a:b]])).encode())
+                digest.update((";" * (at > 0) + texts[k]).encode())
                 at += b - a
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names) - 1)] + [pa.array([r[-1] for r in out], pa.string())], names=names)
     if row is not None:

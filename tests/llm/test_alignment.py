@@ -1,7 +1,10 @@
 import collections
 import hashlib
 import os
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,3 +107,16 @@ def test_a_sample_of_the_table(spark):
     rows = docs.select("doc_id", "text").collect()
     want = dict(zip((r["doc_id"] for r in rows), brute([r["text"] for r in rows])))
     assert {r["doc_id"]: tuple(r)[1:] for r in al.align(docs, A, B).collect()} == want
+
+
+def test_totals_hold_no_object_for_each_word():
+    n = 200_000
+    words = pa.record_batch({"row": pa.array(np.zeros(n, np.int64)), "doc_id": pa.nulls(n, pa.int64()), "pos": pa.array(np.arange(n, dtype=np.int32)), "same": pa.array(np.ones(n, bool)),
+                             "groups": pa.array(["1|2", None] * (n // 2)), **{c: pa.array(np.ones(n, np.int64)) for c in al.COUNTS}})
+    tracemalloc.start()
+    out = [r for b in al.totals(iter([words])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = ";".join(["1|2", ""] * (n // 2)).encode()
+    assert out == [{"doc_id": None, **dict.fromkeys(al.COUNTS, n), "groups_sha256": hashlib.sha256(want).hexdigest()}]
+    assert peak < 8 << 20
